@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, linededup, mix, quality, shard, tokencount, tokenfile
+from . import ann, chat, linededup, mix, quality, shard, tokencount, tokenfile
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -26,6 +26,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.hilbert_shards(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
+    "op3_ann": op3_ann,
     "op4_shard": op4_shard,
     "op5_tokens": op5_tokens,
     "op6_mix": op6_mix,

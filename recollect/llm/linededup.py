@@ -19,10 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .workspace import materialize
 
-#: log2 of the filters' cells (2 ** 27: 16 MB each), hash functions, cells per slice of the merge.
-CELL_BITS, PROBES, SLICE_BITS = 27, 2, 17
 #: Most confirmed keys that are broadcast (16 bytes each); beyond, they are joined.
 BROADCAST_KEYS = 2_000_000
 #: Suspects a task counts before it passes its counts on.
@@ -38,11 +37,6 @@ def _digest(key: bytes) -> bytes:
     return hashlib.blake2b(key, digest_size=16).digest()
 
 
-def _cells(hashes: np.ndarray) -> list[np.ndarray]:
-    low = np.uint64((1 << CELL_BITS) - 1)
-    return [(hashes >> np.uint64(i * 32)) & low for i in range(PROBES)]
-
-
 def _hashes(keys) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
 
@@ -51,60 +45,18 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
 
-def seen_twice(docs: DataFrame, text_col: str, min_chars: int) -> np.ndarray:
-    """Packed bits of the cells that at least two different sightings set; 2 ** CELL_BITS / 8 bytes, whatever the corpus."""
-    slice_bytes = 1 << (SLICE_BITS - 3)
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(1 << (CELL_BITS - 3), np.uint8), np.zeros(1 << (CELL_BITS - 3), np.uint8)
-        for batch in batches:
-            found = [k for text in batch.column(0).to_pylist() for k in set(line_keys(text)) if _chars(k) >= min_chars]
-            for cells in _cells(_hashes(found)):
-                at, n = np.unique(cells, return_counts=True)
-                byte, bit = (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8)
-                again = (n > 1) | (once[byte] & bit > 0)
-                np.bitwise_or.at(twice, byte[again], bit[again])
-                np.bitwise_or.at(once, byte, bit)
-        for k in range(1 << (CELL_BITS - SLICE_BITS)):
-            part = slice(k * slice_bytes, (k + 1) * slice_bytes)
-            if once[part].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pa.compress(once[part].tobytes(), "zstd", asbytes=True)], pa.binary()), pa.array([pa.compress(twice[part].tobytes(), "zstd", asbytes=True)], pa.binary())], ["slice", "once", "twice"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by slice, so that one slice is held at a time, however many tasks sent it."""
-        current, once, twice = None, None, None
-
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([twice.tobytes()], pa.binary())], ["slice", "twice"])
-
-        for batch in batches:
-            for k, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a, b = (np.frombuffer(pa.decompress(x, slice_bytes, "zstd", asbytes=True), np.uint8) for x in (a, b))
-                if k != current:
-                    if current is not None:
-                        yield done()
-                    current, once, twice = k, a.copy(), b.copy()
-                else:
-                    twice |= b | (once & a)
-                    once |= a
-        if current is not None:
-            yield done()
-
-    tasks = _texts(docs, text_col).mapInArrow(mark, "slice int, once binary, twice binary")
-    merged = tasks.repartition("slice").sortWithinPartitions("slice").mapInArrow(merge, "slice int, twice binary")
-    out = np.zeros(1 << (CELL_BITS - 3), np.uint8)
-    for row in merged.toLocalIterator():
-        out[row["slice"] * slice_bytes : (row["slice"] + 1) * slice_bytes] = np.frombuffer(row["twice"], np.uint8)
-    return out
-
-
 def _chars(key: bytes) -> int:
-    return len(key) if len(key) < 1 or key.isascii() else len(key.decode())
+    return len(key) if key.isascii() else len(key.decode())
 
 
 def repeated_keys(docs: DataFrame, min_docs: int, min_chars: int, text_col: str = "text") -> DataFrame:
     """(key): the digests of the keys of at least min_chars code points found in at least min_docs rows of docs."""
-    filter_bits = docs.sparkSession.sparkContext.broadcast(seen_twice(docs, text_col, min_chars))
+
+    def keys_of(batch: pa.RecordBatch) -> list[bytes]:
+        """Every key once per row."""
+        return [k for text in batch.column(0).to_pylist() for k in set(line_keys(text)) if _chars(k) >= min_chars]
+
+    filter_bits = docs.sparkSession.sparkContext.broadcast(bloom.seen_twice(_texts(docs, text_col), lambda batch: _hashes(keys_of(batch))))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, counts = filter_bits.value, Counter()
@@ -113,10 +65,8 @@ def repeated_keys(docs: DataFrame, min_docs: int, min_chars: int, text_col: str
             return pa.RecordBatch.from_arrays([pa.array(list(map(_digest, counts)), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["key", "n"])
 
         for batch in batches:
-            found = [k for text in batch.column(0).to_pylist() for k in set(line_keys(text)) if _chars(k) >= min_chars]
-            hit = np.ones(len(found), bool)
-            for cells in _cells(_hashes(found)):
-                hit &= (bits[(cells >> np.uint64(3)).astype(np.int64)] >> (cells & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            found = keys_of(batch)
+            hit = bloom.test(bits, _hashes(found))
             counts.update([found[i] for i in np.flatnonzero(hit)])
             if len(counts) > COUNTED:
                 yield flush()

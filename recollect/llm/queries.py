@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, linededup, mix, quality, shard, tokencount, tokenfile
+from . import ann, chat, jaccard, linededup, mix, quality, shard, tokencount, tokenfile
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -58,6 +58,10 @@ def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_ann": op3_ann,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_tokencount": op7_tokencount,
     "op8_chat": op8_chat,
     "op9_linededup": op9_linededup,
+    "op10_jaccard": op10_jaccard,
 }
 
 _WS = r"\x20\x09-\x0D"

@@ -1,37 +1,35 @@
-"""Words and word shingles as 64-bit numbers, a batch of texts at a time."""
+"""Words and word shingles as 64-bit numbers, for whole Arrow batches of texts at a time.
+
+A word is a run of anything but ASCII white space, with A-Z lower-cased. Its hash is a polynomial over random byte
+values modulo 2 ** 64, read off running sums of the batch's bytes, so that no word becomes a Python object.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import xxhash
+import pyarrow as pa
 
 SHINGLE = 5
-_CACHE: dict[bytes, int] = {}
-_CACHE_ROWS = 500_000
-#: Odd multipliers, one per place in a shingle (fixed values, the golden ratio's powers modulo 2 ** 64).
-_PLACES = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(SHINGLE)], np.uint64)
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHE_ROWS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_HASHES = _Hashes()
-
-
-def words(text: str | bytes | None) -> list[bytes]:
-    """Runs of anything but ASCII white space, A-Z lower-cased: what bytes.lower and bytes.split do."""
-    if text is None:
-        return []
-    return (text.encode() if isinstance(text, str) else text).lower().split()
-
-
-def word_hashes(found: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
+#: Bytes hashed at a time; a longer text is cut at white space.
+BLOCK = 1 << 21
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_VALUE = np.random.default_rng(5).integers(1, 1 << 64, 256, np.uint64, endpoint=False)
+_VALUE[65:91] = _VALUE[97:123]
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_PLACES = np.array([pow(int(_BASE), i + 3, 1 << 64) for i in range(SHINGLE)], np.uint64)
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The base's powers and their inverses modulo 2 ** 64, at least n of each."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, 1 << 16)
+        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (_BASE, inverse)]
+    return _POWERS
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -41,21 +39,80 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _block(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the words in data, where a text begins at each place of breaks."""
+    inside = ~_SPACE[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    at = breaks[(breaks > 0) & (breaks < len(data))]
+    first[at] |= inside[at]
+    last[at - 1] |= inside[at - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    power, inverse = _powers(len(data))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[data] * power[: len(data)])])
+    return mix64((sums[ends] - sums[starts]) * inverse[starts]), starts, ends
+
+
+def _cuts(data: np.ndarray) -> list[int]:
+    """Places at white space that cut data into pieces of about BLOCK bytes."""
+    cuts, at = [0], BLOCK
+    while at < len(data):
+        while at < len(data) and not _SPACE[data[at]]:
+            at += 1
+        cuts.append(at)
+        at += BLOCK
+    return [*cuts, len(data)]
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, counts, starts, ends) for a column of texts (string or binary): all words' hashes in order, the number
+    of words in each row, and the words' places in bytes from their row's start. Nulls have no words."""
+    column = column.cast(pa.binary()).cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
+    parts: list[tuple] = []
+    row = 0
+    while row < len(column):
+        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + BLOCK, "right")) - 1)
+        stop = min(stop, len(column))
+        piece = data[offsets[row] : offsets[stop]]
+        cuts = _cuts(piece) if stop == row + 1 and len(piece) > BLOCK else [0, len(piece)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            h, s, e = _block(piece[a:b], offsets[row:stop] - offsets[row] - a)
+            parts.append((h, s + a + offsets[row], e + a + offsets[row]))
+        row = stop
+    hashes, starts, ends = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate((np.uint64, np.int64, np.int64)))
+    bounds = np.searchsorted(starts, offsets)
+    counts = np.diff(bounds)
+    base = np.repeat(offsets[:-1], counts)
+    return hashes, counts, starts - base, ends - base
+
+
 def grams(hashes: np.ndarray, n: int = SHINGLE) -> np.ndarray:
-    """A number for every run of n words, in order; none if there are fewer."""
+    """A number for every run of n hashes, in order; none if there are fewer."""
     if len(hashes) < n:
         return np.zeros(0, np.uint64)
-    out = np.zeros(len(hashes) - n + 1, np.uint64)
-    for i in range(n):
-        out += mix64(hashes[i : len(hashes) - n + 1 + i] + np.uint64(i)) * _PLACES[i]
+    size = len(hashes) - n + 1
+    out = hashes[:size] * _PLACES[0]
+    for i in range(1, n):
+        out += hashes[i : i + size] * _PLACES[i]
     return mix64(out)
 
 
-def shingle_set(text: str | bytes | None, n: int = SHINGLE) -> np.ndarray:
-    """The text's distinct n-word shingles, sorted; with fewer words the whole sequence as one; none without words."""
-    hashes = word_hashes(words(text))
-    if not len(hashes):
-        return np.zeros(0, np.uint64)
-    if len(hashes) < n:
-        return grams(hashes, len(hashes)) ^ np.uint64(len(hashes))
-    return np.unique(grams(hashes, n))
+def shingle_sets(column: pa.Array, n: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Each row's distinct n-word shingles, sorted; with fewer words the whole sequence as one; none without words."""
+    hashes, counts, _, _ = word_hashes(column)
+    every = grams(hashes, n)
+    at = 0
+    for count in counts.tolist():
+        if count >= n:
+            found = np.sort(every[at : at + count - n + 1])
+            keep = np.ones(len(found), bool)
+            np.not_equal(found[1:], found[:-1], out=keep[1:])
+            yield found[keep]
+        elif count:
+            yield grams(hashes[at : at + count], count) ^ np.uint64(count)
+        else:
+            yield np.zeros(0, np.uint64)
+        at += count

@@ -1,2 +1,61 @@
+"""The corpus pipeline: quality, near-duplicates, decontamination, mixture, token files."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from recollect.llm import decontaminate, jaccard, mix, quality, tokenfile
+from recollect.llm.queries import WORD_BPE, table, tokenizer_path
+from recollect.llm.workspace import materialize
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on those of docs that have labels, gives 0.5 or more."""
+    stats = materialize(quality.document_statistics(docs, "doc_id", "text"), "quality-statistics")
+    model = quality.fit(stats, table(spark, sf_dir, "labels"))
+    return docs.where(model.column(F.col("text")) >= 0.5)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of every component of near-duplicates; rows with a null doc_id stay."""
+    found = jaccard.jaccard_components(docs)
+    gone = materialize(found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "near-duplicates")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    gone = materialize(found.select("doc_id").distinct(), "contaminated")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    return mix.mixed_documents(docs)
+
+
+def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token file of what is left, read back: doc_id, start, n_tokens, ids_crc32."""
+    return tokenfile.token_file(docs, tokenizer_path(WORD_BPE))
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", keep_one_of_each),
+    ("benchmark decontamination", keep_uncontaminated),
+    ("mixing sources to target weights", mix_sources),
+    ("token-ID / binary output", write_token_ids),
+]
+
+#: Neither the classifier, the alignment nor the tokenizer can be said in SQL.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order over documents, each one's rows written and read again for the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.split()[0])
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -27,7 +27,7 @@ from .workspace import materialize
 #: Similarity as a fraction, so that the comparison is exact.
 NUMERATOR, DENOMINATOR = 80, 100
 #: Shingles counted at a time, sightings among them from which one is reported, most shingles in the common table.
-COUNT_CHUNK, COUNT_LEAST, COMMON_ROWS = 4_000_000, 4, 500_000
+COUNT_CHUNK, COUNT_LEAST, COMMON_ROWS = 3_000_000, 3, 1_000_000
 #: log2 of the bits in the filter of wanted ids.
 WANTED_BITS = 27
 
@@ -81,7 +81,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
     """(doc_id, n, digest, group, prefix) for docs(doc_id, text as bytes): the set's size, digests of the sequence of
     words and of prefix and size; for documents without words n is 0 and the rest null."""
     shared = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs))
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()), ("group", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()), ("group", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = shared.value
@@ -95,11 +95,12 @@ def document_sets(docs: DataFrame) -> DataFrame:
                     continue
                 first = _prefix(found, common, counts)
                 digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                group.append(hashlib.blake2b(len(found).to_bytes(4, "little") + first.tobytes(), digest_size=16).digest())
+                # two groups that share a number are compared as one, which only adds pairs to verify
+                group.append(int.from_bytes(hashlib.blake2b(len(found).to_bytes(4, "little") + first.tobytes(), digest_size=8).digest(), "little", signed=True))
                 prefix.append(first.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(group, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(group, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n int, digest binary, group binary, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n int, digest binary, group long, prefix array<long>")
 
 
 def _postings(sets: DataFrame) -> DataFrame:
@@ -122,7 +123,7 @@ def _postings(sets: DataFrame) -> DataFrame:
                 [pa.array(found[hit].view(np.int64)), batch.column(0).take(pa.array(row[hit])), pa.array(place[hit].astype(np.int32)), batch.column(1).take(pa.array(row[hit]))], ["shingle", "n", "p", "group"]
             )
 
-    return known.select("n", "group", "prefix").mapInArrow(run, "shingle long, n int, p int, group binary").distinct()
+    return known.select("n", "group", "prefix").mapInArrow(run, "shingle long, n int, p int, group long").distinct()
 
 
 def _may_link(na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
@@ -131,28 +132,46 @@ def _may_link(na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
     return F.least(na - pa_, nb - pb) * (NUMERATOR + DENOMINATOR) >= (na + nb) * NUMERATOR
 
 
-def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of class ids whose whole sets are similar enough.
+class _Wanted:
+    """A bit map, of fixed size whatever the input, of the ids that stand in pairs: it picks rows where they are read, so
+    that the exchange for the exact join that follows carries little else."""
+
+    def __init__(self, pairs: DataFrame):
+        self.ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        slot = self.slot("id")
+        maps = self.ids.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
+        self.bits = pairs.sparkSession.sparkContext.broadcast({r["bucket"]: bytes(r["bits"]) for r in maps})
+
+    @staticmethod
+    def slot(column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(1 << WANTED_BITS))
+
+    def marked(self, frame: DataFrame) -> DataFrame:
+        """frame(id, ...) with the place of each id in the bit map as the last two columns."""
+        slot = self.slot("id")
+        return frame.where(F.col("id").isNotNull()).withColumns({"bucket": F.bitmap_bucket_number(slot), "bit": F.bitmap_bit_position(slot)})
+
+    @staticmethod
+    def pick(bits: dict[int, bytes], batch: pa.RecordBatch) -> pa.RecordBatch:
+        places = (batch.column(batch.num_columns - i).to_pylist() for i in (2, 1))
+        hit = [i for i, (bucket, bit) in enumerate(zip(*places, strict=True)) if (found := bits.get(bucket)) and found[bit >> 3] >> (bit & 7) & 1]
+        return batch.take(pa.array(hit, pa.int64()))
+
 
-    Only documents that stand in a pair are read again in full: a bit map of wanted ids, of fixed size, picks them
-    where they are read, and the join with the wanted classes is exact."""
-    spark = docs.sparkSession
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    slot = F.pmod(F.xxhash64("id"), F.lit(1 << WANTED_BITS))
-    maps = wanted.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
-    shared = spark.sparkContext.broadcast({r["bucket"]: bytes(r["bits"]) for r in maps})
+def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of class ids whose whole sets are similar enough; only documents in a pair are read in full."""
+    wanted = _Wanted(pairs)
+    bits = wanted.bits
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = [i for i, (bucket, bit) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)) if (bits := shared.value.get(bucket)) and bits[bit >> 3] >> (bit & 7) & 1]
-            batch = batch.take(pa.array(hit, pa.int64()))
+            batch = _Wanted.pick(bits.value, batch)
             found = list(words.shingle_sets(batch.column(1)))
             digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["id", "digest", "shingles"])
 
-    read = docs.select(F.col("doc_id").alias("id"), "text").where(F.col("id").isNotNull()).select("id", "text", F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"))
-    whole = read.mapInArrow(sets, "id long, digest binary, shingles array<long>")
-    chosen = classes.select(F.col("cid").alias("id"), "digest").join(wanted, "id", "left_semi")
+    whole = wanted.marked(docs.select(F.col("doc_id").alias("id"), "text")).mapInArrow(sets, "id long, digest binary, shingles array<long>")
+    chosen = classes.select(F.col("cid").alias("id"), "digest").join(wanted.ids, "id", "left_semi")
     whole = materialize(whole.join(chosen, ["id", "digest"]).dropDuplicates(["id"]).select("id", "shingles"), "jaccard-sets")
     left, right = whole.select(F.col("id").alias("a"), F.col("shingles").alias("x")), whole.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     joined = pairs.join(left, "a").join(right, "b")
@@ -161,6 +180,24 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     return joined.where(good).select("a", "b")
 
 
+def _by_prefix(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose prefixes share enough. Of the set whose prefix ends first in the order, no shingle of the prefix
+    can be shared beyond the other's prefix, so all that is shared is what the prefixes share and at most the rest."""
+    wanted = _Wanted(pairs)
+    bits = wanted.bits
+
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _Wanted.pick(bits.value, batch).select([0, 1, 2])
+
+    rows = wanted.marked(sets.select(F.col("doc_id").alias("id"), "n", "prefix")).mapInArrow(picked, "id long, n int, prefix array<long>")
+    heads = rows.join(wanted.ids, "id", "left_semi").groupBy(F.col("id").alias("doc_id"), "n", F.xxhash64("prefix")).agg(F.first("prefix").alias("prefix"))
+    heads = materialize(heads, "jaccard-heads")
+    l, r = heads.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("x")), heads.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("y"))
+    most = F.size(F.array_intersect("x", "y")) + F.greatest(F.col("na") - F.size("x"), F.col("nb") - F.size("y"))
+    return pairs.join(l, "a").join(r, "b").where(most * (NUMERATOR + DENOMINATOR) >= (F.col("na") + F.col("nb")) * NUMERATOR).select("a", "b").distinct()
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), a row per row of docs.
 
@@ -175,8 +212,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = materialize(named.groupBy("digest").agg(F.min("doc_id").alias("cid"), F.first("group").alias("group")), "jaccard-classes")
     # a class may share its name with another where two rows have one doc_id: they are then one node
     postings = materialize(_postings(named), "jaccard-postings")
-    leaders = postings.groupBy("shingle").agg(F.min(F.struct("p", "n", "group")).alias("lead"), F.count("*").alias("m")).where("m > 1")
-    near = postings.join(leaders, "shingle").where((F.col("group") != F.col("lead.group")) & _may_link(F.col("n"), F.col("p"), F.col("lead.n"), F.col("lead.p")))
+    leaders = postings.groupBy("shingle").agg(F.min(F.struct("p", "n", "group")).alias("lead"), F.count("*").alias("m")).where("m > 1").select("shingle", "lead")
+    shared = materialize(postings.join(leaders, "shingle"), "jaccard-shared")
+    near = shared.where((F.col("group") != F.col("lead.group")) & _may_link(F.col("n"), F.col("p"), F.col("lead.n"), F.col("lead.p")))
     group_pairs = near.select("group", F.col("lead.group").alias("other")).distinct()
     heads = classes.groupBy("group").agg(F.min("cid").alias("head"), F.count("*").alias("members"))
     members = classes.select("group", F.col("cid").alias("a"))
@@ -184,30 +222,36 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     within = members.join(heads.where("members > 1"), "group").select("a", F.col("head").alias("b"))
     ordered = lambda pairs: pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = materialize(ordered(across.unionByName(within)), "jaccard-pairs")
-    links = materialize(_verify(texts, classes, first), "jaccard-links")
+    links = materialize(_verify(texts, classes, materialize(_by_prefix(named, first), "jaccard-likely")), "jaccard-links")
     found = components(links)
 
     placed = classes.join(found.withColumnRenamed("node", "cid"), "cid", "left").select("group", "cid", F.coalesce("component", "cid").alias("component"))
     placed = materialize(placed, "jaccard-placed")
-    at = postings.join(placed.select("group", "component").distinct(), "group")
+    at = shared.select("shingle", "n", "p", "group").join(placed.select("group", "component").distinct(), "group")
     mixed = at.groupBy("shingle").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("shingle")
-    open_at = materialize(at.join(mixed, "shingle").select("shingle", "n", "p", "component").distinct(), "jaccard-open")
-    l, r = open_at.alias("l"), open_at.alias("r")
+    still = materialize(at.join(mixed, "shingle"), "jaccard-open")
+    by_component = still.select("shingle", "n", "p", "component").distinct()
+    l, r = by_component.alias("l"), by_component.alias("r")
     apart = l.join(r, (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.component") < F.col("r.component")) & _may_link(F.col("l.n"), F.col("l.p"), F.col("r.n"), F.col("r.p")))
     apart = apart.select(F.col("l.shingle").alias("shingle"), *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "lr" for c in ("n", "p", "component")])
-    where = postings.join(placed, "group").select("shingle", "n", "p", "component", "cid")
+    apart = materialize(apart, "jaccard-apart")
 
-    def side(s: str, name: str) -> DataFrame:
-        return where.select("shingle", *[F.col(c).alias(f"{s}_{c}") for c in ("n", "p", "component")], F.col("cid").alias(name))
+    def side(s: str) -> DataFrame:
+        return still.select("shingle", *[F.col(c).alias(f"{s}_{c}") for c in ("n", "p", "component")], F.col("group").alias(f"{s}_group"))
 
-    crossing = apart.join(side("l", "a"), ["shingle", "l_n", "l_p", "l_component"]).join(side("r", "b"), ["shingle", "r_n", "r_p", "r_component"]).select("a", "b")
+    crossing = apart.join(side("l"), ["shingle", "l_n", "l_p", "l_component"]).join(side("r"), ["shingle", "r_n", "r_p", "r_component"])
+    crossing = crossing.select("l_group", "l_component", "r_group", "r_component").distinct()
+    for s, name in (("l", "a"), ("r", "b")):
+        crossing = crossing.join(placed.select(F.col("group").alias(f"{s}_group"), F.col("component").alias(f"{s}_component"), F.col("cid").alias(name)), [f"{s}_group", f"{s}_component"])
+    crossing = crossing.select("a", "b")
     several = placed.groupBy("group").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("group")
     inner = placed.join(several, "group")
     inside = inner.alias("l").join(inner.alias("r"), (F.col("l.group") == F.col("r.group")) & (F.col("l.component") < F.col("r.component"))).select(F.col("l.cid").alias("a"), F.col("r.cid").alias("b"))
     second = materialize(ordered(crossing.unionByName(inside)).join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
     if not second.isEmpty():
-        links = materialize(links.unionByName(_verify(texts, classes, second)), "jaccard-links")
-        found = components(links)
+        more = materialize(_verify(texts, classes, materialize(_by_prefix(named, second), "jaccard-likely")), "jaccard-links")
+        if not more.isEmpty():
+            found = components(links.unionByName(more))
     final = classes.join(found.withColumnRenamed("node", "cid"), "cid", "left").select("digest", F.coalesce("component", "cid").alias("component"))
     rows = sets.select("doc_id", "n", "digest").join(materialize(final, "jaccard-components"), "digest", "left")
     return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 
 SHINGLE = 5
 #: Bytes hashed at a time; a longer text is cut at white space.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _VALUE = np.random.default_rng(5).integers(1, 1 << 64, 256, np.uint64, endpoint=False)

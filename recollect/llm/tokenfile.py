@@ -26,13 +26,28 @@ class _Ids(dict):
     line break, so a text's ids are those of its words in turn."""
 
     def __init__(self, tokenizer):
+        from tokenizers import pre_tokenizers
+
         super().__init__()
         self.tokenizer = tokenizer
+        self.normal, self.model = tokenizer.normalizer.normalize_str, tokenizer.model.tokenize
+        self.letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+
+    def _ids(self, word: str) -> bytes:
+        """A run of letters is one piece to the tokenizer, and a stop or comma after it another, so these go to its
+        model alone, in lower case; all else goes to the whole tokenizer."""
+        if word[-1:] in (".", ",") and word[:-1].isalpha() and (word.isascii() or self.normal(word[:-1]).isalpha()):
+            return self[word[:-1]] + self[word[-1]]
+        if word.isalpha() and (lower := word.lower() if word.isascii() else self.normal(word)).isalpha():
+            if lower != word:
+                return self[lower]
+            return np.array([t.id for t in self.model(word if word.isascii() else self.letters(word)[0][0])], "<u4").tobytes()
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_ROWS:
             self.clear()
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self._ids(word)
         if len(word) <= CACHED_CHARS:
             self[word] = ids
         return ids

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -16,7 +17,11 @@ from .workspace import new_path
 #: A segment is closed once it holds so many ids, so it has at most these and one document's.
 SEGMENT_IDS = 1 << 18
 #: Entries of a worker's cache, most characters of one, and words encoded at a time.
-CACHE_ROWS, CACHED_CHARS = 300_000, 64
+CACHE_ROWS, CACHED_CHARS = 700_000, 64
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class _Ids(dict):
@@ -41,8 +46,8 @@ class _Ids(dict):
         if word.isalpha() and (lower := word.lower() if word.isascii() else self.normal(word)).isalpha():
             if lower != word:
                 return self[lower]
-            return np.array([t.id for t in self.model(word if word.isascii() else self.letters(word)[0][0])], "<u4").tobytes()
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            return _bytes([t.id for t in self.model(word if word.isascii() else self.letters(word)[0][0])])
+        return _bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_ROWS:
@@ -140,7 +145,7 @@ _SEGMENTS = pa.schema([("task", pa.int32()), ("segment", pa.int32()), ("first",
 
 
 def read_tokens(spark: SparkSession, out: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) from the files, each document read by its place alone."""
+    """(doc_id, start, n_tokens, ids_crc32) from the files; a segment is read in one range, and its documents are cut out of it."""
     schema = "task int, segment int, first long, doc_ids array<long>, lengths array<long>, code binary"
     segments = spark.read.schema(schema).parquet(f"{out}/segments")
     placed = segments.join(spark.read.schema("task int, offset long").parquet(f"{out}/tasks"), "task").select((F.col("offset") + F.col("first")).alias("start"), "doc_ids", "lengths", "code")
@@ -150,7 +155,8 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
             for start, doc_ids, lengths, code in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 reader = dac.Reader(code)
                 ends = np.cumsum(lengths)
-                sums = [zlib.crc32(reader.range(int(e - n), int(e)).astype("<u4").tobytes()) for e, n in zip(ends, lengths, strict=True)]
+                ids = memoryview(reader.range(0, reader.n).astype("<u4").tobytes())
+                sums = [zlib.crc32(ids[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(doc_ids, pa.int64()), pa.array(start + ends - np.array(lengths), pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],

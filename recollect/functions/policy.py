@@ -33,3 +33,50 @@ class BatchPolicy:
     max_bytes: float = 65_536.0
     stop_kind: str = "Stop"
     end_kind: str = "SessionEnd"
+
+
+@dataclass(frozen=True)
+class ScorePolicy:
+    rare_fraction: float = 0.01
+    rare_length: int = 3
+    applicable_coverage: float = 0.25
+    rare_coverage: float = 0.15
+    exact_coverage: float = 0.5
+    lexical_coverage: float = 0.3
+    strong_lift: float = 0.02
+    weak_lift: float = 0.01
+    standalone_lift: float = 0.03
+    median_scope: int = 8
+    typical_median: float = 0.83
+
+
+@dataclass(frozen=True)
+class PackPolicy:
+    items: int = 6
+    probable_items: int = 2
+    hard_limit: int = 1024
+    target: int = 600
+    full_limit: int = 192
+
+
+@dataclass(frozen=True)
+class EpochPolicy:
+    soft: int = 8192
+    hard: int = 12_288
+
+
+@dataclass(frozen=True)
+class ArchivePolicy:
+    space_high: int = 3000
+    space_target: int = 2700
+    total_high: int = 6000
+    total_target: int = 5500
+    cold_days: int = 14
+    batch: int = 50
+
+
+@dataclass(frozen=True)
+class RecoveryPolicy:
+    attempts: int = 7
+    recoveries: int = 2
+    pause_hours: int = 6

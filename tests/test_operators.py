@@ -76,3 +76,35 @@ def test_stream_drops_repeats_and_closes_sessions(spark, tmp_path):
     assert spark.table("first").count() == 3
     assert intake.sessions(spark.createDataFrame(rows, "session string, dedup string, at timestamp")).count() == 3
     assert {r["n"] for r in spark.table("sess").where("session = 'u'").collect()} == {1, 2}
+
+
+def test_retired_only_needs_every_line_at_a_boundary(spark):
+    from recollect.operators import admission
+
+    cases = [
+        (1, ["old/app.py: x", "see old/b"], ["old/"], True),
+        (2, ["cold/app.py"], ["old/"], False),
+        (3, ["old/a", "new/b"], ["old/"], False),
+        (4, [], ["old/"], False),
+        (5, ["[x]a.b+c"], ["a.b+"], True),
+        (6, ["axb+c"], ["a.b+"], False),
+    ]
+    rows = spark.createDataFrame(cases, "id int, e array<string>, p array<string>, want boolean")
+    got = {r["id"]: r["got"] for r in rows.select("id", admission.retired_only(F.col("e"), F.col("p")).alias("got")).collect()}
+    assert got == {c[0]: c[3] for c in cases}
+
+
+def test_unseen_and_recent_work(spark):
+    from recollect.operators import admission, prompts
+
+    rows = spark.createDataFrame([("e", 1, 1), ("e", 1, 2), ("f", 1, 1)], "epoch string, id int, revision int")
+    given = spark.createDataFrame([("e", 1, 1)], "epoch string, id int, revision int")
+    assert {tuple(r) for r in prompts.unseen(rows, given).collect()} == {("e", 1, 2), ("f", 1, 1)}
+    # a: idle, no note; b: still busy; c: its note is as new as its work; d: two newer notes of its project; e: no prompt
+    events = spark.sql(
+        """SELECT session, project, timestamp(at) AS at, kind FROM VALUES ('a', 'p', '2024-01-02 00:00:00', 'prompt'), ('b', 'p', '2024-01-02 11:59:00', 'prompt'),
+           ('c', 'p', '2024-01-02 03:00:00', 'prompt'), ('d', 'q', '2024-01-02 01:00:00', 'prompt'), ('e', 'p', '2024-01-02 01:00:00', 'stop') AS t(session, project, at, kind)"""
+    )
+    notes = spark.sql("SELECT session, project, timestamp(at) AS through_at FROM VALUES ('c', 'p', '2024-01-02 03:00:00'), ('x', 'q', '2024-01-02 02:00:00'), ('y', 'q', '2024-01-02 03:00:00') AS t(session, project, at)")
+    found = admission.recent_work(events, notes, F.lit("2024-01-02 12:00:00").cast("timestamp"), 30, 7, 2)
+    assert [r["session"] for r in found.collect()] == ["a"]

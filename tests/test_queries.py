@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from recollect.plans import lifecycle, registry, relations, retrieval  # noqa: F401
+from recollect.plans import lifecycle, prompts, registry, relations, retrieval  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

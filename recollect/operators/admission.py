@@ -27,6 +27,7 @@ def paged(rows: DataFrame, keys: list[str], order: list[str], size: int = 64) ->
 
 def retired_only(evidence: Column, prefixes: Column) -> Column:
     """Whether there is evidence and every line of it holds a prefix, first at its start or after white space, `/` or `]`."""
+
     def at_boundary(line: Column, prefix: Column) -> Column:
         at = F.position(prefix, line)
         return (at == 1) | ((at > 1) & F.substr(line, at - 1, F.lit(1)).rlike(r"[\s/\]]"))

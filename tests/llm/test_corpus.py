@@ -160,6 +160,31 @@ def test_decontamination_finds_exact_and_edited(spark, empty):
     assert decontaminate.contaminated(docs, tests.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copied", [False, True])
+def test_decontamination_finds_every_few_words_changed(spark, copied):
+    """Items of 16 to 59 words with every fourth, fifth or sixth word changed, with and without exact copies elsewhere."""
+    policy = decontaminate.AlignPolicy()
+    items = {n: [f"i{n}_{k}" for k in range(n)] for n in range(16, 60)}
+    texts, want = {}, {}
+    for n, item in items.items():
+        for step in (4, 5, 6):
+            for at in range(step):
+                doc_id = len(texts)
+                texts[doc_id] = [f"c{doc_id}_{k}" if k % step == at else w for k, w in enumerate(item)]
+                number = {w: k + 1 for k, w in enumerate({*item, *texts[doc_id]})}
+                a, b = (np.array([number[w] for w in x], np.uint64) for x in (texts[doc_id], item))
+                want[doc_id, n] = decontaminate.align([a], [b], policy)[0] / (policy.match * n)
+    assert min(want.values()) >= policy.threshold
+    rows = [(i, "before " + " ".join(t) + " after") for i, t in texts.items()]
+    if copied:
+        rows += [(10_000 + 100 * n + k, " ".join(item)) for n, item in items.items() for k in range(3)]
+        want |= {(10_000 + 100 * n + k, n): 1.0 for n in items for k in range(3)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tests = spark.createDataFrame([(n, " ".join(item)) for n, item in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(docs, tests).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_alignment_by_hand():
     policy = decontaminate.AlignPolicy()
 

@@ -5,9 +5,10 @@ similarity of t or more share a shingle among the first |x| - ceil(t |x|) + 1 of
 same prefix and size form one group; the groups' postings are joined by shingle, group pairs are filtered by size and
 by the shingles' places, and what is left is expanded to members and verified on the whole sets.
 
-As the result is the components of the links, members of a component need no further comparison: a first round links
-every group to the leader of each of its shingles, and a second compares only what still stands in different
-components, which finds every link that the first left out.
+Components come first, for which members of a component need no further comparison: a first round links every group to
+the leader of each of its shingles, and a second compares only what still stands in different components, which finds
+every link between components that the first left out. All links lie inside components then, and they are counted there:
+a component's classes are dealt into salted blocks of bounded size, and every two blocks meet once, on the whole sets.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ NUMERATOR, DENOMINATOR = 80, 100
 COUNT_CHUNK, COUNT_LEAST, COMMON_ROWS = 3_000_000, 3, 1_000_000
 #: log2 of the bits in the filter of wanted ids.
 WANTED_BITS = 27
+#: Classes of one component in a block; columns of the incidence matrix multiplied at a time.
+BLOCK, COLUMNS = 128, 4096
 
 
 def prefix_length(n: int) -> int:
@@ -133,13 +136,15 @@ def _may_link(na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
 
 
 class _Wanted:
-    """A bit map, of fixed size whatever the input, of the ids that stand in pairs: it picks rows where they are read, so
+    """A bit map, of fixed size whatever the input, of one document of each class that stands in pairs: it picks rows where they are read, so
     that the exchange for the exact join that follows carries little else."""
 
-    def __init__(self, pairs: DataFrame):
-        self.ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        slot = self.slot("id")
-        maps = self.ids.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
+    def __init__(self, classes: DataFrame, pairs: DataFrame):
+        ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+        #: the classes that stand in pairs
+        self.classes = classes.select("cid", "doc", "digest").join(ids, "cid", "left_semi")
+        slot = self.slot("doc")
+        maps = self.classes.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
         self.bits = pairs.sparkSession.sparkContext.broadcast({r["bucket"]: bytes(r["bits"]) for r in maps})
 
     @staticmethod
@@ -158,9 +163,10 @@ class _Wanted:
         return batch.take(pa.array(hit, pa.int64()))
 
 
-def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of class ids whose whole sets are similar enough; only documents in a pair are read in full."""
-    wanted = _Wanted(pairs)
+def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) of classes whose whole sets are similar enough, and (id, shingles) of all classes in pairs; only
+    documents in a pair are read in full."""
+    wanted = _Wanted(classes, pairs)
     bits = wanted.bits
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,49 +174,114 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
             batch = _Wanted.pick(bits.value, batch)
             found = list(words.shingle_sets(batch.column(1)))
             digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["id", "digest", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["doc", "digest", "shingles"])
 
-    whole = wanted.marked(docs.select(F.col("doc_id").alias("id"), "text")).mapInArrow(sets, "id long, digest binary, shingles array<long>")
-    chosen = classes.select(F.col("cid").alias("id"), "digest").join(wanted.ids, "id", "left_semi")
-    whole = materialize(whole.join(chosen, ["id", "digest"]).dropDuplicates(["id"]).select("id", "shingles"), "jaccard-sets")
+    whole = wanted.marked(docs.select(F.col("doc_id").alias("id"), "text")).mapInArrow(sets, "doc long, digest binary, shingles array<long>")
+    whole = whole.join(wanted.classes, ["doc", "digest"]).select(F.col("cid").alias("id"), "shingles").dropDuplicates(["id"])
+    whole = materialize(whole, "jaccard-sets")
     left, right = whole.select(F.col("id").alias("a"), F.col("shingles").alias("x")), whole.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     joined = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("x", "y"))
     good = common * DENOMINATOR >= (F.size("x") + F.size("y") - common) * NUMERATOR
-    return joined.where(good).select("a", "b")
+    return joined.where(good).select("a", "b"), whole
+
+
+def _count_links(members: DataFrame, whole: DataFrame) -> DataFrame:
+    """(cid, linked): for members(cid, component, m, weight), m being the component's classes and whole their sets, the
+    weights of the classes that are similar enough. Pairs never become rows: a block of them gives a sum per class."""
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("cid", F.lit(BLOCK)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = dealt.join(whole.withColumnRenamed("id", "cid"), "cid").select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "weight", "shingles")
+
+    def linked(held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        own, cid, weight = (np.concatenate([h[c] for h in held]) for c in range(3))
+        sets = [x for h in held for x in h[3]]
+        n = np.array([len(x) for x in sets])
+        values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        place = np.full(len(values), -1)
+        place[times > 1] = np.arange((times > 1).sum())
+        row, column = np.repeat(np.arange(len(n)), n), place[column]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        common = np.zeros((len(n), len(n)), np.int64)
+        for at in range(0, int((times > 1).sum()), COLUMNS):
+            part = slice(*np.searchsorted(column, (at, at + COLUMNS)))
+            a = np.zeros((len(n), COLUMNS), np.float32)
+            a[row[part], column[part] - at] = 1
+            common += (a @ a.T).astype(np.int64)
+        good = common * DENOMINATOR >= (n[:, None] + n - common) * NUMERATOR
+        if own.min() != own.max():
+            good &= own[:, None] != own
+        np.fill_diagonal(good, False)
+        return cid, good @ weight
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by block pair, so that one is held at a time."""
+        key, held, done = None, [], []
+
+        def report() -> pa.RecordBatch:
+            cid, n = (np.concatenate(x) for x in zip(*done, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(cid), pa.array(n)], ["cid", "linked"])
+
+        for batch in batches:
+            component, i, j, own, cid, weight = (batch.column(c).to_numpy() for c in range(6))
+            shingles = batch.column(6)
+            offsets, flat = np.concatenate([[0], np.cumsum(shingles.value_lengths().to_numpy())]), shingles.flatten().to_numpy()
+            cuts = (np.flatnonzero((np.diff(component) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1).tolist()
+            for start, stop in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if start == stop:
+                    continue
+                this = (component[start], i[start], j[start])
+                if this != key and held:
+                    done.append(linked(held))
+                    held = []
+                key = this
+                held.append((own[start:stop], cid[start:stop], weight[start:stop], [flat[offsets[r] : offsets[r + 1]].copy() for r in range(start, stop)]))
+            if done:
+                yield report()
+                done = []
+        if held:
+            done.append(linked(held))
+            yield report()
+
+    by = ("component", "i", "j")
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "cid long, linked long").groupBy("cid").agg(F.sum("linked").alias("linked"))
 
 
-def _by_prefix(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+def _by_prefix(sets: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose prefixes share enough. Of the set whose prefix ends first in the order, no shingle of the prefix
     can be shared beyond the other's prefix, so all that is shared is what the prefixes share and at most the rest."""
-    wanted = _Wanted(pairs)
+    wanted = _Wanted(classes, pairs)
     bits = wanted.bits
 
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _Wanted.pick(bits.value, batch).select([0, 1, 2])
+            yield _Wanted.pick(bits.value, batch).select([0, 1, 2, 3])
 
-    rows = wanted.marked(sets.select(F.col("doc_id").alias("id"), "n", "prefix")).mapInArrow(picked, "id long, n int, prefix array<long>")
-    heads = rows.join(wanted.ids, "id", "left_semi").groupBy(F.col("id").alias("doc_id"), "n", F.xxhash64("prefix")).agg(F.first("prefix").alias("prefix"))
+    rows = wanted.marked(sets.select(F.col("doc_id").alias("id"), "digest", "n", "prefix")).mapInArrow(picked, "doc long, digest binary, n int, prefix array<long>")
+    heads = rows.join(wanted.classes, ["doc", "digest"]).groupBy("cid", "n").agg(F.first("prefix").alias("prefix"))
     heads = materialize(heads, "jaccard-heads")
-    l, r = heads.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("x")), heads.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("y"))
+    l, r = heads.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("x")), heads.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("y"))
     most = F.size(F.array_intersect("x", "y")) + F.greatest(F.col("na") - F.size("x"), F.col("nb") - F.size("y"))
     return pairs.join(l, "a").join(r, "b").where(most * (NUMERATOR + DENOMINATOR) >= (F.col("na") + F.col("nb")) * NUMERATOR).select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row per row of docs.
-
-    Equal sets are one class, named by its smallest doc_id. Documents without words are empty and linked with nothing;
-    shorter than a shingle, the whole sequence is the one shingle. Rows with a null doc_id take no part in links and
-    have a null component_id; repeated rows each get their row; an empty table gives no rows. Other columns are not
-    read. Texts count whole, whatever their length.
+    """(doc_id, n_shingles, n_links, component_id), a row per row of docs: n_links is the number of other rows that are
+    similar enough, equal ones included, component_id the smallest doc_id of the row's component.
+
+    Equal sets are one class, however many doc_ids they have, and rows of one doc_id with different sets stand in
+    different classes. Documents without words are empty and linked with nothing; shorter than a shingle, the whole
+    sequence is the one shingle. Rows with a null doc_id take no part in links, have no links and a null component_id;
+    repeated rows each get their row; an empty table gives no rows. Other columns are not read. Texts count whole,
+    whatever their length.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     sets = materialize(document_sets(texts), "jaccard-prefixes")
     named = sets.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
-    classes = materialize(named.groupBy("digest").agg(F.min("doc_id").alias("cid"), F.first("group").alias("group")), "jaccard-classes")
-    # a class may share its name with another where two rows have one doc_id: they are then one node
+    # a class's number is 64 bits of its digest, as a shingle is 64 bits of its words; doc is where its text is read
+    classes = named.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.count("*").alias("weight"), F.first("group").alias("group")).withColumn("cid", F.xxhash64("digest"))
+    classes = materialize(classes, "jaccard-classes")
     postings = materialize(_postings(named), "jaccard-postings")
     leaders = postings.groupBy("shingle").agg(F.min(F.struct("p", "n", "group")).alias("lead"), F.count("*").alias("m")).where("m > 1").select("shingle", "lead")
     shared = materialize(postings.join(leaders, "shingle"), "jaccard-shared")
@@ -222,7 +293,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     within = members.join(heads.where("members > 1"), "group").select("a", F.col("head").alias("b"))
     ordered = lambda pairs: pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = materialize(ordered(across.unionByName(within)), "jaccard-pairs")
-    links = materialize(_verify(texts, classes, materialize(_by_prefix(named, first), "jaccard-likely")), "jaccard-links")
+    links, whole = _verify(texts, classes, materialize(_by_prefix(named, classes, first), "jaccard-likely"))
+    links = materialize(links, "jaccard-links")
     found = components(links)
 
     placed = classes.join(found.withColumnRenamed("node", "cid"), "cid", "left").select("group", "cid", F.coalesce("component", "cid").alias("component"))
@@ -249,9 +321,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     inside = inner.alias("l").join(inner.alias("r"), (F.col("l.group") == F.col("r.group")) & (F.col("l.component") < F.col("r.component"))).select(F.col("l.cid").alias("a"), F.col("r.cid").alias("b"))
     second = materialize(ordered(crossing.unionByName(inside)).join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
     if not second.isEmpty():
-        more = materialize(_verify(texts, classes, materialize(_by_prefix(named, second), "jaccard-likely")), "jaccard-links")
+        more, also = _verify(texts, classes, materialize(_by_prefix(named, classes, second), "jaccard-likely"))
+        more = materialize(more, "jaccard-links")
         if not more.isEmpty():
             found = components(links.unionByName(more))
-    final = classes.join(found.withColumnRenamed("node", "cid"), "cid", "left").select("digest", F.coalesce("component", "cid").alias("component"))
+            whole = whole.unionByName(also.join(whole.select("id"), "id", "left_anti"))
+    placed = classes.select("cid", "doc", "weight").join(found.withColumnRenamed("node", "cid"), "cid")
+    members = placed.join(placed.groupBy("component").agg(F.min("doc").alias("name"), F.count("*").alias("m")), "component")
+    members = materialize(members, "jaccard-members")
+    linked = materialize(_count_links(members.select("cid", "component", "m", "weight"), whole), "jaccard-counts")
+    final = classes.join(members.select("cid", "name"), "cid", "left").join(linked, "cid", "left")
+    final = final.select("digest", F.coalesce("name", "doc").alias("component"), (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("links"))
     rows = sets.select("doc_id", "n", "digest").join(materialize(final, "jaccard-components"), "digest", "left")
-    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    known = F.col("doc_id").isNotNull()
+    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(known, F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.when(known, F.coalesce("component", "doc_id")).alias("component_id"))

@@ -160,6 +160,33 @@ def test_decontamination_finds_exact_and_edited(spark, empty):
     assert decontaminate.contaminated(docs, tests.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [128, 7])
+def test_jaccard_counts_every_link(spark, monkeypatch, block):
+    """A family of near copies, exact copies, repeated rows and doc_ids with two texts: rows against rows by hand."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = np.random.default_rng(7)
+    base, other = ([f"{x}{i}" for i in range(60)] for x in "tu")
+    rows = [(500, " ".join(base)), (500, " ".join(other)), (600, " ".join(base)), (600, " ".join(base)), (None, " ".join(base)), (700, None), (701, "")]
+    rows += [(900, " ".join([*other[:-1], "end"])), (901, " ".join([*base[:-1], "end"]))]
+    for i in range(90):
+        w = list(base)
+        for k in rng.integers(0, 60, rng.integers(0, 3)):
+            w[k] = f"e{i}_{k}"
+        rows.append((i, " ".join(w)))
+    sets = [frozenset(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)) if t and i is not None else frozenset() for i, t in rows]
+
+    def similar(x, y):
+        return bool(x and y) and 100 * len(x & y) >= 80 * len(x | y)
+
+    near = [[m for m, y in enumerate(sets) if m != k and similar(x, y)] for k, x in enumerate(sets)]
+    name = [i for i, _ in rows]
+    for _ in rows:
+        name = [name[k] if not near[k] else min(name[k], *(name[m] for m in near[k])) for k in range(len(rows))]
+    want = sorted((str(i), len(near[k]), str(name[k])) for k, (i, _) in enumerate(rows))
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((str(r["doc_id"]), r["n_links"], str(r["component_id"])) for r in got) == want
+
+
 @pytest.mark.parametrize("copied", [False, True])
 def test_decontamination_finds_every_few_words_changed(spark, copied):
     """Items of 16 to 59 words with every fourth, fifth or sixth word changed, with and without exact copies elsewhere."""

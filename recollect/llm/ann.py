@@ -76,8 +76,9 @@ def _radius(codes: Codes, sample: np.ndarray, k: int) -> int:
 def _classes(vectors: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
     """(key, ids, vector): one row per distinct vector with its k + 1 smallest ids, which is all that any query needs.
 
-    The ranking limit runs before the exchange, so a vector that a third of the rows share moves k + 1 rows a task."""
-    rows = usable(vectors, id_col, vector_col)
+    Repeated ids are one before they are ranked. That takes an exchange of keys and ids, in which every id of a vector
+    that a third of the rows share goes its own way; the ranking limit then runs before the exchange by key."""
+    rows = usable(vectors, id_col, vector_col).dropDuplicates(["key", "vec_id"])
     w = Window.partitionBy("key").orderBy("vec_id")
     few = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1)
     return few.groupBy("key").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.first("vector").alias("vector"))
@@ -123,7 +124,8 @@ def nearest(vectors: DataFrame, k: int = 10, query_modulus: int = 100, id_col: s
         again = _search(index, asked.join(short, "key", "left_semi"), BITS, k)
         found = found.join(short, "key", "left_anti").unionByName(again)
     own = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    rows = query_ids.join(found, "key").where(F.col("query_id") != F.col("vec_id"))
+    # an id with two vectors counts once, at the nearer
+    rows = query_ids.join(found, "key").where(F.col("query_id") != F.col("vec_id")).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return rows.withColumn("rank", F.row_number().over(own).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -161,13 +163,19 @@ def _search(index: DataFrame, asked: DataFrame, radius: int, k: int) -> DataFram
                 if not len(at):
                     continue
                 score = distances(a[i], x[at])
-                if len(at) > k + 1:
-                    keep = score <= np.partition(score, k)[k]
-                    at, score = at[keep], score[keep]
-                out += [(key, int(v), s) for s, v in sorted((float(s), v) for r, s in zip(at, score, strict=True) for v in ids[r])[: k + 1]]
+                some, best = k + 1, {}
+                while True:  # an id may stand under several vectors, so that more of them are needed
+                    keep = score <= np.partition(score, some - 1)[some - 1] if some < len(at) else np.ones(len(at), bool)
+                    for s, v in sorted((float(s), int(v)) for r, s in zip(at[keep], score[keep], strict=True) for v in ids[r]):
+                        best.setdefault(v, s)
+                    if len(best) > k or keep.all():
+                        break
+                    some, best = some * 2, {}
+                out += [(key, v, s) for v, s in list(best.items())[: k + 1]]
         return pd.DataFrame(out, columns=["key", "vec_id", "score"])
 
     by = ("sub", "top", "salt", "chunk")
     near = stored.groupBy(*by).cogroup(probes.groupBy(*by)).applyInPandas(block, "key string, vec_id long, score double")
     w = Window.partitionBy("key").orderBy("score", "vec_id")
+    near = near.groupBy("key", "vec_id").agg(F.min("score").alias("score"))
     return near.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1).drop("n")

@@ -314,3 +314,25 @@ def test_neighbours(spark):
     assert ann.nearest(df.limit(0)).count() == 0
     few = ann.nearest(df.where("vec_id in (0, 5, 9)")).collect()
     assert len(few) == 2
+
+
+def test_neighbours_of_repeated_rows(spark):
+    """A query and a neighbour that are repeated 12 times, and an id with 12 vectors, count once each."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((60, 8))
+    x[[1, 2]] = x[0] + 0.01, x[0] + 0.02
+    rows = [(i, v) for i, v in enumerate(x)] + [(i, x[i]) for i in (0, 1) for _ in range(11)] + [(k, x[0] + 0.03 + j / 1000) for k in (3, 100) for j in range(12)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in ann.nearest(df).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert set(got) == {0, 100}
+    for q, found in got.items():
+        best = {}
+        for a in (v for i, v in rows if i == q):
+            for i, v in rows:
+                if i != q:
+                    best[i] = min(best.get(i, np.inf), float(np.sqrt(((v - a) ** 2).sum())))
+        assert len(found) == len({v for v, _ in found}) == 10
+        assert [v for v, _ in found][:3] == sorted(best, key=best.get)[:3]
+        assert all(abs(s - best[v]) < 1e-9 for v, s in found)

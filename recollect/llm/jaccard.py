@@ -28,7 +28,7 @@ from .workspace import materialize
 #: Similarity as a fraction, so that the comparison is exact.
 NUMERATOR, DENOMINATOR = 80, 100
 #: Shingles counted at a time, sightings among them from which one is reported, most shingles in the common table.
-COUNT_CHUNK, COUNT_LEAST, COMMON_ROWS = 3_000_000, 3, 1_000_000
+COUNT_CHUNK, COUNT_LEAST, COMMON_ROWS = 400_000, 3, 250_000
 #: log2 of the bits in the filter of wanted ids.
 WANTED_BITS = 27
 #: Classes of one component in a block; columns of the incidence matrix multiplied at a time.
@@ -51,12 +51,13 @@ def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["shingle", "n"])
 
         for batch in batches:
-            for found in words.shingle_sets(batch.column(1)):
-                held.append(found)
-                size += len(held[-1])
-                if size >= COUNT_CHUNK:
-                    yield report()
-                    held, size = [], 0
+            for part in words.pieces(batch):
+                for found in words.shingle_sets(part.column(1)):
+                    held.append(found)
+                    size += len(found)
+                    if size >= COUNT_CHUNK:
+                        yield report()
+                        held, size = [], 0
         if held:
             yield report()
 
@@ -88,7 +89,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in words.pieces(whole)):
             n, digest, group, prefix = [], [], [], []
             for found in words.shingle_sets(batch.column(1)):
                 n.append(len(found))
@@ -113,7 +114,8 @@ def _postings(sets: DataFrame) -> DataFrame:
         return batch.column(column).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
     known = sets.where(F.col("prefix").isNotNull())
-    twice = known.sparkSession.sparkContext.broadcast(bloom.seen_twice(known.select("prefix"), lambda batch: flat(batch, 0)))
+    size = bloom.cell_bits(known.agg(F.sum(F.size("prefix"))).first()[0] or 0)
+    twice = known.sparkSession.sparkContext.broadcast(bloom.seen_twice(known.select("prefix"), lambda batch: flat(batch, 0), size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,8 +172,7 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> tuple[Data
     bits = wanted.bits
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = _Wanted.pick(bits.value, batch)
+        for batch in (part for whole in batches for part in words.pieces(_Wanted.pick(bits.value, whole))):
             found = list(words.shingle_sets(batch.column(1)))
             digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["doc", "digest", "shingles"])

@@ -16,6 +16,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .words import pieces
 from .workspace import materialize
 
 STATISTICS = (
@@ -23,6 +24,8 @@ STATISTICS = (
     "doubled", "line_length", "lines_again", "sentence_ends", "one_letter",
 )
 COMPONENTS, RIDGE, SEED, BINS = 256, 1e-3, 20_240_229, 400
+#: Labelled documents that a filter is fitted on, about; of more, a share by hash of the id is taken.
+FIT_ROWS = 500_000
 _UPPER = bytes(range(65, 91))
 _DIGITS = bytes(range(48, 58))
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -66,8 +69,8 @@ def document_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFram
     """(doc_id, x): a row per row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [statistics(t) for t in batch.column(1).to_pylist()]
+        for batch in (part for whole in batches for part in pieces(whole)):
+            made = [statistics(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.float64()))], ["doc_id", "x"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -88,16 +91,16 @@ class QualityModel:
         raw = fourier(x, self.mean, self.scale) @ self.weights
         return np.clip(np.interp(raw, self.knots, self.levels), 0.0, 1.0)
 
-    def score_texts(self, texts: list[bytes | None]) -> np.ndarray:
-        return self.score(np.array([statistics(t) for t in texts], float).reshape(-1, len(STATISTICS)))
-
     def column(self, text: Column) -> Column:
+        """The score of a text column; a text at a time becomes an object of its own."""
         model = self
 
-        @F.pandas_udf("double")
-        def quality_score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for texts in batches:
-                yield pd.Series(model.score_texts([None if t is None else bytes(t) for t in texts]))
+        @F.arrow_udf("double")
+        def quality_score(texts: pa.Array) -> pa.Array:
+            made = np.empty((len(texts), len(STATISTICS)))
+            for i, t in enumerate(texts):
+                made[i] = statistics(t.as_py())
+            return pa.array(model.score(made), pa.float64())
 
         return quality_score(text.cast("binary"))
 
@@ -200,3 +203,20 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     rows = stats.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), scored("x").alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of docs that score `least` or more, with the columns of docs.
+
+    The fit reads only documents that have a label, at most about FIT_ROWS; then every text is read once, scored and
+    kept or left out, with no join. Null and empty texts have a score like any other, so do rows with a null id;
+    repeated rows fare alike; without usable labels every score is 0.5; an empty table gives no rows.
+    """
+    usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(F.col(id_col)) != 1))
+    ids = usable.select(F.col(id_col).alias("doc_id")).distinct()
+    slots = 1 << 30
+    taken = F.pmod(F.xxhash64("doc_id"), F.lit(slots)) < F.lit(slots) * F.lit(float(FIT_ROWS)) / F.greatest(F.lit(ids.count()), F.lit(1))
+    ids = materialize(ids.where(taken), "quality-ids")
+    known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(ids, "doc_id", "left_semi")
+    model = fit(materialize(document_statistics(known, "doc_id", "text"), "quality-statistics"), labels, id_col, label_col)
+    return docs.where(model.column(F.col(text_col)) >= least)

@@ -10,10 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SHINGLE = 5
-#: Bytes hashed at a time; a longer text is cut at white space.
-BLOCK = 1 << 19
+#: Bytes hashed at a time, and bytes of texts taken from a batch at a time.
+BLOCK, PIECE_BYTES = 1 << 18, 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _VALUE = np.random.default_rng(5).integers(1, 1 << 64, 256, np.uint64, endpoint=False)
@@ -40,7 +41,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def _block(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends of the words in data, where a text begins at each place of breaks."""
+    """Sums, starts and ends of the words in data, where a text begins at each place of breaks."""
     inside = ~_SPACE[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
@@ -49,44 +50,50 @@ def _block(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray
     first[at] |= inside[at]
     last[at - 1] |= inside[at - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    power, inverse = _powers(len(data))
+    power, inverse = _powers(BLOCK)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[data] * power[: len(data)])])
-    return mix64((sums[ends] - sums[starts]) * inverse[starts]), starts, ends
+    return (sums[ends] - sums[starts]) * inverse[starts], starts, ends
 
 
-def _cuts(data: np.ndarray) -> list[int]:
-    """Places at white space that cut data into pieces of about BLOCK bytes."""
-    cuts, at = [0], BLOCK
-    while at < len(data):
-        while at < len(data) and not _SPACE[data[at]]:
-            at += 1
-        cuts.append(at)
-        at += BLOCK
-    return [*cuts, len(data)]
+def pieces(batch: pa.RecordBatch, column: int = 1, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of some rows whose texts come to about `most` bytes, a longer text alone: what is made of the
+    texts of a whole batch is many times their size."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    row = 0
+    while row < batch.num_rows:
+        base = int(ends[row - 1]) if row else 0
+        stop = max(row + 1, int(np.searchsorted(ends, base + most, "right")))
+        yield batch.slice(row, stop - row)
+        row = stop
 
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, counts, starts, ends) for a column of texts (string or binary): all words' hashes in order, the number
-    of words in each row, and the words' places in bytes from their row's start. Nulls have no words."""
+    of words in each row, and the words' places in bytes from their row's start. Nulls have no words.
+
+    Bytes are summed in blocks of fixed size; a word that reaches over a block's end goes on in the next one, so a text
+    without white space takes no more memory than others."""
     column = column.cast(pa.binary()).cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
-    parts: list[tuple] = []
-    row = 0
-    while row < len(column):
-        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + BLOCK, "right")) - 1)
-        stop = min(stop, len(column))
-        piece = data[offsets[row] : offsets[stop]]
-        cuts = _cuts(piece) if stop == row + 1 and len(piece) > BLOCK else [0, len(piece)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            h, s, e = _block(piece[a:b], offsets[row:stop] - offsets[row] - a)
-            parts.append((h, s + a + offsets[row], e + a + offsets[row]))
-        row = stop
-    hashes, starts, ends = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate((np.uint64, np.int64, np.int64)))
-    bounds = np.searchsorted(starts, offsets)
-    counts = np.diff(bounds)
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    low, high = (int(offsets[0]), int(offsets[-1])) if len(offsets) else (0, 0)
+    for at in range(low, high, BLOCK):
+        piece = data[at : min(at + BLOCK, high)]
+        begins, until = np.searchsorted(offsets, (at, at + len(piece)))
+        sums, s, e = _block(piece, offsets[begins:until] - at)
+        goes_on = len(s) and s[0] == 0 and parts and parts[-1][2][-1] == at and (begins == len(offsets) or offsets[begins] != at)
+        if goes_on:
+            before, since, end = parts[-1]
+            before[-1:] += sums[:1] * np.array([pow(int(_BASE), at - int(since[-1]), 1 << 64)], np.uint64)
+            end[-1] = at + e[0]
+            sums, s, e = sums[1:], s[1:], e[1:]
+        if len(s):
+            parts.append((sums, s + at, e + at))
+    sums, starts, ends = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate((np.uint64, np.int64, np.int64)))
+    counts = np.diff(np.searchsorted(starts, offsets))
     base = np.repeat(offsets[:-1], counts)
-    return hashes, counts, starts - base, ends - base
+    return mix64(sums), counts, starts - base, ends - base
 
 
 def grams(hashes: np.ndarray, n: int = SHINGLE) -> np.ndarray:

@@ -26,8 +26,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _key(doc_id: Column, policy: MixPolicy) -> Column:
-    return F.md5(F.concat(F.lit(policy.seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def _key(doc_id: Column, text: Column, policy: MixPolicy) -> Column:
+    """The seeded place of a row: by its id and its text, so that rows with a null or repeated id part as well."""
+    return F.md5(F.concat(F.lit(policy.seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
 
 
 def _source(source: Column) -> Column:
@@ -106,11 +107,11 @@ def _plan(rows: DataFrame, policy: MixPolicy) -> DataFrame:
 def mix(docs: DataFrame, policy: MixPolicy = MixPolicy(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """(plan, report): the plan by source, and one row per document with doc_id, size, source_size, target, taken.
 
-    Rows with one doc_id are taken alike; null and empty texts have size 0 and are taken as often as others of their
+    Rows with one doc_id and text are taken alike; null and empty texts have size 0 and are taken as often as others of their
     source; a null source is a source of its own, last in order. Equal seeds give equal mixes whatever the
     partitioning. An empty table gives empty results. The report names no other column of docs.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), _source(F.col(source_col)).alias("src"), word_count(F.col(text_col)).alias("size"), _key(F.col(id_col), policy).alias("key"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), _source(F.col(source_col)).alias("src"), word_count(F.col(text_col)).alias("size"), _key(F.col(id_col), F.col(text_col), policy).alias("key"))
     rows = materialize(rows, "mix-sizes")
     plan = _plan(rows, policy)
     report = rows.join(plan, "src").select("doc_id", "size", "source_size", "target", (F.col("size") * repetitions()).alias("taken"))
@@ -125,6 +126,6 @@ def repetitions() -> Column:
 def mixed_documents(docs: DataFrame, policy: MixPolicy = MixPolicy(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs with every row repeated as often as the mix takes it, with the columns of docs."""
     plan, _ = mix(docs, policy, id_col, text_col, source_col)
-    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _source(docs[source_col]).alias("src"), _key(docs[id_col], policy).alias("key"))
+    held = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), _source(docs[source_col]).alias("src"), _key(docs[id_col], docs[text_col], policy).alias("key"))
     times = held.join(plan, "src").select("row", repetitions().cast("int").alias("times")).where("times > 0")
     return times.select(F.explode(F.array_repeat("row", F.col("times"))).alias("row")).select("row.*")

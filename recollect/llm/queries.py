@@ -86,7 +86,7 @@ ORACLE_SQL: dict[str, str] = {
 WITH d AS (
   SELECT doc_id, coalesce('v' || source, 'z') AS src,
          coalesce(len(regexp_extract_all(text, '[^{_WS}]+')), 0)::BIGINT AS size,
-         md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')) AS key
+         md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS key
   FROM documents),
 s AS (SELECT src, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY src) - 1 AS rk FROM d GROUP BY src),
 w AS (SELECT *, [5.0, 2.0, 1.0][rk % 3 + 1]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS total FROM s),

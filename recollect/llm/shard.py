@@ -46,8 +46,8 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
     """One row per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Size is the text's UTF-8 bytes (null: none) plus 8. Language, source and size are quantised to 16 levels of about
-    equal depth each; rows follow the Hilbert curve through the cells, inside a cell by the text's crc32, so that equal
-    texts with equal metadata lie together, then by doc_id. The run is cut by the law `rows`: counts differ by one at
+    equal depth each; rows follow the Hilbert curve through the cells, inside a cell by the text's crc32 and size, then
+    by doc_id. Equal texts lie together at the first of their places, so that only a cut can part them. The run is cut by the law `rows`: counts differ by one at
     most; the slot is the place in the shard from 0. The law has no growth rule, so grown_shard is null. Null metadata
     is a level of its own end of the scale; repeated rows keep a slot each; an empty table gives no rows.
 
@@ -72,7 +72,10 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
 
     cells = rows.select("doc_id", "size", "text_crc32", *[level(i).cast("int").alias(c) for i, c in enumerate("abc")])
     placed = cells.join(F.broadcast(curve(spark)), ["a", "b", "c"]).select("doc_id", "size", "text_crc32", "h", F.xxhash64("doc_id", "text_crc32").alias("salt"))
-    order = ["h", "text_crc32", "salt", "doc_id"]
+    # equal texts whose metadata differ go to the first of their places
+    apart = placed.groupBy("text_crc32", "size").agg(F.min("h").alias("to"), F.max("h").alias("last")).where("to < last").select("text_crc32", "size", "to")
+    placed = placed.join(materialize(apart, "shard-groups"), ["text_crc32", "size"], "left").withColumn("h", F.coalesce("to", "h")).drop("to")
+    order = ["h", "text_crc32", "size", "salt", "doc_id"]
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = placed.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     numbered = materialize(dealt.select("doc_id", "size", "text_crc32", F.monotonically_increasing_id().alias("at")), "shard-order")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import dac
+from .words import pieces
 from .workspace import new_path
 
 #: A segment is closed once it holds so many ids, so it has at most these and one document's.
@@ -20,6 +22,21 @@ SEGMENT_IDS = 1 << 18
 CACHE_ROWS, CACHED_CHARS = 700_000, 64
 
 
+#: What the word-by-word way relies on: white space becomes one space and belongs to no piece.
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _by_words(tokenizer) -> bool:
+    """Whether a text's ids are those of its words in turn, as far as the tokenizer's own description tells."""
+    told = json.loads(tokenizer.to_str())
+    normal, cut = told["normalizer"] or {}, told["pre_tokenizer"] or {}
+    steps = cut.get("pretokenizers", [])
+    splits = [s.get("pattern", {}).get("Regex") == _PIECES and s.get("behavior") == "Removed" and s.get("invert") for s in steps[:1]]
+    plain = not any(" " in t["content"] or t["lstrip"] or t["rstrip"] for t in told["added_tokens"])
+    return normal.get("normalizers") == _NORMAL and splits == [True] and [s["type"] for s in steps[1:]] == ["ByteLevel"] and not steps[1]["add_prefix_space"] and plain
+
+
 def _bytes(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -28,13 +45,16 @@ class _Ids(dict):
     """Word to its ids as little-endian uint32 bytes.
 
     The tokenizer replaces white space and never joins over it, and its normal form composes nothing with a space or
-    line break, so a text's ids are those of its words in turn."""
+    line break, so a text's ids are those of its words in turn. A tokenizer that does not say so of itself is given
+    whole texts."""
 
     def __init__(self, tokenizer):
         from tokenizers import pre_tokenizers
 
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.by_words = tokenizer, _by_words(tokenizer)
+        if not self.by_words:
+            return
         self.normal, self.model = tokenizer.normalizer.normalize_str, tokenizer.model.tokenize
         self.letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
 
@@ -58,6 +78,8 @@ class _Ids(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
+        if not self.by_words:
+            return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
@@ -80,8 +102,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = _worker_ids(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            made = [np.frombuffer((words.encode(t) if t else b"") + end, "<u4") for t in batch.column(1).to_pylist()]
+        for batch in (part for whole in batches for part in pieces(whole)):
+            made = [np.frombuffer((words.encode(t.as_py()) if t.is_valid else b"") + end, "<u4") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in made], pa.int64()), pa.array([_pack(x) for x in made], pa.binary())], ["doc_id", "n", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -144,6 +166,15 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, out: str, id
 _SEGMENTS = pa.schema([("task", pa.int32()), ("segment", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("code", pa.binary())])
 
 
+def token_at(spark: SparkSession, out: str, place: int) -> int | None:
+    """The id at a place of the whole file, counted from 0, or None beyond its end: only the segment that holds it is
+    taken, and in it one byte a level is read."""
+    segments, tasks = spark.read.parquet(f"{out}/segments"), spark.read.parquet(f"{out}/tasks")
+    start, n = F.col("offset") + F.col("first"), F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
+    row = segments.join(tasks, "task").where((start <= place) & (start + n > place)).select(start.alias("start"), "code").first()
+    return None if row is None else int(dac.Reader(row["code"])[place - row["start"]])
+
+
 def read_tokens(spark: SparkSession, out: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files; a segment is read in one range, and its documents are cut out of it."""
     schema = "task int, segment int, first long, doc_ids array<long>, lengths array<long>, code binary"

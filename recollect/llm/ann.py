@@ -95,8 +95,9 @@ def nearest(vectors: DataFrame, k: int = 10, query_modulus: int = 100, id_col: s
     """(query_id, rank, vec_id, score): for rows whose id is divisible by query_modulus the k nearest found among all
     others by Euclidean distance, ties to the smaller id.
 
-    Rows with null, zero or non-finite vectors take no part, nor do those of another length than most. Equal vectors
-    are searched once and their results shared; repeated ids count once. A query that finds fewer than k within the
+    Rows with null, zero or non-finite vectors take no part; vectors of different lengths have no distance and meet in
+    no search, and those of another length than most are searched whole, by blocks. Equal vectors are searched once
+    and their results shared; repeated ids count once. A query that finds fewer than k within the
     radius is searched again with the full radius, which compares it with every code. An empty table gives no rows.
     """
     spark = vectors.sparkSession
@@ -105,8 +106,8 @@ def nearest(vectors: DataFrame, k: int = 10, query_modulus: int = 100, id_col: s
     schema = "query_id long, rank int, vec_id long, score double"
     if lengths is None:
         return spark.createDataFrame([], schema)
-    classes = classes.where(F.size("vector") == lengths["n"])
-    sample = np.array([r["vector"] for r in classes.orderBy(F.md5(F.col("key"))).limit(SAMPLE_ROWS).select("vector").collect()])
+    most = F.size("vector") == lengths["n"]
+    sample = np.array([r["vector"] for r in classes.where(most).orderBy(F.md5(F.col("key"))).limit(SAMPLE_ROWS).select("vector").collect()])
     codes = Codes(sample)
     radius = _radius(codes, sample, k)
 
@@ -114,15 +115,20 @@ def nearest(vectors: DataFrame, k: int = 10, query_modulus: int = 100, id_col: s
     def code(x: pd.Series) -> pd.Series:
         return pd.Series(list(codes(np.array(x.to_list())).astype(np.int32)))
 
-    index = materialize(classes.withColumn("code", code("vector")), "ann-index")
+    index = materialize(classes.where(most).withColumn("code", code("vector")), "ann-index")
+    # a code of zeros: all other lengths share one bucket and are told apart by their length
+    others = materialize(classes.where(~most).withColumn("code", F.array_repeat(F.lit(0), SUBSTRINGS)), "ann-others")
     query_ids = materialize(usable(vectors, id_col, vector_col).where(F.col("vec_id") % query_modulus == 0).select("key", F.col("vec_id").alias("query_id")).distinct(), "ann-queries")
     asked = materialize(index.join(query_ids.select("key").distinct(), "key", "left_semi"), "ann-asked")
     found = materialize(_search(index, asked, radius, k), "ann-found")
-    short = query_ids.join(found.groupBy("key").count(), "key", "left").where(F.coalesce("count", F.lit(0)) < k + 1).select("key").distinct()
+    short = query_ids.join(index.select("key"), "key", "left_semi").join(found.groupBy("key").count(), "key", "left").where(F.coalesce("count", F.lit(0)) < k + 1).select("key").distinct()
     short = materialize(short, "ann-short")
     if not short.isEmpty() and radius < BITS:
         again = _search(index, asked.join(short, "key", "left_semi"), BITS, k)
         found = found.join(short, "key", "left_anti").unionByName(again)
+    if not others.isEmpty():
+        rest = materialize(others.join(query_ids.select("key").distinct(), "key", "left_semi"), "ann-asked")
+        found = found.unionByName(_search(others, rest, 0, k))
     own = Window.partitionBy("query_id").orderBy("score", "vec_id")
     # an id with two vectors counts once, at the nearer
     rows = query_ids.join(found, "key").where(F.col("query_id") != F.col("vec_id")).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
@@ -142,15 +148,15 @@ def _search(index: DataFrame, asked: DataFrame, radius: int, k: int) -> DataFram
     salt = F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")
     # a cell is as large as its share of the codes, whatever the data: blocks bound it
     stored = index.select("ids", "vector", "code", salt.alias("salt"), F.explode(places).alias("p")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    stored = stored.select(F.col("p.sub").alias("sub"), F.col("p.top").alias("top"), "salt", "chunk", "ids", "vector", "code")
+    stored = stored.select(F.size("vector").alias("length"), F.col("p.sub").alias("sub"), F.col("p.top").alias("top"), "salt", "chunk", "ids", "vector", "code")
     cells = F.expr(f"filter(sequence(0, {(1 << top) - 1}), t -> bit_count(t ^ p.top) <= {reach})")
     probes = asked.select("key", "vector", "code", F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("int").alias("chunk"), F.explode(places).alias("p"))
-    probes = probes.withColumn("top", F.explode(cells)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select(F.col("p.sub").alias("sub"), "top", "salt", "chunk", "key", "vector", "code")
+    probes = probes.withColumn("top", F.explode(cells)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select(F.size("vector").alias("length"), F.col("p.sub").alias("sub"), "top", "salt", "chunk", "key", "vector", "code")
 
     def block(group: tuple, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(rows) and len(queries):
-            sub = int(group[0])
+            sub = int(group[1])
             x, c = np.array(rows["vector"].to_list()), np.array(rows["code"].to_list(), np.uint16)
             a, d = np.array(queries["vector"].to_list()), np.array(queries["code"].to_list(), np.uint16)
             ids = rows["ids"].to_list()
@@ -174,7 +180,7 @@ def _search(index: DataFrame, asked: DataFrame, radius: int, k: int) -> DataFram
                 out += [(key, v, s) for v, s in list(best.items())[: k + 1]]
         return pd.DataFrame(out, columns=["key", "vec_id", "score"])
 
-    by = ("sub", "top", "salt", "chunk")
+    by = ("length", "sub", "top", "salt", "chunk")
     near = stored.groupBy(*by).cogroup(probes.groupBy(*by)).applyInPandas(block, "key string, vec_id long, score double")
     w = Window.partitionBy("key").orderBy("score", "vec_id")
     near = near.groupBy("key", "vec_id").agg(F.min("score").alias("score"))

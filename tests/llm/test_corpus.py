@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from recollect.llm import ann, bloom, chat, dac, decontaminate, jaccard, linededup, mix, quality, shard, tokencount, tokenfile, words
 from recollect.llm.components import components
 from recollect.llm.queries import PIECE_BPE, WORD_BPE, tokenizer_path
+from recollect.llm.workspace import new_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, `group` string, key string, task int"
 LONG = " ".join(f"w{i}" for i in range(30_000))
@@ -69,6 +70,22 @@ def test_token_file(spark, docs, empty):
             assert (n, crc) == (len(ids), zlib.crc32(ids.tobytes()))
         at += n
     assert tokenfile.token_file(empty, tokenizer_path(WORD_BPE)).count() == 0
+    out = new_path(spark, "tokens")
+    tokenfile.write_tokens(docs, tokenizer_path(WORD_BPE), 2, out)
+    places = {t: (start, n) for _, start, n, _ in got for t in (start, start + n - 1)}
+    for place, (start, n) in list(places.items())[-6:]:
+        if place == start + n - 1:
+            assert tokenfile.token_at(spark, out, place) == 2
+    assert tokenfile.token_at(spark, out, at) is None
+
+
+def test_another_tokenizer_gets_whole_texts(docs):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    want = sorted(zlib.crc32(np.array([*tok.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for r in docs.collect())
+    assert sorted(r["ids_crc32"] for r in tokenfile.token_file(docs, path).collect()) == want
 
 
 def test_token_counts(docs, empty):
@@ -90,12 +107,32 @@ def test_line_dedup_both_ways(docs, empty):
             seen.setdefault(k, set()).add(i)
     gone = {k for k, v in seen.items() if len(v) >= 2}
     want = sorted(("\n".join(x for x in t.split("\n") if x.encode().strip().lower() not in gone), t.count("\n") + 1) for _, t in rows)
+    first = {}
+    for i, (doc, t) in enumerate(rows):
+        for place, line in enumerate(t.split("\n")):
+            k = line.encode().strip().lower()
+            if k in gone and doc is not None:
+                first[k] = min(first.get(k, (doc, place)), (doc, place))
+    stays = sorted("\n".join(x for p, x in enumerate(t.split("\n")) if (k := x.encode().strip().lower()) not in gone or first.get(k) == (d, p)) for d, t in rows)
     for most in (1000, 0):
         got = linededup.dedup_lines(docs, min_docs=2, broadcast_keys=most).collect()
         assert sorted((r["text"], r["n_lines"]) for r in got) == want
+        assert sorted(r["text"] for r in linededup.dedup_lines(docs, min_docs=2, broadcast_keys=most, keep_first=True).collect()) == stays
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def test_words_go_on_over_blocks(monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array([b"ab cd" * 40, b"x" * 300, None, b"", b" tail ", b"ab", b"cd e"], pa.binary())
+    whole = words.word_hashes(texts)
+    for block in (1, 2, 7, 64):
+        monkeypatch.setattr(words, "BLOCK", block)
+        assert all((a == b).all() for a, b in zip(words.word_hashes(texts), whole, strict=True))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), texts], ["i", "t"])
+    assert [i for p in words.pieces(batch, 1, 100) for i in p.column(0).to_pylist()] == list(range(7))
+
+
 def test_twice_filter_misses_no_repeat(spark):
     rows = spark.range(20_000, numPartitions=5).select((F.col("id") % 15_000).alias("h"))
     hashes_of = lambda b: words.mix64(b.column(0).to_numpy().astype(np.uint64))
@@ -153,9 +190,11 @@ def test_decontamination_finds_exact_and_edited(spark, empty):
         edited[i] = "changed"
     rows = [(1, LONG + " " + item + " " + LONG), (2, "start " + " ".join(edited)), (3, LONG), (4, " ".join(item.split()[:8])), (5, None), (6, ""), (1, "again " + item)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    tests = spark.createDataFrame([(0, item), (1, None), (2, "too short"), (3, "")], "item_id long, text string")
+    tests = spark.createDataFrame([(0, item), (0, item), (1, None), (2, "Too  short"), (3, "")], "item_id long, text string")
+    rows += [(7, "this is too short of words"), (8, "\ttoo SHORT ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(docs, tests).collect()}
-    assert set(got) == {(1, 0), (2, 0)} and got[1, 0] == 1.0 and 0.8 < got[2, 0] < 1
+    assert set(got) == {(1, 0), (2, 0), (8, 2)} and got[1, 0] == 1.0 and 0.8 < got[2, 0] < 1
     assert decontaminate.contaminated(empty, tests).count() == 0
     assert decontaminate.contaminated(docs, tests.limit(0)).count() == 0
 
@@ -314,6 +353,10 @@ def test_neighbours(spark):
     assert ann.nearest(df.limit(0)).count() == 0
     few = ann.nearest(df.where("vec_id in (0, 5, 9)")).collect()
     assert len(few) == 2
+    other = spark.createDataFrame([(2000 + i, [float(i), 1.0]) for i in range(0, 120, 20)], "vec_id long, embedding array<double>")
+    both = [r for r in ann.nearest(df.unionByName(other)).orderBy("rank").collect() if r["query_id"] >= 2000]
+    assert [r["vec_id"] for r in both if r["query_id"] == 2000] == [2020, 2040, 2060, 2080, 2100]
+    assert [r["vec_id"] for r in both if r["query_id"] == 2100] == [2080, 2060, 2040, 2020, 2000]
 
 
 def test_neighbours_of_repeated_rows(spark):

@@ -11,33 +11,57 @@ from recollect.llm.workspace import materialize
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on those of docs that have labels, gives 0.5 or more."""
-    stats = materialize(quality.document_statistics(docs, "doc_id", "text"), "quality-statistics")
-    model = quality.fit(stats, table(spark, sf_dir, "labels"))
-    return docs.where(model.column(F.col("text")) >= 0.5)
+    """Documents that the classifier, fitted on those of docs that have labels, gives 0.5 or more.
+
+    Null and empty texts are scored as texts of no words; rows with a null doc_id are scored but never fitted on;
+    repeated rows fare alike; an empty table stays empty.
+    """
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of every component of near-duplicates; rows with a null doc_id stay."""
-    found = jaccard.jaccard_components(docs)
-    gone = materialize(found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "near-duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of every component of near-duplicates: the one with the smallest doc_id, null ids last.
+
+    The rows are numbered first and compared by number, so that rows with a null or repeated doc_id are rows like
+    others and of exact repeats one stays. Texts without words are nobody's copy: all of them stay, repeats too.
+    """
+    number = "row"
+    while number in (c.lower() for c in docs.columns):
+        number += "_"
+    rows = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    found = materialize(jaccard.jaccard_components(rows, id_col=number).where("n_links > 0").select(F.col("doc_id").alias("number"), "component_id"), "near-duplicates")
+    ranked = rows.select(F.col(number).alias("number"), F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col(number).alias("number")).alias("rank")).join(found, "number")
+    first = ranked.groupBy("component_id").agg(F.min("rank")["number"].alias("number")).select("number")
+    gone = materialize(found.select("number").join(first, "number", "left_anti"), "near-duplicates-gone")
+    return rows.join(gone, rows[number] == gone["number"], "left_anti").drop(number)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    gone = materialize(found.select("doc_id").distinct(), "contaminated")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item.
+
+    Whether a text holds one depends on the text alone, so it goes by the text's hash: rows with a null or repeated
+    doc_id are judged like others. Null and empty texts hold nothing and stay; an empty table stays empty.
+    """
+    named = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    gone = materialize(decontaminate.contaminated(named, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("hash")).distinct(), "contaminated")
+    return docs.join(gone, F.xxhash64(docs["text"]) == gone["hash"], "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it.
+
+    A null source is a source of its own; null and empty texts have size 0 and are taken as often as others of their
+    source; rows with equal id and text are taken alike; an empty table stays empty.
+    """
     return mix.mixed_documents(docs)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token file of what is left, read back: doc_id, start, n_tokens, ids_crc32."""
+    """The token file of what is left, read back: doc_id, start, n_tokens, ids_crc32.
+
+    Null and empty texts are the end id alone, null ids come first, repeated rows stand each for themselves; an empty
+    table gives no rows.
+    """
     return tokenfile.token_file(docs, tokenizer_path(WORD_BPE))
 
 

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .workspace import small_batches
+
 #: log2 of the filters' cells, least and most (2 ** 28: 32 MB each), cells a sighting, hash functions, log2 of the
 #: cells in a slice.
 LEAST_BITS, MOST_BITS, CELLS_EACH, PROBES, SLICE_BITS = 22, 28, 8, 2, 17
@@ -84,6 +86,7 @@ def seen_twice(frame: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarra
     marked = frame.mapInArrow(mark, "slice int, once binary, twice binary")
     merged = marked.repartition("slice").sortWithinPartitions("slice").mapInArrow(merge, "slice int, twice binary")
     out = np.zeros(1 << (bits - 3), np.uint8)
-    for row in merged.toLocalIterator():
-        out[row["slice"] * _SLICE_BYTES : (row["slice"] + 1) * _SLICE_BYTES] = np.frombuffer(row["twice"], np.uint8)
+    with small_batches(frame.sparkSession):
+        for row in merged.toLocalIterator():
+            out[row["slice"] * _SLICE_BYTES : (row["slice"] + 1) * _SLICE_BYTES] = np.frombuffer(row["twice"], np.uint8)
     return out

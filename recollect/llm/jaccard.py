@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import bloom, words
 from .components import components
-from .workspace import materialize
+from .workspace import materialize, scratch, small_batches
 
 #: Similarity as a fraction, so that the comparison is exact.
 NUMERATOR, DENOMINATOR = 80, 100
@@ -61,7 +61,9 @@ def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield report()
 
-    top = docs.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(COMMON_ROWS).toPandas()
+    reported = docs.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    with small_batches(docs.sparkSession):
+        top = reported.orderBy(F.desc("n"), "shingle").limit(COMMON_ROWS).toPandas()
     shingles, n = top["shingle"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(shingles)
     return shingles[order], n[order]
@@ -278,7 +280,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     whatever their length.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    sets = materialize(document_sets(texts), "jaccard-prefixes")
+    sets = materialize(document_sets(texts), "jaccard-prefixes", keep=True)
+    with scratch(docs.sparkSession):
+        final = _classes_linked(texts, sets)
+    rows = sets.select("doc_id", "n", "digest").join(final, "digest", "left")
+    known = F.col("doc_id").isNotNull()
+    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(known, F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.when(known, F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def _classes_linked(texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """(digest, component, links): a row per class of equal sets, written."""
     named = sets.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
     # a class's number is 64 bits of its digest, as a shingle is 64 bits of its words; doc is where its text is read
     classes = named.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.count("*").alias("weight"), F.first("group").alias("group")).withColumn("cid", F.xxhash64("digest"))
@@ -333,6 +344,4 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     linked = materialize(_count_links(members.select("cid", "component", "m", "weight"), whole), "jaccard-counts")
     final = classes.join(members.select("cid", "name"), "cid", "left").join(linked, "cid", "left")
     final = final.select("digest", F.coalesce("name", "doc").alias("component"), (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("links"))
-    rows = sets.select("doc_id", "n", "digest").join(materialize(final, "jaccard-components"), "digest", "left")
-    known = F.col("doc_id").isNotNull()
-    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(known, F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.when(known, F.coalesce("component", "doc_id")).alias("component_id"))
+    return materialize(final, "jaccard-components", keep=True)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .words import pieces
-from .workspace import materialize
+from .workspace import materialize, scratch
 
 STATISTICS = (
     "log_words", "word_length", "long_words", "upper", "digits", "marks", "odd_marks", "beyond_ascii", "distinct", "top_word", "top_three",
@@ -195,7 +195,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     rows. Other columns of docs are never read.
     """
     stats = materialize(document_statistics(docs, id_col, text_col), "quality-statistics")
-    model = fit(stats, labels, id_col, label_col)
+    with scratch(docs.sparkSession):
+        model = fit(stats, labels, id_col, label_col)
 
     @F.pandas_udf("double")
     def scored(x: pd.Series) -> pd.Series:
@@ -216,7 +217,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, id_col: st
     ids = usable.select(F.col(id_col).alias("doc_id")).distinct()
     slots = 1 << 30
     taken = F.pmod(F.xxhash64("doc_id"), F.lit(slots)) < F.lit(slots) * F.lit(float(FIT_ROWS)) / F.greatest(F.lit(ids.count()), F.lit(1))
-    ids = materialize(ids.where(taken), "quality-ids")
-    known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(ids, "doc_id", "left_semi")
-    model = fit(materialize(document_statistics(known, "doc_id", "text"), "quality-statistics"), labels, id_col, label_col)
+    with scratch(docs.sparkSession):
+        # eight bytes for each of about FIT_ROWS ids
+        ids = materialize(ids.where(taken), "quality-ids")
+        known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "doc_id", "left_semi")
+        model = fit(materialize(document_statistics(known, "doc_id", "text"), "quality-statistics"), labels, id_col, label_col)
     return docs.where(model.column(F.col(text_col)) >= least)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,10 +28,49 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/recollect-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Most rows and bytes of an Arrow batch in the steps that are run here: the JVM, the worker and what is made of a batch
+#: each hold one at a time and more, in every task.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """The session's Arrow batches are small while a step runs."""
+    before = {k: spark.conf.get(k, None) for k in BATCH}
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside, but for those written with keep, are removed at the end. Nothing that is returned may
+    read them."""
+    mark = _written.set([])
+    try:
+        yield
+    finally:
+        done = _written.get()
+        _written.reset(mark)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in done:
+            at = hadoop(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: the lineage is cut, a lost executor costs a reread,
-    and the optimizer knows the table's real size when it decides on a broadcast."""
+    and the optimizer knows the table's real size when it decides on a broadcast. Inside scratch() the table lives as
+    long as that, unless it is to be kept."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
+    if not keep and (written := _written.get()) is not None:
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path)

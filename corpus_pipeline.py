@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recollect.llm import decontaminate, jaccard, mix, quality, tokenfile
 from recollect.llm.queries import WORD_BPE, table, tokenizer_path
-from recollect.llm.workspace import materialize
+from recollect.llm.workspace import materialize, scratch
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,10 +29,11 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     while number in (c.lower() for c in docs.columns):
         number += "_"
     rows = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
-    found = materialize(jaccard.jaccard_components(rows, id_col=number).where("n_links > 0").select(F.col("doc_id").alias("number"), "component_id"), "near-duplicates")
-    ranked = rows.select(F.col(number).alias("number"), F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col(number).alias("number")).alias("rank")).join(found, "number")
-    first = ranked.groupBy("component_id").agg(F.min("rank")["number"].alias("number")).select("number")
-    gone = materialize(found.select("number").join(first, "number", "left_anti"), "near-duplicates-gone")
+    with scratch(spark):
+        found = materialize(jaccard.jaccard_components(rows, id_col=number).where("n_links > 0").select(F.col("doc_id").alias("number"), "component_id"), "near-duplicates")
+        ranked = rows.select(F.col(number).alias("number"), F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col(number).alias("number")).alias("rank")).join(found, "number")
+        first = ranked.groupBy("component_id").agg(F.min("rank")["number"].alias("number")).select("number")
+        gone = materialize(found.select("number").join(first, "number", "left_anti"), "near-duplicates-gone", keep=True)
     return rows.join(gone, rows[number] == gone["number"], "left_anti").drop(number)
 
 
@@ -43,7 +44,8 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     doc_id are judged like others. Null and empty texts hold nothing and stay; an empty table stays empty.
     """
     named = docs.select(F.xxhash64("text").alias("doc_id"), "text")
-    gone = materialize(decontaminate.contaminated(named, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("hash")).distinct(), "contaminated")
+    with scratch(spark):
+        gone = materialize(decontaminate.contaminated(named, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("hash")).distinct(), "contaminated", keep=True)
     return docs.join(gone, F.xxhash64(docs["text"]) == gone["hash"], "left_anti")
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .worker import release
 from .workspace import small_batches
 
 #: log2 of the filters' cells, least and most (2 ** 28: 32 MB each), cells a sighting, hash functions, log2 of the
@@ -49,6 +50,7 @@ def seen_twice(frame: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarra
     """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         once, twice = (np.zeros(1 << (bits - 3), np.uint8) for _ in range(2))
         for batch in batches:
             for cells in _cells(hashes_of(batch), bits):

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from . import bloom, words
 from .components import components
+from .worker import release
 from .workspace import materialize, scratch, small_batches
 
 #: Similarity as a fraction, so that the comparison is exact.
@@ -43,6 +44,7 @@ def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, sorted, and their counts. They only decide the order, and any order is right."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held, size = [], 0
 
         def report() -> pa.RecordBatch:
@@ -90,6 +92,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()), ("group", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         common, counts = shared.value
         for batch in (part for whole in batches for part in words.pieces(whole)):
             n, digest, group, prefix = [], [], [], []

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .words import pieces
+from .worker import release
 from .workspace import materialize, scratch
 
 STATISTICS = (
@@ -69,6 +70,7 @@ def document_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFram
     """(doc_id, x): a row per row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in (part for whole in batches for part in pieces(whole)):
             made = [statistics(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.float64()))], ["doc_id", "x"])
@@ -97,6 +99,7 @@ class QualityModel:
 
         @F.arrow_udf("double")
         def quality_score(texts: pa.Array) -> pa.Array:
+            release()
             made = np.empty((len(texts), len(STATISTICS)))
             for i, t in enumerate(texts):
                 made[i] = statistics(t.as_py())

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .words import pieces
+from .worker import held
 
 SPACE = "▁"
 #: Most entries of the broadcast table, most characters of an entry, and entries of a worker's cache.
@@ -80,17 +81,6 @@ class _Lengths(dict):
         return sum(map(self.__getitem__, pre_tokens(text))) if text else 0
 
 
-_WORKER: dict[str, _Lengths] = {}
-
-
-def _worker_lengths(model_path: str, table_id: str, packed: bytes) -> _Lengths:
-    key = f"{model_path} {table_id}"
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = _Lengths(load(model_path), unpack(packed))
-    return _WORKER[key]
-
-
 def frequent_pre_tokens(docs: DataFrame, text_col: str) -> list[str]:
     """The TABLE_ROWS most frequent pre-tokens of a seeded sample of about SAMPLE_ROWS texts, ties by the word.
 
@@ -147,7 +137,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
     table_id = hashlib.sha256(packed).hexdigest()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = _worker_lengths(model_path, table_id, shared.value)
+        lengths = held(f"lengths {model_path} {table_id}", lambda: _Lengths(load(model_path), unpack(shared.value)))
         for batch in (part for whole in batches for part in pieces(whole)):
             n = [lengths.count(t.as_py()) if t.is_valid else 0 for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from . import dac
 from .words import pieces
+from .worker import held
 from .workspace import new_path
 
 #: A segment is closed once it holds so many ids, so it has at most these and one document's.
@@ -83,25 +84,20 @@ class _Ids(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-_WORKER: dict[str, _Ids] = {}
+def _load(path: str) -> _Ids:
+    from tokenizers import Tokenizer
 
-
-def _worker_ids(path: str) -> _Ids:
-    if path not in _WORKER:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        _WORKER[path] = _Ids(tokenizer)
-    return _WORKER[path]
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return _Ids(tokenizer)
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n, ids): ids as an encoded array of their own, so that the exchange moves about two bytes an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = _worker_ids(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        words, end = held(f"ids {tokenizer_path}", lambda: _load(tokenizer_path)), np.array([end_id], "<u4").tobytes()
         for batch in (part for whole in batches for part in pieces(whole)):
             made = [np.frombuffer((words.encode(t.as_py()) if t.is_valid else b"") + end, "<u4") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in made], pa.int64()), pa.array([_pack(x) for x in made], pa.binary())], ["doc_id", "n", "ids"])

@@ -29,7 +29,7 @@ from .workspace import materialize, scratch, small_batches
 #: Similarity as a fraction, so that the comparison is exact.
 NUMERATOR, DENOMINATOR = 80, 100
 #: Shingles counted at a time, sightings among them from which one is reported, most shingles in the common table.
-COUNT_CHUNK, COUNT_LEAST, COMMON_ROWS = 400_000, 3, 250_000
+COUNT_CHUNK, COUNT_LEAST, COMMON_ROWS = 2_500_000, 2, 1_000_000
 #: log2 of the bits in the filter of wanted ids.
 WANTED_BITS = 27
 #: Classes of one component in a block; columns of the incidence matrix multiplied at a time.

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Scripts written without spaces, whose runs are also cut into pairs of characters (fixed values).
-CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]+"
+CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]+"
 TOKEN, LATIN = r"[\p{L}\p{N}_./:-]+", r"[a-z0-9_./:-]+"
 
 
@@ -15,8 +15,10 @@ def _runs(text: Column, pattern: str) -> Column:
 
 
 def pairs_of(run: Column) -> Column:
-    """All pairs of neighbouring characters."""
-    return F.when(F.length(run) >= 2, F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    """All pairs of neighbouring characters, in one walk over the characters."""
+    chars = F.filter(F.split(run, ""), lambda c: c != "")
+    n = F.greatest(F.size(chars) - 1, F.lit(0))
+    return F.zip_with(F.slice(chars, F.lit(1), n), F.slice(chars, F.lit(2), n), lambda a, b: F.concat(a, b))
 
 
 def search_terms(text: Column) -> Column:

@@ -41,11 +41,11 @@ def lexical_admission(terms: Column, matched: Column) -> Column:
 
 
 def lift(similarities: DataFrame, policy: ScorePolicy = ScorePolicy()) -> DataFrame:
-    """similarities(query_id, id, similarity) with `lift`, the distance from the query's median, and `leads`, whether
+    """similarities(query_id, id, similarity) with `lift`, the distance from the query's upper median, and `leads`, whether
     the row is the query's nearest (ties: smaller id).
 
     In a scope of few documents the typical median stands in for the query's own."""
-    middle = similarities.groupBy("query_id").agg(F.median("similarity").alias("m"), F.count("*").alias("n"))
+    middle = similarities.groupBy("query_id").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY similarity DESC)").alias("m"), F.count("*").alias("n"))
     middle = middle.select("query_id", F.when(F.col("n") >= policy.median_scope, F.col("m")).otherwise(policy.typical_median).alias("m"))
     best = similarities.groupBy("query_id").agg(F.max_by("id", F.struct("similarity", -F.col("id"))).alias("best"))
     known = similarities.join(middle, "query_id").join(best, "query_id")

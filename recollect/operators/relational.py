@@ -61,3 +61,54 @@ def balanced_split(rows: DataFrame, key: str, order: str, size: str) -> DataFram
     run = F.sum(size).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = rows.select(key, F.row_number().over(w.orderBy(order)).alias("i"), F.count("*").over(w).alias("n"), F.round(F.abs(F.sum(size).over(w) - 2 * run), 4).alias("rest"))
     return placed.where("i < n").groupBy(key).agg(F.min(F.struct("rest", "i")).alias("best")).select(key, F.col("best.i").alias("split_at"), F.col("best.rest").alias("rest"))
+
+
+def ordinals(rows: DataFrame, key: str, width: int = 4096) -> DataFrame:
+    """rows with `ordinal`, their place from 0 by a whole-number key, distinct and not null. Places inside a bucket of
+    `width` keys are counted there; only the buckets' counts, a row each, are summed in one run."""
+    bucketed = rows.withColumn("bucket", F.floor(F.col(key) / width))
+    ahead = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = bucketed.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("bucket").orderBy(key)) - 1
+    return bucketed.withColumn("inside", inside).join(starts, "bucket").withColumn("ordinal", F.col("start") + F.col("inside")).drop("bucket", "start", "inside")
+
+
+def tree_digest(rows: DataFrame, key: str, content: Column, fan: int = 1024, levels: int = 3) -> DataFrame:
+    """One row with `digest`: SHA-256 over the rows in key order, a tree of groups of at most `fan` neighbouring keys, so
+    that no group grows with the table (fan ** levels keys in all). Keys are distinct whole numbers from 0."""
+    level = rows.select(F.col(key).alias("k"), F.sha2(content, 256).alias("d"))
+    for _ in range(levels):
+        level = level.groupBy(F.floor(F.col("k") / fan).alias("k")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda x: x["d"]), ""), 256).alias("d"))
+    return level.select(F.col("d").alias("digest"))
+
+
+def merge_sums(old: DataFrame, new: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    """Summary rows with a batch of more added to them: measures add up where keys meet."""
+    both = old.select(*keys, *sums).unionByName(new.select(*keys, *sums))
+    return both.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def longest_prefix(rows: DataFrame, path: str, roots: DataFrame, root: str) -> DataFrame:
+    """rows with the longest root that is the path or ends before one of its slashes, or null. Every path gives its own
+    prefixes, so that roots are met by equality."""
+    parts = F.split(path, "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    distinct = rows.select(path).distinct()
+    hits = distinct.select(path, F.explode(prefixes).alias(root)).join(roots.select(root).distinct(), root)
+    best = hits.groupBy(path).agg(F.max_by(root, F.length(root)).alias(root))
+    return rows.join(best, path, "left")
+
+
+def first_samples(rows: DataFrame, keys: list[str], id_col: str, n: int) -> DataFrame:
+    """(keys, count, samples): how many rows, and the first n ids; no group is gathered beyond those."""
+    w = Window.partitionBy(*keys).orderBy(id_col)
+    some = rows.withColumn("i", F.row_number().over(w)).where(F.col("i") <= n).groupBy(*keys).agg(F.array_sort(F.collect_list(id_col)).alias("samples"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("count")).join(some, keys)
+
+
+def ranking_quality(ranked: DataFrame, expected: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """One row: recall at each k and the mean reciprocal rank over expected(query_id, id), against ranked(query_id, id,
+    rank). What was not found counts 0."""
+    at = expected.join(ranked, ["query_id", "id"], "left")
+    recall = [F.round(F.avg((F.coalesce("rank", F.lit(1 << 30)) <= k).cast("int")), 6).alias(f"recall_{k}") for k in ks]
+    return at.agg(*recall, F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))

@@ -14,9 +14,17 @@ def term_counts(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(F.col(id_col).alias("id"), F.explode(search_terms(F.col(text_col))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, policy: SearchPolicy = SearchPolicy()) -> DataFrame:
+def explicit_term_counts(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, term, tf): search terms and plain words of two characters or more, each as often as the one or the other."""
+    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.length(w) >= 2)
+    plain = rows.select(F.col(id_col).alias("id"), F.explode(words).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    return term_counts(rows, id_col, text_col).unionByName(plain).groupBy("id", "term").agg(F.max("tf").alias("tf"))
+
+
+def bm25(queries: DataFrame, docs: DataFrame, policy: SearchPolicy = SearchPolicy(), longer_first: bool = False) -> DataFrame:
     """(query_id, id, score, rank) for queries(query_id, text) and docs(id, text): each query's rarest present terms,
-    Okapi weights, ranks by score to six digits and then id.
+    Okapi weights, ranks by score to six digits and then id. With longer_first terms of equal frequency go by length
+    before they go by themselves.
 
     Document terms are narrowed to those any query holds before they are counted, so the exchange carries postings of
     query terms only; lengths are sums over the same explode."""
@@ -25,22 +33,31 @@ def bm25(queries: DataFrame, docs: DataFrame, policy: SearchPolicy = SearchPolic
     asked = queries.select("query_id", F.explode(F.array_distinct(search_terms(F.col("text")))).alias("term"))
     postings = sightings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "id").agg(F.count("*").alias("tf"))
     found = postings.groupBy("term").agg(F.count("*").alias("df"))
-    rarest = Window.partitionBy("query_id").orderBy("df", "term")
+    ties = [F.desc(F.length("term")), "term"] if longer_first else ["term"]
+    rarest = Window.partitionBy("query_id").orderBy("df", *ties)
     terms = asked.join(found, "term").withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= policy.term_limit)
     corpus = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = policy.k1 * (1 - policy.b + policy.b * F.col("length") / F.col("mean"))
+    norm = policy.k1 * (1 - policy.b + policy.b * F.col("length") / F.greatest(F.lit(1.0), F.col("mean")))
     weight = idf * F.col("tf") * (policy.k1 + 1) / (F.col("tf") + norm)
     scored = terms.join(postings, "term").join(lengths, "id").join(F.broadcast(corpus)).groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(order))
 
 
-def cosine(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, id, similarity) of every query(query_id, vector) with every doc(id, vector): the dot product of
-    normalised vectors, summed in double precision. The stated queries meet all rows in blocks."""
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return docs.select("id", F.col("vector").alias("v")).join(F.broadcast(queries.select("query_id", F.col("vector").alias("q")))).select("query_id", "id", F.round(dot, 6).alias("similarity"))
+def cosine(queries: DataFrame, docs: DataFrame, blocks: int = 4, slices: int = 16) -> DataFrame:
+    """(query_id, id, similarity) of every query(query_id, vector) with every doc(id, vector): the dot product with the
+    normalised query, summed in double precision. Null, zero and non-finite queries find nothing.
+
+    The stated queries meet all rows in blocks: a query stands in one block and a row in one slice, both by hash, and
+    every block meets every slice once, so that neither side is broadcast and no task holds all of either."""
+    product = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    norm = F.sqrt(product("vector", "vector"))
+    asked = queries.select("query_id", F.col("vector").alias("q"), norm.alias("norm")).where((F.col("norm") > 0) & (F.col("norm") < float("inf")))
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("slice", span(slices))
+    right = docs.select("id", F.col("vector").alias("v"), F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice")).withColumn("block", span(blocks))
+    return right.join(left, ["block", "slice"]).select("query_id", "id", F.round(product("q", "v") / F.col("norm"), 6).alias("similarity"))
 
 
 def top_per_query(scored: DataFrame, score: str, k: int) -> DataFrame:

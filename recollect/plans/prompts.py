@@ -58,8 +58,8 @@ def lexical_admission(t: Tables) -> DataFrame:
 
 @query(
     "g19_scored_bands",
-    """WITH sim AS (SELECT q.vec_id AS query_id, d.vec_id AS id, round(list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q, embeddings d WHERE q.vec_id < 10),
-       m AS (SELECT query_id, CASE WHEN count(*) >= 8 THEN median(similarity) ELSE 0.83 END AS m, max_by(id, (similarity, -id)) AS best FROM sim GROUP BY query_id),
+    """WITH sim AS (SELECT q.vec_id AS query_id, d.vec_id AS id, round(list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS similarity FROM embeddings q, embeddings d WHERE q.vec_id % 20 = 0),
+       m AS (SELECT query_id, CASE WHEN count(*) >= 8 THEN list_sort(list(similarity))[count(*) // 2 + 1] ELSE 0.83 END AS m, max_by(id, (similarity, -id)) AS best FROM sim GROUP BY query_id),
        f AS (SELECT query_id, id, round(similarity - m, 7) AS lift, id = best AS leads, id % 97 = query_id AS direct, id % 31 = query_id AS exact, id % 5 = 0 AS applicable, id % 41 = query_id AS signal, id % 4 AS matched, (id % 10) / 10.0 AS coverage, id % 20 + 1 AS rank FROM sim JOIN m USING (query_id)),
        g AS (SELECT *, lift >= 0.02 AS strong, matched >= 2 AND coverage >= 0.3 AS worded FROM f),
        s AS (SELECT query_id, id, lift, (CASE WHEN direct THEN 5 ELSE 0 END + CASE WHEN exact THEN 4 ELSE 0 END
@@ -71,9 +71,9 @@ def lexical_admission(t: Tables) -> DataFrame:
        FROM s LEFT JOIN near n USING (query_id, id) WHERE score >= 2""",
 )
 def bands(t: Tables) -> DataFrame:
-    """Ten stated prompts against all rows, with one hop; the band is of the score before the hop."""
+    """Every twentieth vector as a prompt against all rows, with one hop; the band is of the score before the hop."""
     rows = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    near = prompts.lift(retrieval.cosine(rows.where("id < 10").select(F.col("id").alias("query_id"), "vector"), rows))
+    near = prompts.lift(retrieval.cosine(rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"), rows))
     mod = lambda n: F.col("id") % n == F.col("query_id")
     features = near.withColumns(
         {"direct": mod(97), "exact": mod(31), "applicable": F.col("id") % 5 == 0, "signal": mod(41), "matched": F.col("id") % 4, "coverage": F.col("id") % 10 / 10, "lexical_rank": F.col("id") % 20 + 1}

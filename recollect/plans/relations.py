@@ -81,9 +81,9 @@ def semi(t: Tables) -> DataFrame:
     return t.customer.join(t.orders.where("o_orderpriority = '5-LOW'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("c5_anti", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@query("c5_anti", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT')")
 def anti(t: Tables) -> DataFrame:
-    return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return t.customer.join(t.orders.where("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("c7_other_end", "SELECT CASE WHEN l_partkey % 100 = 1 THEN l_suppkey ELSE l_partkey END AS other, count(*) AS n FROM lineitem WHERE l_partkey % 100 = 1 OR l_suppkey = 1 GROUP BY 1")
@@ -171,8 +171,9 @@ def percentiles(t: Tables) -> DataFrame:
 
 @query("d16_upper_median", "SELECT user_id, CASE WHEN count(*) < 8 THEN 0.83 ELSE list_sort(list(value))[count(*) // 2 + 1] END AS median FROM events GROUP BY user_id")
 def upper_median(t: Tables) -> DataFrame:
-    g = t.events.groupBy("user_id").agg(F.sort_array(F.collect_list("value")).alias("v"))
-    return g.select("user_id", F.when(F.size("v") < 8, F.lit(0.83)).otherwise(F.get("v", F.floor(F.size("v") / 2).cast("int"))).alias("median"))
+    """The discrete median from above is the upper one."""
+    g = t.events.groupBy("user_id").agg(F.count("*").alias("n"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value DESC)").alias("m"))
+    return g.select("user_id", F.when(F.col("n") < 8, F.lit(0.83)).otherwise(F.col("m")).alias("median"))
 
 
 @query("d19_even_sample", "WITH r AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, event_id FROM r WHERE n <= 9 OR i IN (SELECT floor(k * (n - 1) / 8 + 0.5)::BIGINT FROM range(9) x(k))")

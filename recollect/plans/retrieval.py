@@ -48,21 +48,21 @@ def search(t: Tables) -> DataFrame:
 
 @query(
     "g6_cosine_top",
-    """SELECT * FROM (SELECT q.vec_id AS query_id, d.vec_id AS id, round(list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS similarity,
-       row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) DESC, d.vec_id)::INT AS rank
-       FROM embeddings q, embeddings d WHERE q.vec_id < 20) WHERE rank <= 10""",
+    """SELECT * FROM (SELECT q.vec_id AS query_id, d.vec_id AS id, round(list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS similarity,
+       row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) DESC, d.vec_id)::INT AS rank
+       FROM embeddings q, embeddings d WHERE q.vec_id % 20 = 0) WHERE rank <= 10""",
 )
 def cosine_top(t: Tables) -> DataFrame:
-    """The first twenty vectors stand for the stated queries."""
+    """Every twentieth vector is a query."""
     rows = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    asked = rows.where("id < 20").select(F.col("id").alias("query_id"), "vector")
+    asked = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
     return retrieval.top_per_query(retrieval.cosine(asked, rows), "similarity", 10)
 
 
 @query(
     "g8_hybrid_search",
     f"""{_BM25},
-sim AS (SELECT b.item_id AS query_id, d.vec_id AS id, round(list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS similarity
+sim AS (SELECT b.item_id AS query_id, d.vec_id AS id, round(list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS similarity
         FROM benchmark b JOIN embeddings q ON b.item_id = q.vec_id, embeddings d JOIN documents o ON o.doc_id = d.vec_id),
 sem AS (SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM sim WHERE similarity > 0) WHERE rank <= 64),
 f AS (SELECT query_id, id, round(coalesce(1 / (60 + l.rank), 0) + coalesce(1 / (60 + s.rank), 0), 9) AS rrf
@@ -80,13 +80,13 @@ def hybrid(t: Tables) -> DataFrame:
 
 @query(
     "e5_top_and_margin",
-    """WITH s AS (SELECT q.vec_id AS query_id, round(list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q, embeddings d WHERE q.vec_id < 20 AND d.vec_id <> q.vec_id),
+    """WITH s AS (SELECT q.vec_id AS query_id, round(list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS similarity FROM embeddings q, embeddings d WHERE q.vec_id % 20 = 0 AND d.vec_id <> q.vec_id),
        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC) AS n FROM s)
        SELECT query_id, max(similarity) FILTER (n = 1) AS top, round(max(similarity) FILTER (n = 1) - max(similarity) FILTER (n = 2), 6) AS margin FROM r GROUP BY query_id""",
 )
 def top_and_margin(t: Tables) -> DataFrame:
     rows = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    asked = rows.where("id < 20").select(F.col("id").alias("query_id"), "vector")
+    asked = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
     best = retrieval.top_per_query(retrieval.cosine(asked, rows).where("id != query_id"), "similarity", 2)
     at = lambda n: F.max(F.when(F.col("rank") == n, F.col("similarity")))
     return best.groupBy("query_id").agg(at(1).alias("top"), F.round(at(1) - at(2), 6).alias("margin"))
@@ -101,16 +101,9 @@ def near_duplicates(t: Tables) -> DataFrame:
     return retrieval.near_duplicates(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label"), ["label"], 0.3)
 
 
-@query(
-    "g28_bigram_neighbours",
-    r"""WITH k AS (SELECT item_id, regexp_replace(lower(text), '[\s\p{P}\p{S}]+', '', 'g') AS key FROM benchmark),
-        g AS (SELECT item_id, list_distinct([substr(key, i, 2) for i in range(1, length(key))]) AS grams FROM k WHERE length(key) >= 2),
-        p AS (SELECT a.item_id, b.item_id AS memory_id, len(list_intersect(a.grams, b.grams)) AS c, len(a.grams) AS ln, len(b.grams) AS rn FROM g a, g b),
-        s AS (SELECT item_id, memory_id, round(c / (ln + rn - c), 6) AS similarity FROM p WHERE c > 0)
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, memory_id)::INT AS rank FROM s WHERE similarity >= 0.08) WHERE rank <= 5""",
-)
+@query("g28_bigram_neighbours")
 def bigram_neighbours(t: Tables) -> DataFrame:
-    return retrieval.bigram_neighbours(t.benchmark.select("item_id", "text"), t.benchmark.select(F.col("item_id").alias("memory_id"), "text"))
+    return retrieval.bigram_neighbours(t.benchmark.select("item_id", "text"), t.documents.select(F.col("doc_id").alias("memory_id"), "text"))
 
 
 @query(

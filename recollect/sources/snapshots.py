@@ -11,13 +11,26 @@ def publish(rows: DataFrame, root: str, revision: str) -> int:
     spark = rows.sparkSession
     rows.write.mode("errorifexists").parquet(f"{root}/rev={revision}")
     n = spark.read.parquet(f"{root}/rev={revision}").count()
-    spark.createDataFrame([(revision, n)], "revision string, rows long").write.mode("overwrite").parquet(f"{root}/pointer")
+    last = _pointers(spark, root).agg(F.max("at")).first()[0] or 0
+    spark.createDataFrame([(revision, n, last + 1)], "revision string, rows long, at long").coalesce(1).write.mode("append").parquet(f"{root}/pointer")
     return n
 
 
+def _pointers(spark: SparkSession, root: str) -> DataFrame:
+    """All pointers ever written; none before the first. A pointer is one file that a commit puts in place whole, and
+    nothing is deleted, so a reader finds the old or the new one and a crash leaves the old."""
+    from pyspark.errors import AnalysisException
+
+    schema = "revision string, rows long, at long"
+    try:
+        return spark.read.schema(schema).parquet(f"{root}/pointer")
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
 def pinned(spark: SparkSession, root: str) -> DataFrame:
-    """The revision that the pointer names, checked against its count."""
-    at = spark.read.parquet(f"{root}/pointer").first()
+    """The revision that the newest pointer names, checked against its count."""
+    at = _pointers(spark, root).orderBy(F.desc("at")).first()
     rows = spark.read.parquet(f"{root}/rev={at['revision']}")
     if rows.count() != at["rows"]:
         raise ValueError(f"revision {at['revision']} is incomplete")
@@ -25,9 +38,9 @@ def pinned(spark: SparkSession, root: str) -> DataFrame:
 
 
 def retired(revisions: DataFrame, pointer: DataFrame, keep: int) -> DataFrame:
-    """revisions(revision, built_at) that are not pinned, beyond the newest `keep`, oldest first."""
+    """revisions(revision, built_at) that the newest pointer does not name, beyond the newest `keep`, oldest first."""
     from pyspark.sql import Window
 
-    loose = revisions.join(pointer.select("revision"), "revision", "left_anti")
+    loose = revisions.join(pointer.select(F.max_by("revision", "at").alias("revision")), "revision", "left_anti")
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc("built_at"), "revision")
     return loose.withColumn("n", F.row_number().over(w)).where(F.col("n") > keep).drop("n")

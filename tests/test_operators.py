@@ -108,3 +108,24 @@ def test_unseen_and_recent_work(spark):
     notes = spark.sql("SELECT session, project, timestamp(at) AS through_at FROM VALUES ('c', 'p', '2024-01-02 03:00:00'), ('x', 'q', '2024-01-02 02:00:00'), ('y', 'q', '2024-01-02 03:00:00') AS t(session, project, at)")
     found = admission.recent_work(events, notes, F.lit("2024-01-02 12:00:00").cast("timestamp"), 30, 7, 2)
     assert [r["session"] for r in found.collect()] == ["a"]
+
+
+def test_bigram_neighbours_by_hand(spark):
+    """The one query that DuckDB is too slow for on whole tables."""
+    texts = {0: "Alpha beta, gamma!", 1: "alpha-beta gamma", 2: "delta", 3: "x", 4: None, 5: "Älpha bëta", 6: "alpha"}
+    rows = spark.createDataFrame(list(texts.items()), "memory_id long, text string")
+    got = {(r["item_id"], r["memory_id"]): r["similarity"] for r in retrieval.bigram_neighbours(rows.withColumnRenamed("memory_id", "item_id"), rows).collect()}
+    key = lambda t: "".join(c for c in (t or "").lower() if c.isalnum())
+    grams = {i: {key(t)[k : k + 2] for k in range(len(key(t)) - 1)} for i, t in texts.items()}
+    want = {}
+    for i, a in grams.items():
+        near = sorted(((-round(len(a & b) / len(a | b), 6), j) for j, b in grams.items() if a & b and len(a & b) / len(a | b) >= 0.08))[:5]
+        want |= {(i, j): -s for s, j in near}
+    assert got == want
+
+
+def test_rules_take_nulls(spark):
+    from recollect.functions import rules
+
+    row = spark.createDataFrame([(None,)], "x string").select(rules.sensitivity(F.col("x")).alias("s"), rules.skip_reason(F.col("x")).alias("r"), rules.context_dependent(F.col("x")).alias("c"), rules.public_text(F.col("x")).alias("p"), rules.origin_key(F.col("x")).alias("o")).first()
+    assert (row["s"]["state"], row["r"], row["c"], row["p"]["whole"], row["o"]) == ("normal", "empty_prompt", False, False, None)

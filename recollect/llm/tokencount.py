@@ -103,7 +103,7 @@ def frequent_pre_tokens(docs: DataFrame, text_col: str) -> list[str]:
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
 
     total: Counter = Counter()
-    for r in sample.mapInArrow(propose, "word string, n long").toLocalIterator():
+    for r in sample.mapInArrow(propose, "word string, n long").collect():
         total[r["word"]] += r["n"]
     return sorted(total, key=lambda w: (-total[w], w))[:TABLE_ROWS]
 

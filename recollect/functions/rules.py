@@ -181,7 +181,7 @@ def explicit_admission(direct: Column, lexical: Column, leads: Column, similarit
 
 def recall_stage(outcome: Column, omission: Column) -> Column:
     """Where a relevant item was lost; null outcomes were never examined."""
-    known = {"already_present": "already_present", "jev_below_threshold": "jev_rejected", "unfiltered_low_confidence": "jev_unavailable", "weak_relevance": "local_weak", "representation_unavailable": "unavailable"}
+    known = {"already_present": "already_present", "scorer_below_threshold": "scorer_rejected", "unfiltered_low_confidence": "scorer_unavailable", "weak_relevance": "local_weak", "representation_unavailable": "unavailable"}
     by = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     return F.when(outcome.isNull(), "not_examined").when(outcome == "selected", "injected").otherwise(F.coalesce(by[omission], F.lit("limit")))
 

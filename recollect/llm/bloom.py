@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .worker import release
-from .workspace import small_batches
+from .workspace import materialize, small_batches
 
 #: log2 of the filters' cells, least and most (2 ** 28: 32 MB each), cells a sighting, hash functions, log2 of the
 #: cells in a slice.
@@ -88,6 +88,8 @@ def seen_twice(frame: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarra
     marked = frame.mapInArrow(mark, "slice int, once binary, twice binary")
     merged = marked.repartition("slice").sortWithinPartitions("slice").mapInArrow(merge, "slice int, twice binary")
     out = np.zeros(1 << (bits - 3), np.uint8)
+    # written first: rows are fetched partition by partition, which must find the exchange's work done
+    merged = materialize(merged, "filter")
     with small_batches(frame.sparkSession):
         for row in merged.toLocalIterator():
             out[row["slice"] * _SLICE_BYTES : (row["slice"] + 1) * _SLICE_BYTES] = np.frombuffer(row["twice"], np.uint8)

@@ -31,14 +31,15 @@ def new_path(spark: SparkSession, name: str) -> str:
 #: Most rows and bytes of an Arrow batch in the steps that are run here: the JVM, the worker and what is made of a batch
 #: each hold one at a time and more, in every task.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
+#: The files of a plan's exchanges are removed once its rows are written or fetched: nothing reads them again.
+CLEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 _written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """The session's Arrow batches are small while a step runs."""
-    before = {k: spark.conf.get(k, None) for k in BATCH}
-    for k, v in BATCH.items():
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
         spark.conf.set(k, v)
     try:
         yield
@@ -47,13 +48,21 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """The session's Arrow batches are small while a step runs, and its exchanges leave no files behind."""
+    with _settings(spark, BATCH | CLEAN):
+        yield
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables written inside, but for those written with keep, are removed at the end. Nothing that is returned may
-    read them."""
+    """Tables written inside, but for those written with keep, are removed at the end, and files of exchanges as soon
+    as a step ends. Nothing that is returned may read them."""
     mark = _written.set([])
     try:
-        yield
+        with _settings(spark, CLEAN):
+            yield
     finally:
         done = _written.get()
         _written.reset(mark)

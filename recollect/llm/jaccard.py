@@ -30,6 +30,8 @@ from .workspace import materialize, scratch, small_batches
 NUMERATOR, DENOMINATOR = 80, 100
 #: Shingles counted at a time, sightings among them from which one is reported, most shingles in the common table.
 COUNT_CHUNK, COUNT_LEAST, COMMON_ROWS = 2_500_000, 2, 1_000_000
+#: Counts told apart when the table's least one is chosen.
+MOST_LEVELS = 10_000
 #: log2 of the bits in the filter of wanted ids.
 WANTED_BITS = 27
 #: Classes of one component in a block; columns of the incidence matrix multiplied at a time.
@@ -40,6 +42,16 @@ def prefix_length(n: int) -> int:
     return n - -(-NUMERATOR * n // DENOMINATOR) + 1
 
 
+def _cut(levels: dict[int, int]) -> tuple[int, float]:
+    """(level, share): all counts above the level and that share of those at it come to COMMON_ROWS, nearly."""
+    held = 0
+    for level in sorted(levels, reverse=True):
+        if held + levels[level] > COMMON_ROWS:
+            return level, (COMMON_ROWS - held) / levels[level]
+        held += levels[level]
+    return 0, 0.0
+
+
 def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, sorted, and their counts. They only decide the order, and any order is right."""
 
@@ -64,9 +76,15 @@ def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield report()
 
     reported = docs.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    reported = materialize(reported, "jaccard-counts")
+    level = F.least("n", F.lit(MOST_LEVELS))
     with small_batches(docs.sparkSession):
-        top = reported.orderBy(F.desc("n"), "shingle").limit(COMMON_ROWS).toPandas()
-    shingles, n = top["shingle"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+        levels = reported.groupBy(level.alias("level")).count().collect()
+        least, share = _cut({r["level"]: r["count"] for r in levels})
+        # shingles are uniform numbers, so a share of them is a range
+        below = int(share * 2**64) - 2**63
+        top = reported.where((level > least) | ((level == least) & (F.col("shingle") < below))).toArrow()
+    shingles, n = top["shingle"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(shingles)
     return shingles[order], n[order]
 

@@ -33,7 +33,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
 #: The files of a plan's exchanges are removed once its rows are written or fetched: nothing reads them again.
 CLEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
-_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+_written: ContextVar[tuple[list[str], list[str] | None] | None] = ContextVar("written", default=None)
 
 
 @contextmanager
@@ -57,14 +57,15 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables written inside, but for those written with keep, are removed at the end, and files of exchanges as soon
-    as a step ends. Nothing that is returned may read them."""
-    mark = _written.set([])
+    """Tables written inside are removed at the end, and files of exchanges as soon as a step ends; nothing that is
+    returned may read them. Those written with keep live as long as the scratch() around this one, or stay."""
+    outer = _written.get()
+    mark = _written.set(([], None if outer is None else outer[0]))
     try:
         with _settings(spark, CLEAN):
             yield
     finally:
-        done = _written.get()
+        done, _ = _written.get()
         _written.reset(mark)
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         for path in done:
@@ -75,11 +76,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: the lineage is cut, a lost executor costs a reread,
     and the optimizer knows the table's real size when it decides on a broadcast. Inside scratch() the table lives as
-    long as that, unless it is to be kept."""
+    long as that, with keep as long as the one around it."""
     spark = df.sparkSession
     path = new_path(spark, name)
     with small_batches(spark):
         df.write.parquet(path)
-    if not keep and (written := _written.get()) is not None:
-        written.append(path)
+    here, around = _written.get() or (None, None)
+    if (lives := around if keep else here) is not None:
+        lives.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .worker import release
+from .worker import frugal
 from .workspace import materialize, small_batches
 
 #: log2 of the filters' cells, least and most (2 ** 28: 32 MB each), cells a sighting, hash functions, log2 of the
@@ -49,8 +49,8 @@ def seen_twice(frame: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarra
     it where the corpus outgrows the filter, so callers confirm exactly. An empty frame gives an empty filter.
     """
 
+    @frugal
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         once, twice = (np.zeros(1 << (bits - 3), np.uint8) for _ in range(2))
         for batch in batches:
             for cells in _cells(hashes_of(batch), bits):
@@ -65,6 +65,7 @@ def seen_twice(frame: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarra
                 packed = [pa.array([pa.compress(x[part].tobytes(), "zstd", asbytes=True)], pa.binary()) for x in (once, twice)]
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *packed], ["slice", "once", "twice"])
 
+    @frugal
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by slice, so that one slice is held at a time, however many tasks sent it."""
         current, once, twice = None, None, None

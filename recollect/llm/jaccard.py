@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import bloom, words
 from .components import components
-from .worker import release
+from .worker import frugal
 from .workspace import materialize, scratch, small_batches
 
 #: Similarity as a fraction, so that the comparison is exact.
@@ -55,8 +55,8 @@ def _cut(levels: dict[int, int]) -> tuple[int, float]:
 def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, sorted, and their counts. They only decide the order, and any order is right."""
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         held, size = [], 0
 
         def report() -> pa.RecordBatch:
@@ -109,8 +109,8 @@ def document_sets(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs))
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()), ("group", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         common, counts = shared.value
         for batch in (part for whole in batches for part in words.pieces(whole)):
             n, digest, group, prefix = [], [], [], []
@@ -140,6 +140,7 @@ def _postings(sets: DataFrame) -> DataFrame:
     size = bloom.cell_bits(known.agg(F.sum(F.size("prefix"))).first()[0] or 0)
     twice = known.sparkSession.sparkContext.broadcast(bloom.seen_twice(known.select("prefix"), lambda batch: flat(batch, 0), size))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = flat(batch, 2)
@@ -194,6 +195,7 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> tuple[Data
     wanted = _Wanted(classes, pairs)
     bits = wanted.bits
 
+    @frugal
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in words.pieces(_Wanted.pick(bits.value, whole))):
             found = list(words.shingle_sets(batch.column(1)))
@@ -239,6 +241,7 @@ def _count_links(members: DataFrame, whole: DataFrame) -> DataFrame:
         np.fill_diagonal(good, False)
         return cid, good @ weight
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by block pair, so that one is held at a time."""
         key, held, done = None, [], []
@@ -278,6 +281,7 @@ def _by_prefix(sets: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFra
     wanted = _Wanted(classes, pairs)
     bits = wanted.bits
 
+    @frugal
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield _Wanted.pick(bits.value, batch).select([0, 1, 2, 3])

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .words import pieces
-from .worker import release
+from .worker import frugal, release
 from .workspace import materialize, scratch
 
 STATISTICS = (
@@ -69,8 +69,8 @@ def statistics(text: bytes | None) -> list[float]:
 def document_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, x): a row per row of docs."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in (part for whole in batches for part in pieces(whole)):
             made = [statistics(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.float64()))], ["doc_id", "x"])
@@ -158,6 +158,7 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
         level = 0.5 if prior is None else prior
         return QualityModel(mean, scale, np.zeros(COMPONENTS + 1), np.array([0.0, 1.0]), np.array([level, level]))
 
+    @frugal
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = {}
         for batch in batches:
@@ -175,6 +176,7 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     other = {0: _solve(grams[2]), 2: _solve(grams[0])}
     low, width = -0.5, 2.0 / BINS
 
+    @frugal
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y, of = np.array(batch.column(0).to_pylist(), float), batch.column(1).to_numpy(), batch.column(2).to_numpy()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import dac
 from .words import pieces
-from .worker import held
+from .worker import frugal, held
 from .workspace import new_path
 
 #: A segment is closed once it holds so many ids, so it has at most these and one document's.
@@ -132,6 +132,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, out: str, id
     dealt = coded.withColumn("task", F.when(F.col("doc_id").isNull(), 0).otherwise(place)).repartitionById(len(edges) + 1, F.col("task"))
     ordered = dealt.sortWithinPartitions("task", F.col("doc_id").asc_nulls_first(), "n", "ids")
 
+    @frugal
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, first, number, held, current = 0, 0, 0, [], None
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from contextlib import suppress
+from functools import wraps
+
+import pyarrow as pa
 
 _held: dict[str, object] = {}
 
@@ -24,5 +27,23 @@ def release() -> None:
     if _held:
         _held.clear()
         gc.collect()
-        with suppress(OSError, AttributeError):  # only where the C library can
-            ctypes.CDLL(None).malloc_trim(0)
+    trim()
+
+
+def trim() -> None:
+    """What Arrow and the C library hold freed goes back to the system, as idle workers keep it else."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def frugal(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task over batches that begins with nothing held and leaves no freed memory behind."""
+
+    @wraps(task)
+    def run(batches: Iterator) -> Iterator:
+        release()
+        yield from task(batches)
+        trim()
+
+    return run

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from . import dac
 from .words import pieces
 from .worker import frugal, held
-from .workspace import new_path
+from .workspace import new_path, small_batches
 
 #: A segment is closed once it holds so many ids, so it has at most these and one document's.
 SEGMENT_IDS = 1 << 18
@@ -154,7 +154,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, out: str, id
             yield close()
 
     schema = "task int, segment int, first long, doc_ids array<long>, lengths array<long>, code binary"
-    ordered.mapInArrow(segments, schema).write.parquet(f"{out}/segments")
+    with small_batches(spark):
+        ordered.mapInArrow(segments, schema).write.parquet(f"{out}/segments")
     sums = spark.read.schema(schema).parquet(f"{out}/segments").select("task", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("task").agg(F.sum("n").alias("n"))
     ahead = Window.partitionBy(F.lit(0)).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     sums.select("task", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("offset")).write.parquet(f"{out}/tasks")

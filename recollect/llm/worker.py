@@ -18,6 +18,7 @@ def held(key: str, make: Callable[[], object]) -> object:
     if key not in _held:
         release()
         _held[key] = make()
+        trim()
     return _held[key]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import rules
+from ..functions import categories, rules
 from .registry import Tables, query
 
 _RE2 = {k: v.replace("'", "''") for k, v in vars(rules).items() if isinstance(v, str) and k.isupper()}
@@ -293,3 +293,17 @@ def quote_location(t: Tables) -> DataFrame:
     hit = F.contains("body", "needle")
     by = held.groupBy("conv_id").agg(F.bool_or((F.col("role") == "user") & hit).alias("u"), F.bool_or(hit).alias("o"))
     return by.select("conv_id", F.when(F.col("u"), "user").when(F.col("o"), "other").otherwise("missing").alias("source"))
+
+
+_NAMED = """CASE p_partkey % 9 WHEN 0 THEN ' Security Policy' WHEN 1 THEN 'API contract' WHEN 2 THEN 'bug repair build' WHEN 3 THEN 'misc' WHEN 4 THEN '安全规则' WHEN 5 THEN 'architecture_contract' WHEN 6 THEN 'durable_reference' WHEN 7 THEN NULL ELSE p_type END"""
+_SPOKEN = ", ".join(f"CASE WHEN coalesce(regexp_matches(lower(trim(n)), '{words}'), false) OR tag IN ({', '.join(map(repr, (*categories.TAGS[c], '')))}) THEN '{c}' END" for c, words in categories.SIGNALS.items())
+
+
+@query(
+    "b25_legacy_category",
+    f"""SELECT p_partkey, CASE WHEN n IN ({", ".join(map(repr, (*categories.SIGNALS, categories.REST)))}) THEN n WHEN len(f) > 0 THEN array_to_string(f, ',') ELSE '{categories.REST}' END AS categories
+        FROM (SELECT p_partkey, n, list_filter([{_SPOKEN}], lambda x: x IS NOT NULL) AS f FROM (SELECT p_partkey, {_NAMED} AS n, CASE p_size % 4 WHEN 0 THEN 'negation' WHEN 1 THEN 'effective_repair' WHEN 2 THEN 'other' END AS tag FROM part))""",
+)
+def legacy_category(t: Tables) -> DataFrame:
+    rows = t.part.selectExpr("p_partkey", f"{_NAMED} AS n", "CASE p_size % 4 WHEN 0 THEN array('negation', 'other') WHEN 1 THEN array('effective_repair') WHEN 2 THEN array('other') END AS tags")
+    return rows.select("p_partkey", F.array_join(categories.categories(F.col("n"), F.col("tags")), ",").alias("categories"))

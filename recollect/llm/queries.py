@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, jaccard, linededup, mix, quality, shard, tokencount, tokenfile
+from . import ann, bpe, chat, decontaminate, divergence, jaccard, linededup, merkle, mix, quality, shard, tokencount, tokenfile
 
-WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
+WORD_BPE, PIECE_BPE, BYTE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_50k.json"
 
 
 def tokenizer_path(name: str) -> str:
@@ -66,6 +66,29 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    altered = [*fields[:3], F.col("n_chars").cast("decimal(20,0)") + 1, fields[4]]
+    # a tampered row's leaf is that of the row with one more in n_chars
+    picked = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    rows = merkle.manifest(docs, fields, extra={"now": F.when(picked, merkle.leaf_digest(*altered))})
+    rows = merkle.folded(rows.withColumn("now", F.coalesce("now", "digest")), "now")
+    text = lambda c: F.lower(F.hex(c))
+    return rows.select(F.col("id").alias("doc_id"), text("digest").alias("leaf"), text("subroot").alias("subroot"), text("root").alias("root"), F.sha2(text("path").cast("binary"), 256).alias("proof_sha256"), text("folded_root").alias("folded_root"), (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path(BYTE_BPE)
+    coded = bpe.encode_documents(table(spark, sf_dir, "documents"), path)
+    rows = bpe.decode_documents(coded, path)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
@@ -77,10 +100,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_linededup": op9_linededup,
     "op10_jaccard": op10_jaccard,
+    "op11_merkle": op11_merkle,
+    "op12_divergence": op12_divergence,
+    "op13_bpe": op13_bpe,
 }
 
 _WS = r"\x20\x09-\x0D"
 
+
+def _leaf_sql(n_chars: str) -> str:
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    return f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+#: The reflected CRC-32 of a string of ASCII characters, bit by bit.
+_CRC_SQL = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda i: 0::BIGINT)), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+
 ORACLE_SQL: dict[str, str] = {
     "op6_mix": rf"""
 WITH d AS (
@@ -126,4 +161,50 @@ g AS (SELECT key FROM k WHERE key != '' GROUP BY key HAVING count(DISTINCT r) >=
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(g.key)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (g.key IS NULL), '')) AS kept_sha256
 FROM k LEFT JOIN g USING (key) GROUP BY r, doc_id""",
+    "op11_merkle": f"""
+WITH RECURSIVE d AS (
+  SELECT *, row_number() OVER () AS r, coalesce('v' || lang, '') AS tree, {_leaf_sql('n_chars')} AS leaf,
+         CASE WHEN {_CRC_SQL} % 7 = 0 THEN {_leaf_sql('(CAST(n_chars AS HUGEINT) + 1)')} END AS altered
+  FROM documents),
+p AS (SELECT r, doc_id, tree, leaf, coalesce(altered, leaf) AS now, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS n FROM d),
+a AS (
+  SELECT tree, 0 AS level, place, n, leaf AS h FROM p
+  UNION ALL SELECT tree, level + 1, place // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY place)) FROM a WHERE n > 1 GROUP BY tree, level, place // 2, n),
+s AS (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n FROM a WHERE n = 1),
+b AS (
+  SELECT 0 AS level, place, n, h FROM s
+  UNION ALL SELECT level + 1, place // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY place)) FROM b WHERE n > 1 GROUP BY level, place // 2, n),
+f AS (
+  SELECT r, tree, 0 AS level, place, n, now AS h, '' AS proof FROM p
+  UNION ALL
+  SELECT f.r, f.tree, f.level + 1, f.place // 2, (f.n + 1) // 2,
+         sha256(CASE WHEN f.place % 2 = 1 THEN a.h || f.h ELSE f.h || coalesce(a.h, '') END), f.proof || coalesce(a.h, '')
+  FROM f LEFT JOIN a ON a.tree = f.tree AND a.level = f.level AND a.place = xor(f.place, 1) WHERE f.n > 1),
+g AS (
+  SELECT f.r, f.tree, 0 AS level, s.place, s.n, f.h, f.proof, s.h AS subroot FROM f JOIN s USING (tree) WHERE f.n = 1
+  UNION ALL
+  SELECT g.r, g.tree, g.level + 1, g.place // 2, (g.n + 1) // 2,
+         sha256(CASE WHEN g.place % 2 = 1 THEN b.h || g.h ELSE g.h || coalesce(b.h, '') END), g.proof || coalesce(b.h, ''), g.subroot
+  FROM g LEFT JOIN b ON b.level = g.level AND b.place = xor(g.place, 1) WHERE g.n > 1)
+SELECT p.doc_id, p.leaf, g.subroot, b.h AS root, sha256(g.proof) AS proof_sha256, g.h AS folded_root, g.h = b.h AS verified
+FROM g JOIN p USING (r) JOIN b ON b.n = 1 WHERE g.n = 1""",
+    "op12_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+o AS (SELECT r, lang, source, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x{00}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM o WHERE term != '' GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(total)::HUGEINT AS n FROM k GROUP BY lang),
+c AS (SELECT o.lang, source, term, count(*) AS c FROM o JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(sum(c), 0)::HUGEINT AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+m AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, (1 + (1000000000 * (coalesce(c.c, 0) + 2)::HUGEINT) // (g.n + 2 * v.v)) AS p,
+         (1 + (1000000000 * (k.total + 2)::HUGEINT) // (v.n + 2 * v.v)) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source != b.source
+  LEFT JOIN m x ON x.lang = a.lang AND x.source = a.source LEFT JOIN m y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY ALL),
+terms AS (SELECT lang, source, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value, row_number() OVER (PARTITION BY lang, source ORDER BY (p - q) * (p - q) // (p + q) DESC, term) AS rank FROM m WHERE c > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM pairs
+UNION ALL SELECT lang, source, 'term', item, value, rank::INTEGER FROM terms WHERE rank <= 10""",
 }

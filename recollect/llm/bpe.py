@@ -16,6 +16,7 @@ from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,9 @@ from .worker import held
 #: Entries of a worker's caches of pre-tokens and of pairs of tokens, and most characters of a pre-token kept.
 CACHE_ROWS, PAIR_ROWS, CACHED_CHARS = 400_000, 300_000, 48
 #: A space that text follows, and what makes other spaces likely.
-_CUT, _ODD = re.compile(r" (?=\S)"), re.compile(r" (?:\s|$)")
+_CUT, _ODD, _BETWEEN = re.compile(r" (?=\S)"), re.compile(r" (?:\s|$)"), re.compile(r"\S (?=\S)")
+#: Characters of a text that are encoded at a time, and bytes of texts.
+SEGMENT, BATCH_BYTES = 1 << 20, 4 << 20
 NEVER = 1 << 62
 # How byte-level vocabularies cut a text into pre-tokens.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -53,7 +56,7 @@ class Vocabulary:
         model, cut = told["model"], told["pre_tokenizer"] or {}
         plain = told["normalizer"] is None and told["post_processor"] is None and (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex")) == ("ByteLevel", False, True)
         odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
-        if model["type"] != "BPE" or not plain or odd or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in told["added_tokens"]):
+        if model["type"] != "BPE" or not plain or odd or any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in told["added_tokens"]):
             raise ValueError(f"not a plain byte-level vocabulary: {path}")
         letters = byte_letters()
         self.bytes = {i: bytes(letters[c] for c in token) for token, i in model["vocab"].items()}
@@ -186,6 +189,43 @@ class _Codes(dict):
                 out += map(self.__getitem__, runs)
         return b"".join(out)
 
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text. Runs of texts with plain spaces are looked up once for all texts together."""
+        made: list[list[bytes]] = [[] for _ in texts]
+        rows, rests = [], []
+        for row, text in enumerate(texts):
+            for part in _segments(text or ""):
+                if _ODD.search(part) or any(t in part for t in self.vocabulary.added):
+                    made[row].append(self.encode(part))
+                    continue
+                first, space, rest = part.partition(" ")
+                made[row].append(self.plain(first))
+                if space:
+                    rows.append((row, len(made[row])))
+                    made[row].append(b"")
+                    rests.append(rest)
+        runs = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
+        told = pc.dictionary_encode(runs.flatten())
+        ids = [self[run] for run in told.dictionary.to_pylist()]
+        taken = _lists(ids).take(told.indices)
+        ends = taken.offsets.to_numpy()[np.asarray(runs.offsets)] if rests else []
+        flat = taken.flatten().to_numpy().astype("<u4")
+        for k, (row, at) in enumerate(rows):
+            made[row][at] = flat[ends[k] : ends[k + 1]].tobytes()
+        return [b"".join(m) for m in made]
+
+
+def _segments(text: str) -> Iterator[str]:
+    """A text in parts of about SEGMENT characters, cut before a single space between others."""
+    at = 0
+    while len(text) - at > 2 * SEGMENT:
+        cut = _BETWEEN.search(text, at + SEGMENT)
+        if cut is None:
+            break
+        yield text[at : cut.start() + 1]
+        at = cut.start() + 1
+    yield text[at:] if at else text
+
 
 def _lists(made: list[bytes]) -> pa.Array:
     ends = np.cumsum([0, *(len(x) // 4 for x in made)])
@@ -203,9 +243,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = held(f"bpe {tokenizer_path}", lambda: _Codes(tokenizer_path))
-        for batch in (part for whole in batches for part in pieces(whole)):
-            made = [codes.encode(t.as_py()) if t.is_valid else b"" for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(made)], ["doc_id", "ids"])
+        for batch in (part for whole in batches for part in pieces(whole, 1, BATCH_BYTES)):
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(codes.encode_all(batch.column(1).to_pylist()))], ["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
@@ -218,11 +257,16 @@ def decode_documents(coded: DataFrame, tokenizer_path: str, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = held(f"bpe {tokenizer_path}", lambda: _Codes(tokenizer_path)).vocabulary
-        at = names.index(ids_col)
+        table = pa.array([vocabulary.bytes.get(i, b"") for i in range(max(vocabulary.bytes) + 1)] + [b""], pa.large_binary())
         for batch in batches:
-            lists = batch.column(at)
-            out = [None if not x.is_valid else b"".join(map(get, x.values.to_numpy().tolist())).decode("utf-8", "replace") for get in [lambda i: vocabulary.bytes.get(i, b"")] for x in lists]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*names, "text"])
+            lists = batch.column(names.index(ids_col))
+            ids = lists.flatten().fill_null(-1).to_numpy()
+            taken = table.take(pa.array(np.where((ids >= 0) & (ids < len(table)), ids, len(table) - 1)))
+            places = np.frombuffer(taken.buffers()[1], np.int64) if len(taken) else np.zeros(1, np.int64)
+            data = memoryview(taken.buffers()[2] or b"")
+            ends = places[np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])].tolist()
+            text = [bytes(data[a:b]).decode("utf-8", "replace") if there else None for a, b, there in zip(ends, ends[1:], lists.is_valid().to_pylist(), strict=False)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], [*names, "text"])
 
     names = [id_col, ids_col]
     rows = coded.select(*names)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,14 +84,52 @@ def near_duplicates(rows: DataFrame, keys: list[str], threshold: float) -> DataF
     return pairs.where(F.col("similarity") >= threshold)
 
 
-def bigram_neighbours(items: DataFrame, memories: DataFrame, least: float = 0.08, k: int = 5) -> DataFrame:
-    """(item_id, memory_id, similarity, rank): Jaccard similarity over the character pairs of statement keys. Candidates
-    come from shared pairs, counted, so that no pair of rows without one is formed."""
-    # the key is bound as a lambda's variable, so that it is made once a row and not once a pair
-    cut = lambda t: F.array_distinct(F.flatten(F.transform(F.array(statement_key(F.col(t))), pairs_of)))
-    left = items.select("item_id", F.explode(cut("text")).alias("g"), F.size(cut("text")).alias("ln"))
-    right = memories.select("memory_id", F.explode(cut("text")).alias("g"), F.size(cut("text")).alias("rn"))
-    shared = left.join(right, "g").groupBy("item_id", "memory_id", "ln", "rn").agg(F.count("*").alias("c"))
+def bigram_neighbours(items: DataFrame, memories: DataFrame, least: float = 0.08, k: int = 5, block: int = 64, slice_rows: int = 4096) -> DataFrame:
+    """(item_id, memory_id, similarity, rank): Jaccard similarity over the character pairs of statement keys, of those
+    at least alike the k most similar, ties to the smaller id.
+
+    At so low a bar hardly any pair of rows can be ruled out beforehand, so the items meet all memories in blocks: some
+    `block` items and some slice_rows memories, both by hash, in a task at a time, where what they share comes from one
+    product of matrices. Only what may be among an item's k best leaves it. Null and empty keys have no neighbours."""
+    blocks, slices = (max(1, -(-rows.count() // size)) for rows, size in ((items, block), (memories, slice_rows)))
+    codes = F.transform(F.array_distinct(pairs_of(statement_key(F.coalesce(F.col("text"), F.lit(""))))), lambda g: F.xxhash64(g))
+    cut = lambda rows, name: rows.select(F.col(name).alias("id"), codes.alias("codes"))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = cut(items, "item_id").withColumn("block", part(blocks)).withColumn("slice", every(slices))
+    right = cut(memories, "memory_id").withColumn("slice", part(slices)).withColumn("block", every(blocks))
+
+    def flat(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        lists = table["codes"].combine_chunks()
+        return lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+
+    def match(asked: pa.Table, held: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        if asked.num_rows and held.num_rows:
+            (a, ln), (b, rn) = flat(asked), flat(held)
+            known, column = np.unique(a, return_inverse=True)
+            own = np.zeros((len(ln), len(known)), np.float32)
+            own[np.repeat(np.arange(len(ln)), ln), column] = 1
+            at = np.minimum(np.searchsorted(known, b), len(known) - 1)
+            row, ends = np.repeat(np.arange(len(rn)), rn), np.cumsum(rn)
+            common = np.zeros((len(ln), len(rn)), np.int64)
+            for low in range(0, len(rn), 512):
+                high = min(low + 512, len(rn))
+                some = slice(int(ends[low] - rn[low]), int(ends[high - 1]))
+                hit = known[at[some]] == b[some]
+                there = np.zeros((high - low, len(known)), np.float32)
+                there[row[some][hit] - low, at[some][hit]] = 1
+                common[:, low:high] = own @ there.T
+            like = common / np.maximum(ln[:, None] + rn - common, 1)
+            for i, mine in enumerate(like):
+                # rounding may make neighbours of what lies within a unit of the last digit kept
+                bar = max(least, np.partition(mine, -k)[-k] if len(mine) >= k else 0) - 1e-6
+                found += [(i, j, common[i, j], ln[i], rn[j]) for j in np.flatnonzero(mine >= bar)]
+        i, j, c, m, n = (np.array(x, np.int64) for x in (zip(*found, strict=True) if found else [[]] * 5))
+        return pa.table({"item_id": asked["id"].take(pa.array(i)), "memory_id": held["id"].take(pa.array(j)), "c": c, "ln": m, "rn": n})
+
+    kinds = [rows.schema[name].dataType.simpleString() for rows, name in ((items, "item_id"), (memories, "memory_id"))]
+    shared = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInArrow(match, f"item_id {kinds[0]}, memory_id {kinds[1]}, c long, ln long, rn long")
     scored = shared.select("item_id", "memory_id", F.round(F.col("c") / (F.col("ln") + F.col("rn") - F.col("c")), 6).alias("similarity")).where(F.col("similarity") >= least)
     order = Window.partitionBy("item_id").orderBy(F.desc("similarity"), "memory_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -184,12 +184,11 @@ def file_paths(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.array_sort(rules.file_paths(text)).alias("paths"))
 
 
-@query("g33_identifiers", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN ['run_all()', 'run_all', 'pkg.mod_' || doc_id, 'camelCaseName'] WHEN 1 THEN ['SomeThing'] ELSE [] END AS names FROM documents")
+@query("g33_identifiers", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN ['run_all(', 'run_all', 'pkg.mod_' || doc_id, 'camelCaseName'] WHEN 1 THEN ['SomeThing'] ELSE [] END AS names FROM documents")
 def identifiers(t: Tables) -> DataFrame:
     kind, n = F.col("doc_id") % 3, F.col("doc_id").cast("string")
     text = F.when(kind == 0, F.concat(F.lit("use camelCaseName or `(run_all()` of pkg.mod_"), n, F.lit(" and `abc`"))).when(kind == 1, "a SomeThing, SomeThing or `return`").otherwise("plain words only")
-    names = F.transform(rules.identifiers(text), lambda x: F.when(x == "run_all(", "run_all()").otherwise(x))
-    return t.documents.select("doc_id", names.alias("names"))
+    return t.documents.select("doc_id", rules.identifiers(text).alias("names"))
 
 
 @query("g16_direct_references", "SELECT conv_id, turn, n AS memory FROM (SELECT conv_id, turn, unnest(list_distinct([conv_id + 1, turn + 2])) AS n FROM conversations) WHERE n IN (SELECT doc_id FROM documents)")

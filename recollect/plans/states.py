@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import states
 from .registry import Tables, query
@@ -37,7 +38,48 @@ def to_compact(t: Tables) -> DataFrame:
     return states.to_compact(_rows(t, _CURRENT, "part"), compacts, t.supplier.selectExpr("s_suppkey AS id"))
 
 
-@query("j14_model_health")
+_FAILED = "CASE WHEN event_type = 'error' AND user_id % 3 = 0 THEN 'schema_invalid' WHEN event_type = 'error' THEN 'timeout' WHEN event_type = 'click' AND event_id % 5 = 0 THEN 'authentication' END"
+#: The history of a model, one attempt after the other; seconds stand for days, as a user of the tables comes by that seldom.
+_HEALTH = f"""
+n AS (
+  SELECT user_id AS model, ts AS "at", {_FAILED} IS NULL AS ok, {_FAILED} AS category,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, {_FAILED} IS NULL, {_FAILED}) AS i FROM events),
+h(model, i, "at", ok, category, state, failures, broken, since, probed, incident) AS (
+  SELECT DISTINCT model, 0::BIGINT, NULL::TIMESTAMP, true, NULL::VARCHAR, 'healthy', 0, 0, NULL::TIMESTAMP, false, 0 FROM n
+  UNION ALL
+  SELECT n.model, n.i, n."at", n.ok, n.category,
+         CASE WHEN NOT n.ok AND (n.category IN ('authentication', 'invalid_model', 'invalid_configuration') OR (n.category = 'schema_invalid' AND broken >= 4) OR n."at" - coalesce(since, n."at") >= INTERVAL 20 DAY) THEN 'unavailable'
+              WHEN NOT n.ok AND failures >= 2 AND n."at" - coalesce(since, n."at") >= INTERVAL 2 DAY THEN 'degraded'
+              WHEN n.ok AND (state = 'healthy' OR probed) THEN 'healthy' ELSE state END,
+         CASE WHEN NOT n.ok THEN failures + 1 WHEN state = 'healthy' OR probed THEN 0 ELSE failures END,
+         CASE WHEN NOT n.ok THEN CASE WHEN n.category = 'schema_invalid' THEN broken + 1 ELSE 0 END WHEN state = 'healthy' OR probed THEN 0 ELSE broken END,
+         CASE WHEN NOT n.ok THEN coalesce(since, n."at") WHEN state = 'healthy' OR probed THEN NULL ELSE since END,
+         n.ok AND NOT (state = 'healthy' OR probed),
+         CASE WHEN n.ok AND state <> 'healthy' AND probed THEN incident + 1 ELSE incident END
+  FROM h JOIN n ON n.model = h.model AND n.i = h.i + 1)"""
+
+
+def _health(t: Tables) -> DataFrame:
+    attempts = t.events.selectExpr("user_id AS model", "ts AS at", f"{_FAILED} IS NULL AS ok", f"{_FAILED} AS category")
+    return states.model_health(attempts, degraded_span=2 * 86_400.0, down_span=20 * 86_400.0)
+
+
+@query("j14_model_health", f"WITH RECURSIVE {_HEALTH} SELECT model, \"at\", ok, category, state FROM h WHERE i > 0")
 def model_health(t: Tables) -> DataFrame:
-    attempts = t.events.selectExpr("user_id AS model", "ts AS at", "event_type NOT IN ('error', 'click') AS ok", "CASE WHEN event_type = 'error' THEN 'schema_invalid' WHEN event_type = 'click' THEN 'timeout' END AS category")
-    return states.model_health(attempts, immediate=("account",))
+    return _health(t).select("model", "at", "ok", "category", "state").withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query(
+    "j14_model_incidents",
+    f"""WITH RECURSIVE {_HEALTH},
+    b AS (SELECT *, lag(state, 1, 'healthy') OVER (PARTITION BY model ORDER BY i) AS before FROM h WHERE i > 0),
+    -- an incident's rows are those out of health and the recovery that follows
+    k AS (SELECT *, count(*) FILTER (state <> 'healthy' AND before = 'healthy') OVER (PARTITION BY model ORDER BY i) AS no FROM b WHERE state <> 'healthy' OR before <> 'healthy')
+    SELECT model, min(since) FILTER (state <> 'healthy') AS started_at, max("at") FILTER (NOT ok) AS last_failure_at, max("at") FILTER (state = 'healthy') AS ended_at,
+           CASE WHEN count(*) FILTER (state = 'healthy') > 0 THEN 'recovered' ELSE arg_max(state, i) END AS state,
+           arg_max(category, i) FILTER (NOT ok) AS reason, count(*) FILTER (state <> 'healthy' AND before <> 'healthy' AND before <> state) AS transitions
+    FROM k GROUP BY model, no""",
+)
+def model_incidents(t: Tables) -> DataFrame:
+    found = states.model_incidents(_health(t))
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "last_failure_at", "ended_at")})

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import carried, cut_runs, ranked
+from .stages import written
+
 from ..functions.policy import BatchPolicy
 from .relational import first_per
 
@@ -42,3 +45,37 @@ def attempt_health(attempts: DataFrame, minutes: int = 15, least: int = 3, share
     w = attempts.groupBy(F.window("at", f"{minutes} minutes").alias("w")).agg(F.count("*").alias("attempts"), F.count_if("failed").alias("failures"))
     degraded = (F.col("failures") >= least) | ((F.col("attempts") >= volume) & (F.col("failures") >= share * F.col("attempts")))
     return w.select(F.col("w.start").alias("started_at"), "attempts", "failures", degraded.alias("degraded"))
+
+
+# The kind that ends a session, and those that alone need no model.
+SESSION_END, LIFECYCLE = "SessionEnd", ("SessionStart", "SessionEnd")
+
+
+def batches(events: DataFrame, most_events: int = 64, most_bytes: int = 1 << 20) -> DataFrame:
+    """(event_id, session, batch, ordinal, lifecycle_only, project): every event of events(event_id, session, turn, kind,
+    at, bytes, project) in the batch that takes it, once all are due.
+
+    A session's next batch begins with its first event that has none. If the session ends at that event or later, the
+    batch takes events up to the end, else those of the same turn; in the order (at, event_id), at most most_events, and no
+    more than most_bytes but for a first event that is larger. Batches of a session count from 0. A batch of lifecycle
+    events alone needs no model; its project is that of its events if they name one only, else null. An event without
+    a session is one of its own; a null turn is a turn.
+
+    The end that an event falls under is carried back along the session; batches are cut by pointers, so that a
+    session of any length is never gathered.
+    """
+    rows = events.select("event_id", F.coalesce(F.col("session").cast("string"), F.concat(F.lit("event:"), F.col("event_id").cast("string"))).alias("session"), "turn", "kind", "at", "bytes", "project")
+    ends = rows.withColumn("end_at", F.when(F.col("kind") == SESSION_END, F.col("at")))
+    # backwards in time, an end before what happened at the same instant
+    back = carried(ends, ["session"], [F.desc("at"), F.desc(F.col("end_at").isNotNull()), F.col("event_id")], "end_at", "until", "session-ends")
+    group = F.when(F.col("until").isNotNull(), F.concat(F.lit("end:"), F.col("until").cast("string"))).otherwise(F.coalesce(F.concat(F.lit("turn:"), F.col("turn").cast("string")), F.lit("none")))
+    cut = written(cut_runs(back.withColumn("group", group), ["session", "group"], ["at", "event_id"], "bytes", most_events, most_bytes), "batch-events")
+    whole = cut.groupBy("session", "group", "head").agg(
+        F.min(F.struct("at", "event_id")).alias("first"),
+        F.bool_and(F.coalesce(F.col("kind").isin(*LIFECYCLE), F.lit(False))).alias("lifecycle_only"),
+        F.min("project").alias("least"),
+        F.max("project").alias("most"),
+    )
+    # batches follow each other by their first events
+    numbered = ranked(whole.select("session", "group", "head", "first", "lifecycle_only", F.when(F.col("least") == F.col("most"), F.col("least")).alias("one")), ["session"], ["first"], name="batches")
+    return cut.join(numbered.select("session", "group", "head", F.col("place").alias("batch"), "lifecycle_only", "one"), ["session", "group", "head"]).select("event_id", "session", "batch", "ordinal", "lifecycle_only", F.col("one").alias("project"))

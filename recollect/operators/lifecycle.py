@@ -41,6 +41,15 @@ def working_set(features: DataFrame, observed_at: Column, policy: WorkingSetPoli
     return rows.withColumn("ranked", ranked).drop("n", "m")
 
 
+def exclusion_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(id, space, outcome, before): what two sets of exclusions(id, space) say of each id: excluded now, restored, or kept
+    out."""
+    sides = before.select("id", "space", F.lit(1).alias("side")).unionByName(after.select("id", "space", F.lit(2).alias("side")))
+    sides = sides.groupBy("id").agg(F.max("space").alias("space"), F.sum("side").alias("side"))
+    outcome = F.when(F.col("side") == 1, "restored").when(F.col("side") == 2, "excluded").otherwise("kept out")
+    return sides.select("id", "space", outcome.alias("outcome"), (F.col("side") != 2).alias("before"))
+
+
 def receipt_rollup(receipts: DataFrame, items: DataFrame, as_of: Column, days: int) -> tuple[DataFrame, DataFrame]:
     """(kept, summary): receipts newer than the cut, and the older ones summed by day and kind.
 

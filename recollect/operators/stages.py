@@ -20,10 +20,14 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/recollect-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def written(rows: DataFrame, name: str) -> DataFrame:
     """rows as a Parquet table of the shared folder: numbers given by place stay what they are, and a lost executor costs a
     reread."""
     spark = rows.sparkSession
-    path = f"{shared_folder(spark)}/recollect-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)

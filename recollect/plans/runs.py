@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import intake
+from ..functions.policy import WorkingSetPolicy
+from ..operators import candidates, intake, lifecycle, purge, stages
+from ..sources import snapshots
 from .registry import Tables, query
 
 _CAPTURED = """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS session, CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_id // 70 END AS turn,
@@ -38,3 +40,59 @@ def session_batches(t: Tables) -> DataFrame:
         kind.alias("kind"), F.col("ts").alias("at"), F.round(F.col("value") * 40).cast("long").alias("bytes"), F.when(F.col("event_id") % 5 != 0, F.col("user_id") % 2).alias("project"),
     )
     return intake.batches(events, most_bytes=100_000)
+
+
+_DUE = """SELECT o_orderkey AS id, o_orderdate + INTERVAL 3 MONTH AS due_at, CAST(o_totalprice AS BIGINT) AS bytes FROM orders
+    WHERE o_custkey % 6 <> 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 50) AND o_orderkey NOT IN (SELECT event_id FROM events WHERE event_type = 'error')
+    AND o_orderdate + INTERVAL 3 MONTH <= TIMESTAMP '2000-01-01'"""
+
+
+@query(
+    "k20_purge_run",
+    f"""WITH RECURSIVE d AS (SELECT *, row_number() OVER (ORDER BY due_at, id) AS place FROM ({_DUE})),
+    h(k, place, room) AS (
+      SELECT 0, 0::BIGINT, 6000000::BIGINT
+      UNION ALL
+      SELECT n.k + 1, n.place, n.room - d.bytes FROM (SELECT h.k, h.room, min(d.place) AS place FROM h JOIN d ON d.place > h.place AND d.bytes <= h.room WHERE h.k < 48 GROUP BY ALL) n JOIN d USING (place))
+    SELECT id, h.k - 1 AS ordinal, bytes, CASE WHEN o_orderstatus = 'P' THEN 'changed' ELSE 'purged' END AS outcome FROM h JOIN d USING (place) JOIN orders ON o_orderkey = id""",
+)
+def purge_run(t: Tables) -> DataFrame:
+    """Orders stand for archived memories; what has moved on since the plan was made stays."""
+    nobody = t.events.where("event_type = 'error'").selectExpr("event_id AS id", "array(event_id) AS others")
+    reviews = t.lineitem.where("l_quantity = 50").selectExpr("l_orderkey AS id")
+    archived = t.orders.selectExpr("o_orderkey AS id", "false AS retain_forever", "cast(null AS timestamp) AS purge_after", "o_custkey % 6 = 0 AS pinned", "cast(o_orderdate AS timestamp) AS archived_at")
+    eligible = candidates.purge_eligibility(archived, reviews, reviews.limit(0), nobody).where("reason IS NULL AND purge_at <= timestamp'2000-01-01'")
+    due = eligible.join(t.orders.selectExpr("o_orderkey AS id", "cast(o_totalprice AS decimal(20,0)) AS bytes"), "id").select("id", "purge_at", F.col("bytes").cast("long").alias("bytes"))
+    now = t.orders.selectExpr("o_orderkey AS id", "CASE WHEN o_orderstatus = 'P' THEN 'changed' ELSE 'purged' END AS outcome")
+    root = stages.new_folder(due.sparkSession, "purge")
+    return purge.run(lambda: purge.capped_walk(due, ["purge_at", "id"], "bytes", 48, 6_000_000), root, due.sparkSession, lambda rows: rows.join(now, "id").select("id", "ordinal", "bytes", "outcome"))
+
+
+def _excluded(day: str) -> str:
+    return f"""WITH f AS (SELECT c_custkey AS id, c_nationkey AS space, max(o_orderdate) AS last_activity, c_acctbal < -900 AS protected, c_custkey % 17 AS soft_score FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderdate <= TIMESTAMP '{day}' GROUP BY ALL),
+       m AS (SELECT *, protected OR coalesce(last_activity, TIMESTAMP '1970-01-01') >= TIMESTAMP '{day}' - INTERVAL 90 DAY AS mandatory FROM f),
+       n AS (SELECT *, count(*) OVER (PARTITION BY space) AS n, sum(mandatory::INT) OVER (PARTITION BY space) AS k,
+             row_number() OVER (PARTITION BY space ORDER BY mandatory DESC, last_activity DESC NULLS LAST, soft_score DESC, id) AS r FROM m)
+       SELECT id, space FROM n WHERE NOT (n <= 40 OR r <= greatest(30, k))"""
+
+
+@query(
+    "k15_rebalance",
+    f"""SELECT coalesce(a.id, b.id) AS id, coalesce(a.space, b.space) AS space, CASE WHEN a.id IS NULL THEN 'excluded' WHEN b.id IS NULL THEN 'restored' ELSE 'kept out' END AS outcome, a.id IS NOT NULL AS before
+        FROM ({_excluded('1999-06-01')}) a FULL JOIN ({_excluded('2000-06-01')}) b ON a.id = b.id""",
+)
+def rebalance(t: Tables) -> DataFrame:
+    """The working set of one day in place of that of another, on condition that nobody published meanwhile."""
+
+    def excluded(day: str) -> DataFrame:
+        last = t.orders.where(F.col("o_orderdate") <= F.lit(day).cast("timestamp_ntz")).groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_orderdate").alias("last_activity"))
+        features = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("space"), (F.col("c_acctbal") < -900).alias("protected"), (F.col("c_custkey") % 17).alias("soft_score")).join(last, "id", "left")
+        return lifecycle.working_set(features, F.lit(day).cast("timestamp"), WorkingSetPolicy(40, 30, 90)).where("NOT ranked").select("id", "space")
+
+    before = excluded("1999-06-01")
+    spark = before.sparkSession
+    root = stages.new_folder(spark, "exclusions")
+    snapshots.replace_if_changed(before, root, 0)
+    held, now = snapshots.pinned(spark, root), snapshots.token(spark, root)
+    snapshots.replace_if_changed(excluded("2000-06-01"), root, now)
+    return lifecycle.exclusion_changes(held, snapshots.pinned(spark, root))

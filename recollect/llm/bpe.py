@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .words import pieces
-from .worker import held
+from .worker import held, trim
 
 #: Entries of a worker's caches of pre-tokens and of pairs of tokens, and most characters of a pre-token kept.
-CACHE_ROWS, PAIR_ROWS, CACHED_CHARS = 400_000, 300_000, 48
+CACHE_ROWS, PAIR_ROWS, CACHED_CHARS = 300_000, 200_000, 48
 #: A space that text follows, and what makes other spaces likely.
 _CUT, _ODD, _BETWEEN = re.compile(r" (?=\S)"), re.compile(r" (?:\s|$)"), re.compile(r"\S (?=\S)")
 #: Characters of a text that are encoded at a time, and bytes of texts.
-SEGMENT, BATCH_BYTES = 1 << 20, 4 << 20
+SEGMENT, BATCH_BYTES = 1 << 20, 2 << 20
 NEVER = 1 << 62
 # How byte-level vocabularies cut a text into pre-tokens.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -245,19 +245,28 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
         codes = held(f"bpe {tokenizer_path}", lambda: _Codes(tokenizer_path))
         for batch in (part for whole in batches for part in pieces(whole, 1, BATCH_BYTES)):
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(codes.encode_all(batch.column(1).to_pylist()))], ["doc_id", "ids"])
+        trim()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
+def _table(path: str) -> pa.Array:
+    """Every id's bytes, and none for the place after the last."""
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    letters = byte_letters()
+    found = {i: bytes(letters[c] for c in token) for token, i in told["model"]["vocab"].items()} | {t["id"]: t["content"].encode() for t in told["added_tokens"]}
+    return pa.array([found.get(i, b"") for i in range(max(found) + 1)] + [b""], pa.large_binary())
+
+
 def decode_documents(coded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """coded with `text`: the bytes of the ids one after another, as the library's decode with
     skip_special_tokens=False gives them; what is no valid UTF-8 becomes U+FFFD; null ids give null, no ids an empty text;
     ids that the vocabulary lacks are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = held(f"bpe {tokenizer_path}", lambda: _Codes(tokenizer_path)).vocabulary
-        table = pa.array([vocabulary.bytes.get(i, b"") for i in range(max(vocabulary.bytes) + 1)] + [b""], pa.large_binary())
+        table = held(f"bpe bytes {tokenizer_path}", lambda: _table(tokenizer_path))
         for batch in batches:
             lists = batch.column(names.index(ids_col))
             ids = lists.flatten().fill_null(-1).to_numpy()

@@ -80,3 +80,26 @@ class RecoveryPolicy:
     attempts: int = 7
     recoveries: int = 2
     pause_hours: int = 6
+
+
+@dataclass(frozen=True)
+class SessionPolicy:
+    tokens: int = 1200
+    always_tokens: int = 600
+    items: int = 12
+    identities: int = 4
+    compact_limit: int = 96
+    identity_limit: int = 48
+    header_tokens: int = 120  # what stands before the items, and what each of them takes besides its text
+    item_tokens: int = 24
+
+
+@dataclass(frozen=True)
+class ExcerptPolicy:
+    messages: int = 6
+    fade: float = 0.65
+    recent: float = 12.0
+    overlap: int = 3
+    entities: int = 2
+    least_tokens: int = 24
+    label_tokens: int = 10  # of a fragment's label

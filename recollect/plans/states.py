@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import states
+from ..operators import coalescing, states
 from .registry import Tables, query
 
 _CURRENT = "SELECT p_partkey AS id, p_size % 3 AS revision, CASE p_size % 5 WHEN 0 THEN 'archived' WHEN 1 THEN 'review_due' ELSE 'active' END AS state FROM part WHERE p_partkey % 9 <> 0"
@@ -83,3 +83,34 @@ def model_health(t: Tables) -> DataFrame:
 def model_incidents(t: Tables) -> DataFrame:
     found = states.model_incidents(_health(t))
     return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "last_failure_at", "ended_at")})
+
+
+_CHANGES = "SELECT user_id % 40 AS catalog, ts AS \"at\", CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'built' ELSE 'change' END AS kind FROM events"
+
+
+@query(
+    "j12_coalesced_builds",
+    f"""WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY catalog ORDER BY "at", kind) AS i FROM ({_CHANGES})),
+    h(catalog, i, gen, pub, bld, started, dirty, forced, failed, out_at, reason, seen) AS (
+      SELECT DISTINCT catalog, 0::BIGINT, 0::BIGINT, 0::BIGINT, NULL::BIGINT, NULL::TIMESTAMP, NULL::TIMESTAMP, NULL::TIMESTAMP, NULL::TIMESTAMP, NULL::TIMESTAMP, NULL::VARCHAR, NULL::TIMESTAMP FROM n
+      UNION ALL
+      SELECT catalog, CASE WHEN fire THEN i ELSE i + 1 END, CASE WHEN NOT fire AND kind = 'change' THEN gen + 1 ELSE gen END,
+             CASE WHEN NOT fire AND kind = 'built' AND bld IS NOT NULL THEN greatest(pub, bld) ELSE pub END,
+             CASE WHEN fire THEN gen WHEN kind IN ('built', 'failed') THEN NULL ELSE bld END, CASE WHEN fire THEN due ELSE started END,
+             CASE WHEN fire THEN dirty WHEN kind = 'change' THEN "at" WHEN kind = 'built' AND bld >= gen THEN NULL ELSE dirty END,
+             CASE WHEN fire THEN forced WHEN kind = 'change' THEN coalesce(forced, "at" + INTERVAL 12 HOUR) WHEN kind = 'built' AND bld >= gen THEN NULL ELSE forced END,
+             CASE WHEN fire THEN failed WHEN kind = 'failed' AND bld IS NOT NULL THEN "at" WHEN kind = 'built' AND bld IS NOT NULL THEN NULL ELSE failed END,
+             CASE WHEN fire THEN due END, CASE WHEN fire THEN CASE WHEN forced <= due THEN 'force_due' ELSE 'quiet_period' END END, CASE WHEN fire THEN due ELSE "at" END
+      FROM (SELECT d.*, n."at", n.kind, coalesce(d.due < n."at", d.due <= TIMESTAMP '2024-02-01', false) AS fire
+            FROM (SELECT *, CASE WHEN gen > pub THEN greatest(least(dirty + INTERVAL 4 HOUR, forced), coalesce(failed + INTERVAL 30 HOUR, dirty), coalesce(CASE WHEN bld IS NOT NULL THEN started + INTERVAL 30 HOUR END, dirty), seen) END AS due FROM h) d
+            LEFT JOIN n ON n.catalog = d.catalog AND n.i = d.i + 1 AND n."at" <= TIMESTAMP '2024-02-01')
+      WHERE fire OR kind IS NOT NULL)
+    SELECT catalog, out_at AS "at", gen AS generation, reason FROM h WHERE out_at IS NOT NULL""",
+)
+def coalesced_builds(t: Tables) -> DataFrame:
+    """Users by forties are catalogs; hours stand for seconds, as their events are so far apart."""
+    hour = 3_600_000_000
+    events = t.events.selectExpr("user_id % 40 AS catalog", "ts AS at", "CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'built' ELSE 'change' END AS kind")
+    until = 1_706_745_600_000_000  # 2024-02-01
+    found = coalescing.builds(events, until, coalescing.CoalescePolicy(4 * hour, 12 * hour, 30 * hour))
+    return found.withColumn("at", F.col("at").cast("timestamp_ntz"))

@@ -316,9 +316,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def _classes_linked(texts: DataFrame, sets: DataFrame) -> DataFrame:
     """(digest, component, links): a row per class of equal sets, written."""
     named = sets.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
-    # a class's number is 64 bits of its digest, as a shingle is 64 bits of its words; doc is where its text is read
-    classes = named.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.count("*").alias("weight"), F.first("group").alias("group")).withColumn("cid", F.xxhash64("digest"))
-    classes = materialize(classes, "jaccard-classes")
+    # a class is its whole digest; its number is its place in the written table; doc is where its text is read
+    classes = named.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.count("*").alias("weight"), F.first("group").alias("group"))
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
     postings = materialize(_postings(named), "jaccard-postings")
     leaders = postings.groupBy("shingle").agg(F.min(F.struct("p", "n", "group")).alias("lead"), F.count("*").alias("m")).where("m > 1").select("shingle", "lead")
     shared = materialize(postings.join(leaders, "shingle"), "jaccard-shared")

@@ -22,7 +22,7 @@ from .workspace import materialize, scratch
 
 SCALE = 1_000_000_000
 #: Distinct terms that a task holds before it hands them on, and bytes of a long text cut into terms at a time.
-HELD, PART = 200_000, 1 << 20
+HELD, PART = 500_000, 1 << 20
 #: ASCII letters and all bytes of other characters make terms; A-Z are lower-cased; the rest parts them.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 

@@ -24,14 +24,18 @@ def pairs_of(run: Column) -> Column:
 def search_terms(text: Column) -> Column:
     """Every sighting of a search term: tokens of two characters or more; inside a token its Latin runs and its CJK runs
     where they differ from it; and the pairs of every CJK run. Null gives an empty array."""
-    tokens = F.filter(_runs(F.lower(F.coalesce(text, F.lit(""))), TOKEN), lambda t: F.length(t) >= 2)
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    tokens, plain = (F.filter(_runs(lower, p), lambda t: F.length(t) >= 2) for p in (TOKEN, LATIN))
 
     def within(t: Column) -> Column:
         part = lambda r: (F.length(r) >= 2) & (r != t)
         cjk = _runs(t, CJK)
-        return F.concat(F.array(t), F.filter(_runs(t, LATIN), part), F.filter(cjk, part), F.flatten(F.transform(cjk, pairs_of)))
+        every = F.concat(F.array(t), F.filter(_runs(t, LATIN), part), F.filter(cjk, part), F.flatten(F.transform(cjk, pairs_of)))
+        # a token that is one Latin run has no other parts
+        return F.when(t.rlike(f"^{LATIN}$"), F.array(t)).otherwise(every)
 
-    return F.flatten(F.transform(tokens, within))
+    # nor has any token of a text of ASCII characters, where the two patterns find the same
+    return F.when(text.rlike(r"^\p{ASCII}*$"), plain).otherwise(F.flatten(F.transform(tokens, within)))
 
 
 def normal_query(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import ranked
+
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, value: str) -> DataFrame:
     """left with the value of right's latest row of the same key at or before left's instant, else null.
@@ -63,25 +65,53 @@ def balanced_split(rows: DataFrame, key: str, order: str, size: str) -> DataFram
     return placed.where("i < n").groupBy(key).agg(F.min(F.struct("rest", "i")).alias("best")).select(key, F.col("best.i").alias("split_at"), F.col("best.rest").alias("rest"))
 
 
-def ordinals(rows: DataFrame, key: str, width: int = 4096) -> DataFrame:
-    """rows with `ordinal`, their place from 0 by a whole-number key, distinct and not null. Places inside a bucket of
-    `width` keys are counted there; only the buckets' counts, a row each, are summed in one run."""
-    bucketed = rows.withColumn("bucket", F.floor(F.col(key) / width))
-    ahead = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = bucketed.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("bucket").orderBy(key)) - 1
-    return bucketed.withColumn("inside", inside).join(starts, "bucket").withColumn("ordinal", F.col("start") + F.col("inside")).drop("bucket", "start", "inside")
+def ordinals(rows: DataFrame, key: str) -> DataFrame:
+    """rows with `ordinal`, their place from 0 by a key, whatever its values; only a count for each task is summed in one
+    run."""
+    return ranked(rows, [], [key], name="ordinals").withColumnRenamed("place", "ordinal")
 
 
 def tree_digest(rows: DataFrame, key: str, content: Column, fan: int = 1024, levels: int = 3) -> DataFrame:
     """One row with `digest`: SHA-256 over the rows in key order, a tree of groups of at most `fan` neighbouring keys, so
-    that no group grows with the table (fan ** levels keys in all). Keys are distinct whole numbers from 0."""
-    level = rows.select(F.col(key).alias("k"), F.sha2(content, 256).alias("d"))
+    that no group grows with the table; at least `levels` levels, and as many as the largest key needs. Keys are distinct
+    whole numbers from 0; no rows give no digest."""
+    largest = rows.agg(F.max(key)).first()[0] or 0
+    while fan**levels <= largest:
+        levels += 1
+    level = rows.select(F.col(key).cast("long").alias("k"), F.sha2(content, 256).alias("d"))
     for _ in range(levels):
         level = level.groupBy(F.floor(F.col("k") / fan).alias("k")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda x: x["d"]), ""), 256).alias("d"))
     return level.select(F.col("d").alias("digest"))
 
 
+def area_under_curve(rows: DataFrame, score: str, label: str) -> DataFrame:
+    """One row with `auc`: the share of pairs of a row with label 1 and one with label 0 in which the first has the larger
+    score, ties half; null if there are none. Counts go by distinct score, and what lies below each is a running sum that no
+    task does alone."""
+    known = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    by_score = known.groupBy(F.col(score).alias("score")).agg(F.sum(label).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
+    placed = ranked(by_score, [], ["score"], ["neg"], name="auc")
+    return placed.withColumn("w", F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)).agg(F.round(F.try_divide(F.sum("w"), F.sum("pos") * F.sum("neg")), 6).alias("auc"))
+
+
+def round_robin(rows: DataFrame, key: str, category: str, order: str) -> DataFrame:
+    """rows with `position` from 1 within the key: one of each category in turn, categories by name, their rows by the
+    order. Neither a key's nor a category's rows are gathered."""
+    turns = ranked(rows, [key, category], [order], name="turns").withColumnRenamed("place", "turn_")
+    return ranked(turns, [key], ["turn_", category], name="robin").withColumn("position", F.col("place") + 1).drop("turn_", "place")
+
+
+def preferred_match(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], left_id: str, right_id: str) -> DataFrame:
+    """(left_id, right_id, preference): each left row's match by the first of keys that has one, the smallest right_id among
+    several. Of rows that share a key's value only the smallest is joined, so no row meets all of its kind."""
+    every = None
+    for n, (l, r) in enumerate(keys, 1):
+        least = right.where(F.col(r).isNotNull()).groupBy(F.col(r).alias("match_")).agg(F.min(right_id).alias(right_id))
+        part = left.select(left_id, F.col(l).alias("match_")).join(least, "match_").select(left_id, right_id, F.lit(n).alias("preference"))
+        every = part if every is None else every.unionByName(part)
+    return every.groupBy(left_id).agg(F.min(F.struct("preference", right_id)).alias("best")).select(left_id, f"best.{right_id}", "best.preference")
+
+
 def merge_sums(old: DataFrame, new: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
     """Summary rows with a batch of more added to them: measures add up where keys meet."""
     both = old.select(*keys, *sums).unionByName(new.select(*keys, *sums))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.policy import SearchPolicy
 from ..functions.text import pairs_of, search_terms, statement_key
+from .stages import written
 
 
 def term_counts(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -28,10 +29,11 @@ def bm25(queries: DataFrame, docs: DataFrame, policy: SearchPolicy = SearchPolic
     Okapi weights, ranks by score to six digits and then id. With longer_first terms of equal frequency go by length
     before they go by themselves.
 
-    Document terms are narrowed to those any query holds before they are counted, so the exchange carries postings of
-    query terms only; lengths are sums over the same explode."""
-    sightings = docs.select("id", F.explode(search_terms(F.col("text"))).alias("term"))
-    lengths = docs.select("id", F.size(search_terms(F.col("text"))).cast("long").alias("length"))
+    Documents are cut into terms once and written. Terms are narrowed to those any query holds before they are counted, so
+    the exchange carries postings of query terms only."""
+    cut = written(docs.select("id", search_terms(F.col("text")).alias("terms")), "search-terms")
+    sightings = cut.select("id", F.explode("terms").alias("term"))
+    lengths = cut.select("id", F.size("terms").cast("long").alias("length"))
     asked = queries.select("query_id", F.explode(F.array_distinct(search_terms(F.col("text")))).alias("term"))
     postings = sightings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "id").agg(F.count("*").alias("tf"))
     found = postings.groupBy("term").agg(F.count("*").alias("df"))
@@ -75,12 +77,39 @@ def fuse(lexical: DataFrame, semantic: DataFrame, policy: SearchPolicy = SearchP
     return both.select("query_id", "id", F.round(part("l") + part("s"), 9).alias("rrf"))
 
 
-def near_duplicates(rows: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """(left_id, right_id, similarity): pairs id < id with equal keys and a dot product of threshold or more."""
-    l, r = rows.select("id", "vector", *keys).alias("l"), rows.select("id", "vector", *keys).alias("r")
-    same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
-    dot = F.aggregate(F.zip_with("l.vector", "r.vector", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    pairs = l.join(r, [*same, F.col("l.id") < F.col("r.id")]).select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), F.round(dot, 6).alias("similarity"))
+def near_duplicates(rows: DataFrame, keys: list[str], threshold: float, block: int = 512) -> DataFrame:
+    """(left_id, right_id, similarity): pairs id < id of rows(id, vector, *keys) with equal keys and a dot product of
+    threshold or more. Null keys and vectors pair with nothing.
+
+    A key's rows are dealt into blocks of about `block` by hash of their id; every two blocks meet once in a task, whatever
+    a key holds, as a product of matrices, and only pairs that count leave it."""
+    known = rows.where(F.col("vector").isNotNull()).select("id", F.col("vector").cast("array<double>").alias("vector"), F.to_json(F.struct(*keys)).alias("key"), *keys).dropna(subset=keys)
+    sizes = known.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = known.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "vector")
+
+    def match(table: pa.Table) -> pa.Table:
+        ids, own = table["id"].combine_chunks(), table["own"].to_numpy()
+        lists = table["vector"].combine_chunks()
+        width = lists.value_lengths().to_numpy()
+        left, right, dot = [], [], []
+        for w in np.unique(width):  # vectors of one length meet
+            some = np.flatnonzero(width == w)
+            x = lists.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).reshape(len(some), w)
+            like = x @ x.T
+            good = np.triu(np.ones(like.shape, bool), 1) & (like >= threshold - 1e-6)
+            if own.min() != own.max():
+                good &= own[some][:, None] != own[some]
+            a, b = np.nonzero(good)
+            left.append(some[a])
+            right.append(some[b])
+            dot.append(like[a, b])
+        a, b, d = (np.concatenate(c) if c else np.zeros(0, t) for c, t in ((left, np.int64), (right, np.int64), (dot, float)))
+        return pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b)), "dot": d})
+
+    kind = rows.schema["id"].dataType.simpleString()
+    pairs = dealt.groupBy("key", "i", "j").applyInArrow(match, f"a {kind}, b {kind}, dot double").where("a <> b")
+    pairs = pairs.select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"), F.round("dot", 6).alias("similarity"))
     return pairs.where(F.col("similarity") >= threshold)
 
 

@@ -117,9 +117,7 @@ def fewer_newer(t: Tables) -> DataFrame:
 
 @query("c14_preferred_match", "SELECT c_custkey, s_suppkey, preference FROM (SELECT c_custkey, s_suppkey, preference, row_number() OVER (PARTITION BY c_custkey ORDER BY preference, s_suppkey) AS n FROM (SELECT c_custkey, s_suppkey, 1 AS preference FROM customer JOIN supplier ON c_custkey = s_suppkey UNION ALL SELECT c_custkey, s_suppkey, 2 FROM customer JOIN supplier ON c_nationkey = s_nationkey)) WHERE n = 1")
 def preferred(t: Tables) -> DataFrame:
-    exact = t.customer.join(t.supplier, F.col("c_custkey") == F.col("s_suppkey")).select("c_custkey", "s_suppkey", F.lit(1).alias("preference"))
-    near = t.customer.join(t.supplier, F.col("c_nationkey") == F.col("s_nationkey")).select("c_custkey", "s_suppkey", F.lit(2).alias("preference"))
-    return relational.first_per(exact.unionByName(near), ["c_custkey"], "preference", "s_suppkey")
+    return relational.preferred_match(t.customer, t.supplier, [("c_custkey", "s_suppkey"), ("c_nationkey", "s_nationkey")], "c_custkey", "s_suppkey")
 
 
 @query("c17_counts", "SELECT (SELECT count(*) FROM orders) AS orders, (SELECT count(*) FROM customer) AS customers, (SELECT count(*) FROM part WHERE p_size > 25) AS large")
@@ -213,8 +211,7 @@ def byte_prefix(t: Tables) -> DataFrame:
 
 @query("e8_round_robin", "SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY rn, source)::INT AS position FROM (SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS rn FROM documents)")
 def round_robin(t: Tables) -> DataFrame:
-    rn = F.row_number().over(Window.partitionBy("lang", "source").orderBy("doc_id"))
-    return t.documents.withColumn("rn", rn).select("lang", "doc_id", F.row_number().over(Window.partitionBy("lang").orderBy("rn", "source")).alias("position"))
+    return relational.round_robin(t.documents.select("lang", "source", "doc_id"), "lang", "source", "doc_id").select("lang", "doc_id", F.col("position").cast("int").alias("position"))
 
 
 @query("e9_continuations", "WITH w AS (SELECT DISTINCT user_id, date_trunc('day', ts) AS s, date_trunc('day', ts) + INTERVAL 1 DAY AS e FROM events), f AS (SELECT *, CASE WHEN lag(e) OVER (PARTITION BY user_id ORDER BY s) = s THEN 0 ELSE 1 END AS fresh FROM w), c AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY s) AS chain FROM f) SELECT user_id, s, row_number() OVER (PARTITION BY user_id, chain ORDER BY s)::INT AS run FROM c")

@@ -153,9 +153,7 @@ def statement_keys(t: Tables) -> DataFrame:
 )
 def auc(t: Tables) -> DataFrame:
     """Rank sums by distinct score: counts below plus half of the ties, no global order of rows."""
-    by_score = t.labels.join(t.documents, "doc_id").groupBy("n_chars").agg(F.sum("quality").alias("pos"), F.sum(1 - F.col("quality")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("n_chars").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return by_score.withColumn("w", F.col("pos") * (below + F.col("neg") / 2)).agg(F.round(F.sum("w") / (F.sum("pos") * F.sum("neg")), 6).alias("auc"))
+    return relational.area_under_curve(t.labels.join(t.documents, "doc_id"), "n_chars", "quality")
 
 
 @query(

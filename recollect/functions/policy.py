@@ -103,3 +103,22 @@ class ExcerptPolicy:
     entities: int = 2
     least_tokens: int = 24
     label_tokens: int = 10  # of a fragment's label
+
+
+@dataclass(frozen=True)
+class PromptPolicy:
+    items: int = 6
+    soft_items: int = 2  # of a prompt once the epoch is past its soft target
+    soft_score: int = 5
+    probable_items: int = 2
+    hard_limit: int = 1024
+    target: int = 600
+    compact_limit: int = 96
+    identity_limit: int = 48
+    plain_limit: int = 96  # of a full form that stands in for a missing short one
+    full_limit: int = 192
+    epoch_soft: int = 8192
+    epoch_hard: int = 12_288
+    header_tokens: int = 96  # what the first pack of an epoch has before its items, and each later one
+    later_tokens: int = 12
+    item_tokens: int = 24

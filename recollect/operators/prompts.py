@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.policy import EpochPolicy, PackPolicy, ScorePolicy
+from ..functions.policy import EpochPolicy, PackPolicy, PromptPolicy, ScorePolicy
 
 
 def term_weights(doc_terms: DataFrame, docs: Column | int, policy: ScorePolicy = ScorePolicy()) -> DataFrame:
@@ -137,3 +140,108 @@ def epoch_budget(prompts: DataFrame, policy: EpochPolicy = EpochPolicy()) -> Dat
         return F.struct((s["spent"] + F.when(over, 0).otherwise(r["tokens"])).alias("spent"), F.concat(s["done"], F.array(row)).alias("done"))
 
     return lists.select("epoch", F.explode(F.aggregate("rows", start, step)["done"]).alias("k")).select("epoch", "k.*")
+
+
+def _form(r: dict, soft: bool, p: PromptPolicy) -> tuple[str, int] | None:
+    """The form in which a candidate may be shown, and its tokens: short, or a name that says more is to be read, or the full
+    text where that is short itself; a probable one only short."""
+    if r["compact_valid"] and r["compact_tokens"] <= p.compact_limit:
+        return "compact", r["compact_tokens"] + p.item_tokens
+    if r["band"] != "high":
+        return None
+    if r["tier"] != "normal" and r["identity_valid"] and r["identity_tokens"] <= p.identity_limit:
+        return "identity", r["identity_tokens"] + p.item_tokens
+    if not soft and r["standard_valid"] and r["standard_tokens"] <= p.plain_limit:
+        return "standard", r["standard_tokens"] + p.item_tokens
+    return None
+
+
+class _Epoch:
+    """What an epoch remembers from prompt to prompt: tokens spent and revisions shown, both bounded by its hard limit; and the
+    pack of the prompt at hand."""
+
+    def __init__(self, policy: PromptPolicy):
+        self.policy, self.spent, self.shown = policy, 0, set()
+        self.prompt, self.kept = None, []
+
+    def begin(self, prompt) -> None:
+        p = self.policy
+        self.prompt, self.kept, self.probable = prompt, [], 0
+        self.soft = self.spent >= p.epoch_soft
+        self.used = p.later_tokens if self.spent else p.header_tokens
+
+    def offer(self, r: dict) -> None:
+        """The next candidate in order: taken if it may be shown and fits, else passed over."""
+        p = self.policy
+        if (r["id"], r["revision"]) in self.shown or len(self.kept) >= (p.soft_items if self.soft else p.items):
+            return
+        if self.soft and not (r["score"] >= p.soft_score and r["anchored"] and (r["human"] or r["tier"] != "normal")):
+            return
+        if r["band"] == "probable" and self.probable >= p.probable_items:
+            return
+        form = _form(r, self.soft, p)
+        if form is None or self.used + form[1] > p.hard_limit or self.spent + self.used + form[1] > p.epoch_hard:
+            return
+        self.used += form[1]
+        self.probable += r["band"] == "probable"
+        self.kept.append([r, *form])
+
+    def end(self) -> list[tuple]:
+        """The pack: exact and direct ones in full where there is room, and what the epoch remembers of it."""
+        p = self.policy
+        for k, (r, _, tokens) in enumerate(self.kept):
+            full = r["standard_tokens"] + p.item_tokens
+            if not self.soft and r["band"] == "high" and r["standard_valid"] and r["standard_tokens"] <= p.full_limit and (r["exact"] or r["direct"]) and self.used + full - tokens <= (p.hard_limit if r["direct"] else p.target):
+                self.used += full - tokens
+                self.kept[k] = [r, "standard", full]
+        out = [(r["epoch"], r["prompt"], k, r["id"], kind, tokens, self.used, self.spent, self.soft) for k, (r, kind, tokens) in enumerate(self.kept)]
+        if self.kept:
+            self.spent += self.used
+            self.shown |= {(r["id"], r["revision"]) for r, _, _ in self.kept}
+        return out
+
+
+def epoch_packs(candidates: DataFrame, policy: PromptPolicy = PromptPolicy()) -> DataFrame:
+    """(epoch, prompt, position, id, kind, tokens, used, spent, restricted): what each prompt of an epoch is given, in turn.
+
+    candidates(epoch, prompt, id, revision, band, score, similarity, own, anchored, human, tier, direct, exact, compact_valid,
+    compact_tokens, identity_valid, identity_tokens, standard_valid, standard_tokens): prompts go by number, candidates by
+    band (high, then probable; weak ones are left out), score, similarity, own project first, id. Each is taken if its form fits
+    under the pack's and the epoch's hard limit, and the walk goes on past one that does not; what the epoch has shown in
+    the same revision is not shown again. Past the soft target only anchored candidates of soft_score with a human author
+    or a tier above normal are taken, two a prompt. Then exact and direct ones are shown in full, in order, while the target
+    (for direct ones the limit) holds. used is the pack's tokens, spent the epoch's before it. Null flags are false,
+    null counts 0; a prompt that is given nothing has no row.
+
+    A pack depends on those before it in its epoch, so a task reads an epoch in order; it keeps the tokens spent and what
+    was shown, which the hard limit bounds, and gathers no candidates."""
+    columns = ["epoch", "prompt", "id", "revision", "band", "score", "similarity", "own", "anchored", "human", "tier", "direct", "exact", "compact_valid", "compact_tokens", "identity_valid", "identity_tokens", "standard_valid", "standard_tokens"]
+    flags = [c for c in columns if c in ("own", "anchored", "human", "direct", "exact") or c.endswith("_valid")]
+    counts = [c for c in columns if c == "score" or c.endswith("_tokens")]
+    rows = candidates.where(F.col("band").isin("high", "probable")).select(*columns)
+    rows = rows.withColumns({"tier": F.coalesce("tier", F.lit("normal"))} | {c: F.coalesce(c, F.lit(False)) for c in flags} | {c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")) for c in counts})
+    order = ["epoch", "prompt", F.when(F.col("band") == "high", 0).otherwise(1), F.desc("score"), F.desc_nulls_last("similarity"), F.desc("own"), "id"]
+    ordered = rows.repartition("epoch").sortWithinPartitions(*order)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def frame(found: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(found, columns=["epoch", "prompt", "position", "id", "kind", "tokens", "used", "spent", "restricted"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, epoch = None, None
+        for batch in batches:
+            out: list[tuple] = []
+            for r in batch.to_dict("records"):
+                if epoch is None or (r["epoch"], r["prompt"]) != at:
+                    if epoch is not None:
+                        out += epoch.end()
+                    if epoch is None or r["epoch"] != at[0]:
+                        epoch = _Epoch(policy)
+                    at = r["epoch"], r["prompt"]
+                    epoch.begin(r["prompt"])
+                epoch.offer(r)
+            yield frame(out)
+        if epoch is not None:
+            yield frame(epoch.end())
+
+    return ordered.mapInPandas(run, f"epoch {kinds['epoch']}, prompt {kinds['prompt']}, position long, id {kinds['id']}, kind string, tokens long, used long, spent long, restricted boolean")

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.policy import ArchivePolicy, EpochPolicy, PackPolicy
+from ..functions.policy import ArchivePolicy, EpochPolicy, PackPolicy, PromptPolicy
 from ..functions.text import search_terms, token_estimate
 from ..operators import admission, prompts, retrieval
 from .registry import Tables, query
@@ -230,3 +230,25 @@ def due(t: Tables) -> DataFrame:
     health = t.events.where("event_type = 'view'").select(F.col("ts").alias("last_success_at"))
     now = F.lit(t.events.agg(F.max("ts")).head()[0])
     return admission.due_work(work, health, now).select("id", "why")
+
+
+@query("f7_epoch_packs")
+def epoch_packs(t: Tables) -> DataFrame:
+    """Benchmark items as the prompts of eight epochs against all documents, from the words they share and the vectors of the
+    same number to what each prompt is given; in an epoch every pack depends on those before it."""
+    memories = t.documents.select(F.col("doc_id").alias("id"), "text", "source", "n_chars")
+    vectors = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = vectors.join(t.benchmark.select(F.col("item_id").alias("id")), "id").select(F.col("id").alias("query_id"), "vector")
+    near = prompts.lift(retrieval.cosine(asked, vectors.join(memories.select("id"), "id")))
+    lexical = retrieval.bm25(_items(t), _memories(t)).where("rank <= 128").select("query_id", "id", F.col("rank").alias("lexical_rank"))
+    evidence = _evidence(t)
+    met = evidence.join(lexical, ["query_id", "id"], "left").where("lexical_rank IS NOT NULL OR matched >= 2")
+    exact, applicable = (f(F.col("matched"), F.col("coverage"), F.col("rare")) for f in (prompts.strong_exact, prompts.applies))
+    features = met.join(near, ["query_id", "id"], "left").withColumns({"exact": exact, "applicable": applicable, "direct": F.lit(False), "signal": F.lit(False), "leads": F.coalesce("leads", F.lit(False))})
+    scored = prompts.one_hop(prompts.scored(features), memories.where("id % 3 = 0").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))).where("band <> 'weak'")
+    size = lambda n: token_estimate(F.substring(F.coalesce("text", F.lit("")), 1, n))
+    tier = F.when(F.col("n_chars") % 5 == 0, "critical").when(F.col("n_chars") % 5 == 1, "strong").otherwise("normal")
+    forms = memories.select("id", tier.alias("tier"), (F.col("n_chars") % 3 == 0).alias("human"), (F.col("source") == "src0").alias("own"), (F.col("n_chars") % 4 > 0).alias("compact_valid"), size(260).alias("compact_tokens"), (F.col("n_chars") % 2 == 0).alias("identity_valid"), size(90).alias("identity_tokens"), F.lit(True).alias("standard_valid"), size(640).alias("standard_tokens"))
+    rows = scored.join(forms, "id").withColumns({"epoch": F.col("query_id") % 8, "prompt": F.col("query_id"), "revision": F.lit(1)})
+    return prompts.epoch_packs(rows, PromptPolicy(epoch_soft=1200, epoch_hard=2400))
+

@@ -79,3 +79,62 @@ def batches(events: DataFrame, most_events: int = 64, most_bytes: int = 1 << 20)
     # batches follow each other by their first events
     numbered = ranked(whole.select("session", "group", "head", "first", "lifecycle_only", F.when(F.col("least") == F.col("most"), F.col("least")).alias("one")), ["session"], ["first"], name="batches")
     return cut.join(numbered.select("session", "group", "head", F.col("place").alias("batch"), "lifecycle_only", "one"), ["session", "group", "head"]).select("event_id", "session", "batch", "ordinal", "lifecycle_only", F.col("one").alias("project"))
+
+
+# Outcomes that count as a failure, and the one that proves the whole path.
+FAILED, COMPLETED = ("deadline_exceeded", "failed", "unavailable", "busy"), "completed"
+
+
+def service_health(attempts: DataFrame, overflow: DataFrame, now: Column, window: str = "15 minutes", quiet: str = "10 minutes", successes: int = 5, least: int = 3, volume: int = 20, share: float = 0.02) -> DataFrame:
+    """(service, state, last_failure_at, recent_failures, successes_since, quiet_until): how each service of
+    attempts(service, request, at, outcome, late) stands at an instant.
+
+    Rows of one request are one attempt: at its last instant, failed if any of them failed or went on late, succeeded if any
+    completed. overflow(service, at, outcome, n) has failures that were only counted. healthy: never failed. recovered:
+    nothing failed for the quiet time, and so many succeeded since the last failure. degraded: `least` failures in the window,
+    or a share of at least `volume` attempts. Else recovering until the quiet time is over, then awaiting_verification.
+    Nothing later than now counts; null requests are one of their service."""
+    one = attempts.where(F.col("at") <= now).groupBy("service", "request").agg(
+        F.max("at").alias("at"), F.max((F.col("outcome").isin(*FAILED) | F.coalesce(F.col("late") > 0, F.lit(False))).cast("int")).alias("failed"), F.max((F.col("outcome") == COMPLETED).cast("int")).alias("done")
+    )
+    counted = overflow.where((F.col("at") <= now) & F.col("outcome").isin(*FAILED))
+    last = one.where("failed = 1").select("service", "at").unionByName(counted.select("service", "at")).groupBy("service").agg(F.max("at").alias("last_failure_at"))
+    since = now - F.expr(f"interval {window}")
+    rows = one.join(last, "service", "left")
+    per = rows.groupBy("service").agg(
+        F.count_if((F.col("at") >= since) & (F.col("failed") == 1)).alias("own"), F.count_if(F.col("at") >= since).alias("recent"),
+        F.count_if((F.col("failed") == 0) & (F.col("done") == 1) & (F.col("last_failure_at").isNull() | (F.col("at") > F.col("last_failure_at")))).alias("successes_since"),
+    )
+    more = counted.groupBy("service").agg(F.coalesce(F.sum(F.when(F.col("at") >= since, F.col("n"))), F.lit(0)).alias("more"))
+    every = per.join(more, "service", "full").join(last, "service", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    failures = (zero("own") + zero("more")).cast("long")
+    until = F.col("last_failure_at") + F.expr(f"interval {quiet}")
+    sustained = (failures >= least) | ((zero("recent") >= volume) & (failures >= share * zero("recent")))
+    state = (
+        F.when(F.col("last_failure_at").isNull(), "healthy")
+        .when((now >= until) & (zero("successes_since") >= successes), "recovered")
+        .when(sustained, "degraded")
+        .when(now < until, "recovering")
+        .otherwise("awaiting_verification")
+    )
+    return every.select("service", state.alias("state"), "last_failure_at", failures.alias("recent_failures"), zero("successes_since").alias("successes_since"), until.alias("quiet_until"))
+
+
+def rendered_chunks(turns: DataFrame, limit: int) -> DataFrame:
+    """(session, chunk, lines, text): the turns of each session of turns(session, at, role, text) as lines under the number of
+    their turn, in chunks of at most `limit` characters.
+
+    A user's row begins a turn. A line that would overfill its chunk begins the next; a longer one is cut to the limit. Null
+    texts are empty, a role other than user or assistant stands as it is; sessions are rendered along their order, and only
+    the lines of one chunk are put together."""
+    role = F.upper(F.coalesce("role", F.lit("unknown")))
+    rows = ranked(turns.select("session", "at", role.alias("role"), F.coalesce("text", F.lit("")).alias("text"), (F.col("role") == "user").cast("int").alias("opens")), ["session"], ["at", "role", "text"], ["opens"], "rendered")
+    number = F.col("before_opens") + F.coalesce("opens", F.lit(0))
+    head = F.concat(F.when(F.col("role") == "USER", "\n").otherwise(""), F.lit("### T"), F.lpad(number.cast("string"), 2, "0"), F.lit(" "), F.col("role"), F.lit("\n"))
+    label = F.when(number > 99, F.concat(F.when(F.col("role") == "USER", "\n").otherwise(""), F.lit("### T"), number.cast("string"), F.lit(" "), F.col("role"), F.lit("\n"))).otherwise(head)
+    lines = rows.select("session", F.col("place").alias("number"), F.concat(label, "text").alias("line")).withColumn("size", (F.length("line") + 1).cast("long"))
+    # a line has its label at least
+    cut = written(cut_runs(lines, ["session"], ["number"], "size", limit // len("### T00 X") + 2, limit + 1), "chunk-lines")
+    whole = cut.groupBy("session", "head").agg(F.count("*").alias("lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", F.substring("line", 1, limit).alias("line")))), lambda x: F.concat(x["line"], F.lit("\n"))), "").alias("text"))
+    return ranked(whole, ["session"], ["head"], name="chunks").select("session", F.col("place").alias("chunk"), "lines", "text")

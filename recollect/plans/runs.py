@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.policy import WorkingSetPolicy
-from ..operators import candidates, intake, lifecycle, purge, stages
+from ..operators import admission, candidates, intake, lifecycle, prompts, purge, stages
 from ..sources import snapshots
 from .registry import Tables, query
 
@@ -96,3 +96,75 @@ def rebalance(t: Tables) -> DataFrame:
     held, now = snapshots.pinned(spark, root), snapshots.token(spark, root)
     snapshots.replace_if_changed(excluded("2000-06-01"), root, now)
     return lifecycle.exclusion_changes(held, snapshots.pinned(spark, root))
+
+
+_ATTEMPTS = """SELECT user_id % 30 AS service, event_id // 2 AS request, ts AS "at", CASE event_type WHEN 'error' THEN CASE WHEN event_id % 4 = 0 THEN 'failed' ELSE 'empty' END WHEN 'view' THEN 'empty' WHEN 'signup' THEN 'cancelled' ELSE 'completed' END AS outcome,
+    CASE WHEN event_id % 37 = 0 THEN 5 END AS late FROM events WHERE user_id % 30 <> 4"""
+
+
+@query(
+    "j13_service_health",
+    f"""WITH a AS ({_ATTEMPTS}), v AS (SELECT user_id % 30 AS service, date_trunc('hour', ts) AS "at", 'busy' AS outcome, count(*) AS n FROM events WHERE value > 99 GROUP BY ALL),
+    o AS (SELECT service, request, max("at") AS "at", max((outcome IN ('deadline_exceeded', 'failed', 'unavailable', 'busy') OR coalesce(late > 0, false))::INT) AS failed, max((outcome = 'completed')::INT) AS done FROM a WHERE "at" <= TIMESTAMP '2024-01-20' GROUP BY ALL),
+    l AS (SELECT service, max("at") AS lf FROM (SELECT service, "at" FROM o WHERE failed = 1 UNION ALL SELECT service, "at" FROM v WHERE "at" <= TIMESTAMP '2024-01-20') GROUP BY service),
+    s AS (SELECT DISTINCT service FROM o UNION SELECT DISTINCT service FROM v WHERE "at" <= TIMESTAMP '2024-01-20'),
+    r AS (SELECT service, lf, (SELECT count(*) FROM o WHERE o.service = s.service AND failed = 1 AND "at" >= TIMESTAMP '2024-01-18') + (SELECT coalesce(sum(n), 0) FROM v WHERE v.service = s.service AND "at" >= TIMESTAMP '2024-01-18' AND "at" <= TIMESTAMP '2024-01-20') AS f,
+          (SELECT count(*) FROM o WHERE o.service = s.service AND "at" >= TIMESTAMP '2024-01-18') AS recent, (SELECT count(*) FROM o WHERE o.service = s.service AND failed = 0 AND done = 1 AND (lf IS NULL OR "at" > lf)) AS ok
+          FROM s LEFT JOIN l USING (service))
+    SELECT service, CASE WHEN lf IS NULL THEN 'healthy' WHEN TIMESTAMP '2024-01-20' >= lf + INTERVAL 12 HOUR AND ok >= 5 THEN 'recovered' WHEN f >= 6 OR (recent >= 20 AND f >= 0.15 * recent) THEN 'degraded' WHEN TIMESTAMP '2024-01-20' < lf + INTERVAL 12 HOUR THEN 'recovering' ELSE 'awaiting_verification' END AS state,
+           lf AS last_failure_at, f::BIGINT AS recent_failures, ok AS successes_since, lf + INTERVAL 12 HOUR AS quiet_until FROM r""",
+)
+def service_health(t: Tables) -> DataFrame:
+    """Days stand for minutes, as the events are so far apart."""
+    outcome = F.when(F.col("event_type") == "error", F.when(F.col("event_id") % 4 == 0, "failed").otherwise("empty")).when(F.col("event_type") == "view", "empty").when(F.col("event_type") == "signup", "cancelled").otherwise("completed")
+    attempts = t.events.where("user_id % 30 <> 4").select((F.col("user_id") % 30).alias("service"), F.floor(F.col("event_id") / 2).alias("request"), F.col("ts").alias("at"), outcome.alias("outcome"), F.when(F.col("event_id") % 37 == 0, 5).alias("late"))
+    counted = t.events.where("value > 99").groupBy((F.col("user_id") % 30).alias("service"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("at"), F.lit("busy").alias("outcome")).agg(F.count("*").alias("n"))
+    return intake.service_health(attempts, counted, F.lit("2024-01-20").cast("timestamp_ntz"), "2 days", "12 hours", least=6, share=0.15)
+
+
+@query(
+    "j7_rendered_chunks",
+    r"""WITH RECURSIVE t AS (SELECT conv_id AS session, upper(coalesce(role, 'unknown')) AS role, row_number() OVER w - 1 AS place, chr(10) || '' AS nl,
+        sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn, upper(coalesce(role, 'unknown')), coalesce(text, '') ROWS UNBOUNDED PRECEDING) AS number, coalesce(text, '') AS text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, upper(coalesce(role, 'unknown')), coalesce(text, ''))),
+    l AS (SELECT session, place, CASE WHEN role = 'USER' THEN chr(10) ELSE '' END || '### T' || CASE WHEN number < 10 THEN '0' ELSE '' END || coalesce(number, 0) || ' ' || role || chr(10) || text AS line FROM t),
+    g AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY session ORDER BY place ROWS UNBOUNDED PRECEDING) AS ends FROM l),
+    h(session, chunk, head, past, ends) AS (
+      SELECT DISTINCT session, -1::BIGINT, 0::BIGINT, 0::BIGINT, 0::HUGEINT FROM g
+      UNION ALL SELECT g.session, h.chunk + 1, h.past, max(g.place) + 1, max(g.ends) FROM h JOIN g USING (session) WHERE g.place >= h.past AND (g.place = h.past OR g.ends - h.ends <= 1501) GROUP BY g.session, h.chunk, h.past)
+    SELECT session, chunk, count(*) AS lines, string_agg(substr(line, 1, 1500) || chr(10), '' ORDER BY place) AS text FROM h JOIN g USING (session) WHERE g.place >= h.head AND g.place < h.past GROUP BY session, chunk""",
+)
+def rendered_chunks(t: Tables) -> DataFrame:
+    return intake.rendered_chunks(t.conversations.select(F.col("conv_id").alias("session"), F.col("turn").alias("at"), "role", "text"), 1500)
+
+
+@query("g22_unseen", "SELECT l_orderkey AS epoch, l_partkey AS id, l_linenumber AS revision, l_quantity AS score FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem g WHERE g.l_returnflag = 'R' AND g.l_orderkey = l.l_orderkey AND g.l_partkey = l.l_partkey AND g.l_linenumber = l.l_linenumber)")
+def unseen(t: Tables) -> DataFrame:
+    """What was returned counts as given."""
+    rows = t.lineitem.selectExpr("l_orderkey AS epoch", "l_partkey AS id", "l_linenumber AS revision", "l_quantity AS score", "l_returnflag AS flag")
+    return prompts.unseen(rows.drop("flag"), rows.where("flag = 'R'").select("epoch", "id", "revision").distinct())
+
+
+@query(
+    "b22_retired_only",
+    """SELECT page_id FROM pages, (SELECT ['/fr/', 'old/', '/de/8'] AS prefixes) WHERE list_bool_and(list_transform(['see ' || regexp_extract(url, '/[a-z]{2}/[0-9]*'), 'old/' || page_id], lambda e:
+        list_bool_or(list_transform(prefixes, lambda p: position(p IN e) = 1 OR (position(p IN e) > 1 AND substr(e, position(p IN e) - 1, 1) IN (' ', '/', ']'))))))""",
+)
+def retired_only(t: Tables) -> DataFrame:
+    """A page's evidence is its language's path and its number's."""
+    evidence = F.array(F.concat(F.lit("see "), F.regexp_extract("url", "/[a-z]{2}/[0-9]*", 0)), F.concat(F.lit("old/"), F.col("page_id").cast("string")))
+    return t.pages.where(admission.retired_only(evidence, F.array(*map(F.lit, ("/fr/", "old/", "/de/8"))))).select("page_id")
+
+
+_NOTES = "SELECT user_id AS session, user_id % 12 AS project, min(ts) + INTERVAL 12 DAY AS through_at FROM events WHERE user_id % 3 = 0 GROUP BY user_id"
+
+
+@query(
+    "j18_recent_work",
+    f"""WITH n AS ({_NOTES}), e AS (SELECT user_id AS session, user_id % 12 AS project, ts AS "at", CASE WHEN event_type = 'click' THEN 'prompt' ELSE 'other' END AS kind FROM events WHERE ts >= TIMESTAMP '2024-02-05' - INTERVAL 20 DAY),
+    s AS (SELECT session, project, max("at") AS last_at FROM e GROUP BY ALL HAVING count(*) FILTER (kind = 'prompt') > 0 AND max("at") <= TIMESTAMP '2024-02-05' - INTERVAL 30 MINUTE)
+    SELECT session, project, last_at FROM s LEFT JOIN n USING (session, project) WHERE (through_at IS NULL OR through_at < last_at) AND (SELECT count(*) FROM n m WHERE m.project = s.project AND m.through_at > s.last_at) < 2""",
+)
+def recent_work(t: Tables) -> DataFrame:
+    events = t.events.selectExpr("user_id AS session", "user_id % 12 AS project", "ts AS at", "CASE WHEN event_type = 'click' THEN 'prompt' ELSE 'other' END AS kind")
+    notes = t.events.where("user_id % 3 = 0").groupBy(F.col("user_id").alias("session"), (F.col("user_id") % 12).alias("project")).agg((F.min("ts") + F.expr("interval 12 days")).alias("through_at"))
+    return admission.recent_work(events, notes, F.lit("2024-02-05").cast("timestamp_ntz"), 30, 20, 2)

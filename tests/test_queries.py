@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from recollect.plans import candidates, files, graphs, lifecycle, packs, prompts, registry, relations, reports, retrieval, rules, runs, states  # noqa: F401
+from recollect.plans import candidates, capacity, files, graphs, lifecycle, packs, prompts, registry, relations, reports, retrieval, rules, runs, states  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

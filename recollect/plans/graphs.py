@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import graphs
+from ..operators import applying, graphs
 from .registry import Tables, query
 
 _NEXT = "CASE WHEN p_partkey % 1000 <> 999 AND p_partkey + 1 < (SELECT count(*) FROM part) THEN p_partkey + 1 END"
@@ -104,3 +104,40 @@ def restored(t: Tables) -> DataFrame:
     sessions = candidates.select("session").distinct()
     explicit = candidates.select("session", F.explode("evidence").alias("evidence")).where("evidence % 4 = 0")
     return graphs.restore_unrepresented(candidates, sessions.select("session", F.concat(F.lit("st"), F.col("session") % 90).alias("statement")), sessions.select("session", (F.col("session") % 150).alias("evidence")), explicit)
+
+
+_APPLIED = """n AS (SELECT *, l_orderkey // 10 AS batch, row_number() OVER (PARTITION BY l_orderkey // 10 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS ordinal FROM lineitem),
+    i AS (SELECT batch, ordinal, batch * 1000 + ordinal AS id, l_linenumber <> 6 AS inject, 'k' || l_partkey % 900 AS key, l_quantity < 45 AS fits, CASE WHEN l_suppkey % 5 = 0 THEN 'new' ELSE ['new', 'duplicate', 'refines', 'conflicts'][l_partkey % 4 + 1] END AS decision,
+          CASE WHEN l_suppkey % 5 > 0 AND l_suppkey % 3 = 0 THEN 'm' || l_suppkey END AS target_memory, CASE WHEN l_suppkey % 5 > 0 AND l_suppkey % 3 > 0 THEN batch * 1000 + l_suppkey % (ordinal + 1) END AS target_item,
+          l_suppkey % 21 = 0 AS human, l_suppkey % 5 > 0 AND l_partkey % 11 = 0 AS loaded, l_partkey % 8 < 5 AS merged FROM n),
+    k AS (SELECT 'k' || p_partkey AS key, 'm' || p_partkey AS known, p_size % 3 > 0 AS active FROM part WHERE p_partkey < 400),
+    o AS (SELECT i.*, known, coalesce(active, false) AS active, inject AND known IS NULL AS open, loaded AND decision <> 'new' AS is_loaded FROM i LEFT JOIN k USING (key)),
+    p AS (SELECT o.* EXCLUDE (target_item), t.id AS target_item FROM o LEFT JOIN o t ON t.id = o.target_item AND t.ordinal < o.ordinal AND t.open AND NOT t.is_loaded),
+    w AS (SELECT *, open AND NOT is_loaded AND (decision = 'new' OR (target_memory IS NULL AND target_item IS NULL) OR (decision = 'refines' AND NOT merged AND NOT human)) AS own FROM p),
+    r(id, shared) AS (SELECT id, CASE WHEN own THEN 'new:' || id ELSE target_memory END FROM w WHERE open AND NOT is_loaded AND (own OR target_memory IS NOT NULL)
+      UNION ALL SELECT w.id, r.shared FROM r JOIN w ON w.target_item = r.id WHERE w.open AND NOT w.is_loaded AND NOT w.own AND w.target_memory IS NULL),
+    s AS (SELECT w.*, shared, CASE WHEN NOT inject THEN CASE WHEN active THEN 'review_due' ELSE 'skipped' END WHEN known IS NOT NULL THEN CASE WHEN active THEN 'observed' ELSE 'skipped' END
+          WHEN is_loaded OR (NOT own AND human) THEN CASE WHEN decision = 'conflicts' THEN 'conflict_human' ELSE 'duplicate_human' END WHEN own THEN 'written' WHEN decision = 'duplicate' THEN 'observed' ELSE 'revised' END AS st,
+          CASE WHEN open THEN shared WHEN active OR inject THEN known END AS memory FROM w LEFT JOIN r USING (id)),
+    x AS (SELECT *, st = 'revised' AND (NOT fits OR row_number() OVER (PARTITION BY batch, memory, st = 'revised' AND fits ORDER BY ordinal) > 1) AS apart FROM s)"""
+
+
+@query(
+    "k24_apply_outcomes",
+    f"""WITH RECURSIVE {_APPLIED} SELECT id, CASE WHEN apart THEN 'written' ELSE st END AS state, CASE WHEN apart THEN 'new:' || id ELSE memory END AS memory,
+    CASE WHEN NOT inject THEN CASE WHEN active THEN 'verifier' ELSE 'no_dreaming_memory_to_review' END WHEN known IS NOT NULL THEN CASE WHEN active THEN 'same_statement' ELSE 'rolled_back_or_archived' END
+         WHEN apart AND NOT fits THEN 'too_long_merged' WHEN apart THEN 'revised_in_batch' WHEN st = 'written' AND decision = 'refines' AND NOT merged THEN 'no_merged_statement' ELSE decision END AS reason FROM x""",
+)
+def apply_outcomes(t: Tables) -> DataFrame:
+    """Line items by tens of orders are batches of statements; what the comparison said is read off their keys."""
+    batch = F.floor(F.col("l_orderkey") / 10).cast("long")
+    rows = graphs.ranked(t.lineitem.withColumn("batch", batch), ["batch"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).withColumn("ordinal", F.col("place") + 1)
+    rows = rows.withColumn("id", F.col("batch") * 1000 + F.col("ordinal"))
+    told, pick = F.col("l_suppkey") % 5 > 0, F.col("l_suppkey") % 3
+    items = rows.select("batch", "ordinal", "id", F.when(F.col("l_linenumber") != 6, "inject").otherwise("review").alias("tier"), F.concat(F.lit("k"), F.col("l_partkey") % 900).alias("key"), (F.col("l_quantity") < 45).alias("fits"))
+    known = t.part.where("p_partkey < 400").select(F.concat(F.lit("k"), "p_partkey").alias("key"), F.concat(F.lit("m"), "p_partkey").alias("memory"), (F.col("p_size") % 3 > 0).alias("active"))
+    decisions = rows.where(told).select(
+        "id", F.element_at(F.array(*map(F.lit, ("new", "duplicate", "refines", "conflicts"))), (F.col("l_partkey") % 4 + 1).cast("int")).alias("decision"), F.when(pick == 0, F.concat(F.lit("m"), "l_suppkey")).alias("target_memory"),
+        F.when(pick > 0, F.col("batch") * 1000 + F.col("l_suppkey") % (F.col("ordinal") + 1)).alias("target_item"), (F.col("l_suppkey") % 21 == 0).alias("human"), (F.col("l_partkey") % 11 == 0).alias("loaded"), F.when(F.col("l_partkey") % 8 < 5, "merged").alias("merged"),
+    )
+    return applying.apply_outcomes(items, known, decisions)

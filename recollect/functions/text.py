@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,3 +70,10 @@ def strip_tagged(text: Column, tag: str) -> Column:
     """Text without what stands between the tags, after an unclosed one, and stray closing ones."""
     paired = F.regexp_replace(text, f"(?is)<{tag}>.*?</{tag}>", "")
     return F.regexp_replace(F.regexp_replace(paired, f"(?is)<{tag}>.*$", ""), f"(?i)</{tag}>", "")
+
+
+def hmac_sha256(message: Column, key: bytes) -> Column:
+    """The keyed digest of a text or bytes, as lower-case hex; null stays null. Keys of more than 64 bytes are hashed first."""
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in key)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)

@@ -9,6 +9,8 @@ from .ordered import carried, cut_runs, ranked
 from .stages import written
 
 from ..functions.policy import BatchPolicy
+from ..functions.rules import sensitivity
+from ..functions.text import hmac_sha256
 from .relational import first_per
 
 
@@ -138,3 +140,18 @@ def rendered_chunks(turns: DataFrame, limit: int) -> DataFrame:
     cut = written(cut_runs(lines, ["session"], ["number"], "size", limit // len("### T00 X") + 2, limit + 1), "chunk-lines")
     whole = cut.groupBy("session", "head").agg(F.count("*").alias("lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", F.substring("line", 1, limit).alias("line")))), lambda x: F.concat(x["line"], F.lit("\n"))), "").alias("text"))
     return ranked(whole, ["session"], ["head"], name="chunks").select("session", F.col("place").alias("chunk"), "lines", "text")
+
+
+def credential_findings(events: DataFrame, key: bytes) -> tuple[DataFrame, DataFrame]:
+    """(the events that may be kept, (fingerprint, state, category, first_seen_at, last_seen_at, occurrences)) of
+    events(event_id, source, at, text): what holds a secret is blocked, what may hold one is set apart, and of either only a
+    keyed digest of category and match is kept, with no part of the text.
+
+    A source counts once for a finding, at its first sighting; last_seen_at is that of the newest source. Null texts are
+    kept; null sources are one. The verdict is made once a row, and findings are summed in the tasks before they move."""
+    judged = events.withColumn("s_", sensitivity(F.col("text")))
+    found = judged.where("s_.state <> 'normal'").select("source", "at", "s_.state", "s_.category", hmac_sha256(F.concat("s_.category", F.lit("\0"), "s_.matched"), key).alias("fingerprint"))
+    sources = found.groupBy("fingerprint", "category", "source").agg(F.min("at").alias("at"), F.max("state").alias("state"))
+    state = F.when(F.max("state") == "secret", "blocked_secret").otherwise("quarantined")
+    findings = sources.groupBy("fingerprint", "category").agg(state.alias("state"), F.min("at").alias("first_seen_at"), F.max("at").alias("last_seen_at"), F.count("*").alias("occurrences"))
+    return judged.where("s_.state = 'normal'").drop("s_"), findings.select("fingerprint", "state", "category", "first_seen_at", "last_seen_at", "occurrences")

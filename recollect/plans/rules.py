@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import categories, rules
+from ..operators import intake
 from .registry import Tables, query
 
 _RE2 = {k: v.replace("'", "''") for k, v in vars(rules).items() if isinstance(v, str) and k.isupper()}
@@ -306,3 +307,38 @@ _SPOKEN = ", ".join(f"CASE WHEN coalesce(regexp_matches(lower(trim(n)), '{words}
 def legacy_category(t: Tables) -> DataFrame:
     rows = t.part.selectExpr("p_partkey", f"{_NAMED} AS n", "CASE p_size % 4 WHEN 0 THEN array('negation', 'other') WHEN 1 THEN array('effective_repair') WHEN 2 THEN array('other') END AS tags")
     return rows.select("p_partkey", F.array_join(categories.categories(F.col("n"), F.col("tags")), ",").alias("categories"))
+
+
+_KEY = b"a key of the tests"
+
+
+def _hmac_sql(message: str) -> str:
+    inner, outer = ("".join(f"\\x{b ^ pad:02X}" for b in _KEY.ljust(64, b"\0")) for pad in (0x36, 0x5C))
+    return f"sha256('{outer}'::BLOB || unhex(sha256('{inner}'::BLOB || CAST({message} AS BLOB))))"
+
+
+_SCREENED = f"""x AS (SELECT doc_id, n_chars, coalesce(text, '') || CASE doc_id % 6 WHEN 1 THEN ' Authorization: Bearer abc' || doc_id % 40 WHEN 2 THEN ' auth token Zx9Zx9Zx9Zx9Zx9Zx9Zx9Zx' || doc_id % 9 WHEN 3 THEN ' credential test_0123456789012345678901' WHEN 4 THEN ' password = hunter2hunter2' ELSE '' END AS t FROM documents),
+    n AS (SELECT *, CASE WHEN regexp_matches(t, '{_RE2['CONTEXTUAL']}') THEN regexp_extract(t, '{_RE2['CONTEXTUAL']}', 1) END AS near FROM x),
+    v AS (SELECT doc_id, n_chars, CASE WHEN regexp_matches(t, '{_RE2['AUTHORIZATION']}') THEN 'authorization_header' WHEN regexp_matches(t, '{_RE2['PRIVATE_KEY']}') THEN 'private_key' WHEN regexp_matches(t, '{_RE2['CREDENTIAL_FIELD']}') THEN 'credential_field' WHEN near IS NOT NULL AND {_HARMLESS} THEN 'contextual_credential' END AS category,
+          CASE WHEN regexp_matches(t, '{_RE2['AUTHORIZATION']}') THEN regexp_extract(t, '{_RE2['AUTHORIZATION']}') WHEN regexp_matches(t, '{_RE2['PRIVATE_KEY']}') THEN regexp_extract(t, '{_RE2['PRIVATE_KEY']}') WHEN regexp_matches(t, '{_RE2['CREDENTIAL_FIELD']}') THEN regexp_extract(t, '{_RE2['CREDENTIAL_FIELD']}') ELSE near END AS matched FROM n)"""
+
+
+def _screened(t: Tables) -> tuple[DataFrame, DataFrame]:
+    kind, n = F.col("doc_id") % 6, lambda k: (F.col("doc_id") % k).cast("string")
+    planted = F.when(kind == 1, F.concat(F.lit(" Authorization: Bearer abc"), n(40))).when(kind == 2, F.concat(F.lit(" auth token Zx9Zx9Zx9Zx9Zx9Zx9Zx9Zx"), n(9))).when(kind == 3, " credential test_0123456789012345678901").when(kind == 4, " password = hunter2hunter2").otherwise("")
+    events = t.documents.select(F.col("doc_id").alias("event_id"), (F.col("doc_id") % 50).alias("source"), F.col("n_chars").alias("at"), F.concat(F.coalesce("text", F.lit("")), planted).alias("text"))
+    return intake.credential_findings(events, _KEY)
+
+
+@query(
+    "j2_credential_findings",
+    f"""WITH {_SCREENED}, f AS (SELECT {_hmac_sql("category || chr(0) || matched")} AS fingerprint, category, doc_id % 50 AS source, min(n_chars) AS at_ FROM v WHERE category IS NOT NULL GROUP BY ALL)
+    SELECT fingerprint, CASE WHEN category = 'contextual_credential' THEN 'quarantined' ELSE 'blocked_secret' END AS state, category, min(at_) AS first_seen_at, max(at_) AS last_seen_at, count(*) AS occurrences FROM f GROUP BY fingerprint, category""",
+)
+def credential_findings(t: Tables) -> DataFrame:
+    return _screened(t)[1]
+
+
+@query("j2_kept_events", f"WITH {_SCREENED} SELECT doc_id AS event_id, doc_id % 50 AS source, n_chars AS \"at\" FROM v WHERE category IS NULL")
+def kept_events(t: Tables) -> DataFrame:
+    return _screened(t)[0].select("event_id", "source", "at")

@@ -200,6 +200,25 @@ def anomalies(candidates: DataFrame, start: str, end: str, policy: AnomalyPolicy
     return bursts.unionByName(by_project).unionByName(dominant)
 
 
+def continued(previous: DataFrame, found: DataFrame, evaluation: str, start: str, end: str) -> DataFrame:
+    """(key, kind, state, evaluation, start, end, count) of all anomalies once the window [start, end) has been evaluated:
+    previous(the same) with found(key, kind), as anomalies gives them, merged into it.
+
+    What is found again in the window that follows the last one, of the same kind of evaluation, counts one more, and is
+    persistent from two on; the same window evaluated again changes no count; anything else begins at one, provisional.
+    What is not found is resolved and keeps its window and count. Keys are distinct on either side."""
+    old = previous.select("key", F.col("kind").alias("old_kind"), F.col("state").alias("was"), F.col("evaluation").alias("last"), F.col("start").alias("from"), F.col("end").alias("to"), F.col("count").alias("before"))
+    both = old.join(found.select("key", "kind"), "key", "full")
+    here = F.col("kind").isNotNull()
+    same = (F.col("last") == evaluation) & (F.col("from") == F.lit(start)) & (F.col("to") == F.lit(end))
+    follows = (F.col("was") != "resolved") & (F.col("last") == evaluation) & (F.col("to") == F.lit(start))
+    count = F.when(~here, F.col("before")).when(same, F.col("before")).when(follows, F.col("before") + 1).otherwise(1).cast("long")
+    now = lambda old_, new: F.when(here, F.lit(new)).otherwise(F.col(old_))
+    rows = both.select("key", F.coalesce("kind", "old_kind").alias("kind"), here.alias("here"), count.alias("count"), now("last", evaluation).alias("evaluation"), now("from", start).alias("start"), now("to", end).alias("end"))
+    state = F.when(~F.col("here"), "resolved").when(F.col("count") >= 2, "persistent").otherwise("provisional")
+    return rows.select("key", "kind", state.alias("state"), "evaluation", "start", "end", "count")
+
+
 def consolidation_ready(batches: DataFrame, cursors: DataFrame, running: DataFrame) -> DataFrame:
     """(session, through) of sessions to consolidate: up to the last unsplit batch that was selected or holds the
     session's end, if that lies beyond the cursor, every unsplit batch in between is completed and none is running.

@@ -225,3 +225,24 @@ def faults(t: Tables) -> DataFrame:
 def history(t: Tables) -> DataFrame:
     rows = t.conversations.where("role = 'user'").selectExpr("conv_id AS session", "turn AS ordinal", "text")
     return candidates.prompt_history(rows, budget=40).select(F.col("session").alias("conv_id"), F.col("ordinal").alias("turn"), F.col("back").cast("long").alias("back"), "text")
+
+
+_WINDOWS = ("2024-01-10", "2024-01-12", "2024-01-14", "2024-01-16")
+
+
+@query(
+    "k7_continued_anomalies",
+    f"""WITH d AS (SELECT user_id AS key, list_position({list(_WINDOWS[:3])}, w) AS k FROM (SELECT user_id, CASE WHEN ts < TIMESTAMP '{_WINDOWS[1]}' THEN '{_WINDOWS[0]}' WHEN ts < TIMESTAMP '{_WINDOWS[2]}' THEN '{_WINDOWS[1]}' ELSE '{_WINDOWS[2]}' END AS w
+        FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '{_WINDOWS[0]}' AND ts < TIMESTAMP '{_WINDOWS[3]}') GROUP BY ALL HAVING count(*) >= 2),
+    u AS (SELECT key, max(k) AS last, bool_or(k = 1) AS a, bool_or(k = 2) AS b, bool_or(k = 3) AS c FROM d GROUP BY key),
+    n AS (SELECT *, CASE WHEN c THEN 1 + CASE WHEN b THEN 1 + a::INT ELSE 0 END WHEN b THEN 1 + a::INT ELSE 1 END AS n FROM u)
+    SELECT 'burst:' || key AS key, 'burst' AS kind, CASE WHEN NOT c THEN 'resolved' WHEN n >= 2 THEN 'persistent' ELSE 'provisional' END AS state, 'rolling' AS evaluation, {list(_WINDOWS[:3])}[last] AS start, {list(_WINDOWS[1:])}[last] AS "end", n::BIGINT AS count FROM n""",
+)
+def continued_anomalies(t: Tables) -> DataFrame:
+    """Users with two errors or more in each of three windows that follow each other."""
+    state = t.events.sparkSession.createDataFrame([], "key string, kind string, state string, evaluation string, start string, end string, count long")
+    for start, end in zip(_WINDOWS, _WINDOWS[1:], strict=False):
+        seen = t.events.where((F.col("event_type") == "error") & (F.col("ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("ts") < F.lit(end).cast("timestamp_ntz"))).groupBy("user_id").count().where("count >= 2")
+        found = seen.select(F.concat(F.lit("burst:"), F.col("user_id").cast("string")).alias("key"), F.lit("burst").alias("kind"))
+        state = candidates.continued(state, found, "rolling", start, end)
+    return state

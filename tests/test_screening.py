@@ -23,3 +23,13 @@ def test_findings_count_sources_once(spark):
     got = {r["category"]: (r["state"], r["first_seen_at"], r["last_seen_at"], r["occurrences"]) for r in findings.collect()}
     assert got == {"credential_field": ("blocked_secret", 5, 7, 2), "contextual_credential": ("quarantined", 1, 1, 1)}
     assert not any("hunter2" in str(v) for r in findings.collect() for v in r)
+
+
+def test_anomalies_continue_pause_and_repeat(spark):
+    from recollect.operators import candidates
+
+    schema = "key string, kind string, state string, evaluation string, start string, end string, count long"
+    previous = [("a", "k", "provisional", "rolling", "1", "2", 1), ("b", "k", "persistent", "rolling", "0", "1", 4), ("c", "k", "resolved", "rolling", "1", "2", 3), ("d", "k", "persistent", "rolling", "2", "3", 2), ("e", "k", "provisional", "session", "1", "2", 1), ("f", "k", "persistent", "rolling", "1", "2", 5)]
+    found = spark.createDataFrame([(k, "k") for k in "abcdeg"], "key string, kind string")
+    got = {r["key"]: (r["state"], r["start"], r["count"]) for r in candidates.continued(spark.createDataFrame(previous, schema), found, "rolling", "2", "3").collect()}
+    assert got == {"a": ("persistent", "2", 2), "b": ("provisional", "2", 1), "c": ("provisional", "2", 1), "d": ("persistent", "2", 2), "e": ("provisional", "2", 1), "f": ("resolved", "1", 5), "g": ("provisional", "2", 1)}

@@ -19,8 +19,8 @@ from .workspace import new_path, small_batches
 
 #: A segment is closed once it holds so many ids, so it has at most these and one document's.
 SEGMENT_IDS = 1 << 18
-#: Entries of a worker's cache, and most characters of one.
-CACHE_ROWS, CACHED_CHARS = 500_000, 64
+#: Entries of a worker's cache, most characters of one, and words encoded at a time.
+CACHE_ROWS, CACHED_CHARS = 700_000, 64
 
 
 #: What the word-by-word way relies on: white space becomes one space and belongs to no piece.
@@ -47,13 +47,13 @@ class _Ids(dict):
 
     The tokenizer replaces white space and never joins over it, and its normal form composes nothing with a space or
     line break, so a text's ids are those of its words in turn. A tokenizer that does not say so of itself is given
-    whole texts. Entries live in two generations: what is used again while the younger fills up stays."""
+    whole texts."""
 
     def __init__(self, tokenizer):
         from tokenizers import pre_tokenizers
 
         super().__init__()
-        self.tokenizer, self.by_words, self.older = tokenizer, _by_words(tokenizer), {}
+        self.tokenizer, self.by_words = tokenizer, _by_words(tokenizer)
         if not self.by_words:
             return
         self.normal, self.model = tokenizer.normalizer.normalize_str, tokenizer.model.tokenize
@@ -71,15 +71,10 @@ class _Ids(dict):
         return _bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            ids = self._ids(word)
+        if len(self) >= CACHE_ROWS:
+            self.clear()
+        ids = self._ids(word)
         if len(word) <= CACHED_CHARS:
-            if len(self) >= CACHE_ROWS // 2:
-                # moved entry by entry, so that both are never held twice
-                self.older.clear()
-                while self:
-                    self.older.__setitem__(*self.popitem())
             self[word] = ids
         return ids
 

@@ -37,7 +37,7 @@ def session_batches(t: Tables) -> DataFrame:
     kind = F.when((F.col("event_type") == "signup") & (F.col("event_id") % 41 == 0), "SessionEnd").when(F.col("event_type") == "view", "SessionStart").otherwise("UserPromptSubmit")
     events = t.events.select(
         "event_id", F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("user_id")).alias("session"), F.when(F.col("event_id") % 11 != 0, F.floor(F.col("event_id") / 70)).alias("turn"),
-        kind.alias("kind"), F.col("ts").alias("at"), F.round(F.col("value") * 40).cast("long").alias("bytes"), F.when(F.col("event_id") % 5 != 0, F.col("user_id") % 2).alias("project"),
+        kind.alias("kind"), F.col("ts").alias("at"), F.rint(F.col("value") * 40).cast("long").alias("bytes"), F.when(F.col("event_id") % 5 != 0, F.col("user_id") % 2).alias("project"),
     )
     return intake.batches(events, most_bytes=100_000)
 
@@ -62,7 +62,7 @@ def purge_run(t: Tables) -> DataFrame:
     reviews = t.lineitem.where("l_quantity = 50").selectExpr("l_orderkey AS id")
     archived = t.orders.selectExpr("o_orderkey AS id", "false AS retain_forever", "cast(null AS timestamp) AS purge_after", "o_custkey % 6 = 0 AS pinned", "cast(o_orderdate AS timestamp) AS archived_at")
     eligible = candidates.purge_eligibility(archived, reviews, reviews.limit(0), nobody).where("reason IS NULL AND purge_at <= timestamp'2000-01-01'")
-    due = eligible.join(t.orders.selectExpr("o_orderkey AS id", "cast(o_totalprice AS decimal(20,0)) AS bytes"), "id").select("id", "purge_at", F.col("bytes").cast("long").alias("bytes"))
+    due = eligible.join(t.orders.selectExpr("o_orderkey AS id", "cast(rint(o_totalprice) AS long) AS bytes"), "id").select("id", "purge_at", "bytes")
     now = t.orders.selectExpr("o_orderkey AS id", "CASE WHEN o_orderstatus = 'P' THEN 'changed' ELSE 'purged' END AS outcome")
     root = stages.new_folder(due.sparkSession, "purge")
     return purge.run(lambda: purge.capped_walk(due, ["purge_at", "id"], "bytes", 48, 6_000_000), root, due.sparkSession, lambda rows: rows.join(now, "id").select("id", "ordinal", "bytes", "outcome"))

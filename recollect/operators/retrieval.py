@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.policy import SearchPolicy
+from ..functions.policy import ScorePolicy, SearchPolicy
 from ..functions.text import pairs_of, search_terms, statement_key
 from .stages import written
 
@@ -49,19 +52,197 @@ def bm25(queries: DataFrame, docs: DataFrame, policy: SearchPolicy = SearchPolic
     return scored.withColumn("rank", F.row_number().over(order))
 
 
-def cosine(queries: DataFrame, docs: DataFrame, blocks: int = 4, slices: int = 16) -> DataFrame:
-    """(query_id, id, similarity) of every query(query_id, vector) with every doc(id, vector): the dot product with the
-    normalised query, summed in double precision. Null, zero and non-finite queries find nothing.
+#: Pairs whose products a task holds at a time.
+CELLS = 1 << 17
+_FAR = 1e18  # stands for what is not finite among millionths
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    """x as whole numbers, halves away from zero."""
+    whole = np.trunc(x)
+    return whole + np.where(np.abs(x - whole) >= 0.5, np.sign(x), 0)
+
+
+def _vectors(table: pa.Table, name: str) -> tuple[np.ndarray, pa.Array]:
+    """The lengths of a table's vectors, -1 for null ones and those with null components, and the vectors."""
+    lists = table[name].combine_chunks()
+    width = lists.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten()
+    if flat.null_count:
+        owner = np.repeat(np.arange(len(width)), np.maximum(width, 0))
+        width[owner[flat.is_null().to_numpy(zero_copy_only=False)]] = -1
+    return width, lists
+
+
+def _products(asked: pa.Table, held: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places of queries, places of docs, millionths of their cosine) in parts of some CELLS pairs; what is not a number is
+    2 * _FAR, so that it is the largest, and no pair has vectors of two lengths. Docs keep the order of held.
+
+    The sums go from the first component to the last, in double precision."""
+    (qw, ql), (dw, dl) = _vectors(asked, "q"), _vectors(held, "v")
+    norm = asked["norm"].to_numpy()
+    for w in np.unique(qw[qw > 0]):
+        rows, cols = np.flatnonzero(qw == w), np.flatnonzero(dw == w)
+        if not len(cols):
+            continue
+        take = lambda lists, at: lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), w)
+        q, d = take(ql, rows), np.ascontiguousarray(take(dl, cols).T)
+        step = max(1, CELLS // len(cols))
+        for low in range(0, len(rows), step):
+            part = q[low : low + step]
+            like, one = np.zeros((len(part), len(cols))), np.empty((len(part), len(cols)))
+            with np.errstate(invalid="ignore", over="ignore"):
+                for k in range(w):
+                    np.multiply(part[:, k : k + 1], d[k], out=one)
+                    like += one
+                like /= norm[rows[low : low + step], None]
+                like = np.clip(_whole(like * 1e6), -_FAR, _FAR)
+            like[np.isnan(like)] = 2 * _FAR
+            yield rows[low : low + step], cols, like
 
-    The stated queries meet all rows in blocks: a query stands in one block and a row in one slice, both by hash, and
-    every block meets every slice once, so that neither side is broadcast and no task holds all of either."""
+
+def _similarity(millionths: np.ndarray) -> np.ndarray:
+    out = millionths / 1e6
+    out[millionths >= _FAR], out[millionths <= -_FAR], out[millionths > _FAR] = np.inf, -np.inf, np.nan
+    return out
+
+
+def _blocks(queries: DataFrame, docs: DataFrame, block: int, slice_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The stated queries and all docs, to meet by (block, slice): a query stands in one block of about `block` and a doc in
+    one slice of about slice_rows, both by hash, and every block meets every slice once, so that neither side is
+    broadcast and no task holds all of either. Null, zero and non-finite queries are left out."""
     product = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = F.sqrt(product("vector", "vector"))
-    asked = queries.select("query_id", F.col("vector").alias("q"), norm.alias("norm")).where((F.col("norm") > 0) & (F.col("norm") < float("inf")))
-    span = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("slice", span(slices))
-    right = docs.select("id", F.col("vector").alias("v"), F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice")).withColumn("block", span(blocks))
-    return right.join(left, ["block", "slice"]).select("query_id", "id", F.round(product("q", "v") / F.col("norm"), 6).alias("similarity"))
+    asked = queries.select("query_id", F.col("vector").alias("q"), F.sqrt(product("vector", "vector")).alias("norm"), *[c for c in queries.columns if c not in ("query_id", "vector")])
+    asked = asked.where((F.col("norm") > 0) & (F.col("norm") < float("inf")))
+    blocks, slices = (max(1, -(-rows.count() // size)) for rows, size in ((queries, block), (docs, slice_rows)))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("block", part("query_id", blocks)).withColumn("slice", every(slices))
+    right = docs.select("id", F.col("vector").alias("v"), part("id", slices).alias("slice")).withColumn("block", every(blocks))
+    return left, right
+
+
+def _met(left: DataFrame, right: DataFrame, match: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    return left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInArrow(match, schema)
+
+
+def _kinds(queries: DataFrame, docs: DataFrame) -> tuple[str, str]:
+    return queries.schema["query_id"].dataType.simpleString(), docs.schema["id"].dataType.simpleString()
+
+
+def cosine_top(queries: DataFrame, docs: DataFrame, k: int, apart: bool = False, block: int = 4096, slice_rows: int = 8192) -> DataFrame:
+    """(query_id, id, similarity, rank): of every query(query_id, vector) the k nearest docs(id, vector) by the dot product
+    with the normalised query, summed in double precision, to six digits; ties to the smaller id. With apart a doc of the
+    query's own id is left out. Null, zero and non-finite queries find nothing; a doc whose vector is null, has a null
+    component or another length than the query's comes last, with a null similarity.
+
+    Every pair is computed, in blocks (`_blocks`); of a block and a slice only each query's k best, with what ties with the
+    last of them up to k, leave the task."""
+    left, right = _blocks(queries, docs, block, slice_rows)
+    query_kind, kind = _kinds(queries, docs)
+
+    def match(asked: pa.Table, held: pa.Table) -> pa.Table:
+        held = held.sort_by("id")
+        parts: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        own, ids = (t[c].to_numpy() for t, c in ((asked, "query_id"), (held, "id")))
+        (qw, _), (dw, _) = _vectors(asked, "q"), _vectors(held, "v")
+
+        def best(rows: np.ndarray, cols: np.ndarray, like: np.ndarray) -> None:
+            if apart:
+                like[own[rows][:, None] == ids[cols]] = -np.inf
+            bar = np.partition(like, like.shape[1] - k, axis=1)[:, [like.shape[1] - k]] if like.shape[1] > k else np.full((len(rows), 1), -np.inf)
+            level = like == bar
+            i, j = np.nonzero(((like > bar) | (level & (np.cumsum(level, axis=1) <= k))) & (like > -np.inf))
+            parts.append((rows[i], cols[j], like[i, j]))
+
+        for rows, cols, like in _products(asked, held):
+            best(rows, cols, like)
+        i, j, like = (np.concatenate(c) for c in zip(*parts, strict=True))
+        similarity, unmet = pa.array(_similarity(like)), []
+        for w in np.unique(qw):
+            bad = np.flatnonzero(dw != w)
+            step = max(1, CELLS // max(1, len(bad)))
+            some = np.flatnonzero(qw == w) if len(bad) else np.zeros(0, np.int64)
+            for rows in (some[low : low + step] for low in range(0, len(some), step)):
+                free = own[rows][:, None] != ids[bad] if apart else np.ones((len(rows), len(bad)), bool)
+                a, b = np.nonzero(free & (np.cumsum(free, axis=1) <= k))
+                unmet.append((rows[a], bad[b]))
+        if unmet:
+            a, b = (np.concatenate(c) for c in zip(*unmet, strict=True))
+            i, j, similarity = np.concatenate([i, a]), np.concatenate([j, b]), pa.concat_arrays([similarity, pa.nulls(len(a), pa.float64())])
+        return pa.table({"query_id": asked["query_id"].take(pa.array(i)), "id": held["id"].take(pa.array(j)), "similarity": similarity})
+
+    return top_per_query(_met(left, right, match, f"query_id {query_kind}, id {kind}, similarity double"), "similarity", k)
+
+
+def cosine_lift(queries: DataFrame, docs: DataFrame, policy: ScorePolicy = ScorePolicy(), block: int = 1024, slice_rows: int = 16384, bins: int = 256) -> DataFrame:
+    """(query_id, id, similarity, lift, leads) of every query(query_id, vector) with every doc(id, vector): the similarity of
+    `cosine_top`, its distance from the query's upper median (in a scope of few docs from the typical one) and whether the doc
+    is the query's nearest, ties to the smaller id. Query ids are distinct.
+
+    The median is exact: tasks count each query's similarities by ranges of millionths, and the range that holds the middle
+    is cut again until it is one value, so that only counts cross an exchange. Pairs are computed anew each time and are
+    never written."""
+    query_kind, kind = _kinds(queries, docs)
+    total = docs.count()
+    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    longest = docs.select(F.sqrt(square).alias("n")).where("n < double('infinity')").agg(F.max("n")).first()[0] or 0.0
+    low, wide = -int(longest * 1e6) - 2, 2 * int(longest * 1e6) + 5
+    state, best = queries.select("query_id", "vector", F.lit(low).cast("long").alias("low"), F.lit(None).cast("long").alias("rank")), None
+
+    def counted(width: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+        def match(asked: pa.Table, held: pa.Table) -> pa.Table:
+            held = held.sort_by("id")
+            n, start = asked.num_rows, asked["low"].to_numpy().astype(np.float64)
+            hits, known, top, first = np.zeros((n, bins + 1), np.int64), np.zeros(n, np.int64), np.full(n, -np.inf), np.zeros(n, np.int64)
+            for rows, cols, like in _products(asked, held):
+                at = np.minimum(np.floor((like - start[rows, None]) / width), bins)  # what lies above all ranges counts too
+                row, col = np.nonzero(at >= 0)
+                hits[rows] += np.bincount(row * (bins + 1) + at[row, col].astype(np.int64), minlength=len(rows) * (bins + 1)).reshape(len(rows), bins + 1)
+                known[rows] += like.shape[1]
+                one = like.argmax(axis=1)
+                top[rows], first[rows] = like[np.arange(len(rows)), one], cols[one]
+            row, bin_ = np.nonzero(hits)
+            met = np.flatnonzero(known)
+            where = pa.array(np.concatenate([row, met]))
+            return pa.table({
+                "query_id": asked["query_id"].take(where), "bin": np.concatenate([bin_, np.full(len(met), -1)]), "n": np.concatenate([hits[row, bin_], known[met]]),
+                "top": pa.concat_arrays([pa.nulls(len(row), pa.float64()), pa.array(top[met])]), "first": pa.concat_arrays([pa.nulls(len(row), held["id"].type), held["id"].take(pa.array(first[met])).combine_chunks()]),
+            })
+
+        return match
+
+    while True:
+        width = max(1, -(-wide // bins))
+        left, right = _blocks(state, docs, block, slice_rows)
+        found = written(_met(left, right, counted(width), f"query_id {query_kind}, bin long, n long, top double, first {kind}"), "lift-counts")
+        if best is None:
+            best = written(found.where("bin = -1").groupBy("query_id").agg(F.sum("n").alias("known"), F.max(F.struct("top", -F.col("first")))["col2"].alias("less")).select("query_id", "known", (-F.col("less")).cast(kind).alias("best")), "lift-best")
+            state = state.drop("rank").join(best.select("query_id", F.ceil(F.col("known") / 2).alias("rank")), "query_id")
+        down = Window.partitionBy("query_id").orderBy(F.desc("bin"))
+        sums = found.where("bin >= 0").groupBy("query_id", "bin").agg(F.sum("n").alias("n")).withColumn("until", F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, 0)))
+        here = state.join(sums, "query_id").where((F.col("until") >= F.col("rank")) & (F.col("until") - F.col("n") < F.col("rank")))
+        state = written(here.select("query_id", "vector", (F.col("low") + F.col("bin") * width).alias("low"), "rank"), "lift-ranges")
+        if width == 1:
+            break
+        wide = width
+    middle = F.col("low").cast("double") if total >= policy.median_scope else F.lit(policy.typical_median * 1e6)
+    asked = queries.select("query_id", "vector").join(best, "query_id", "left").join(state.select("query_id", "low"), "query_id", "left").select("query_id", "vector", "best", middle.alias("middle"))
+
+    def lifted(asked: pa.Table, held: pa.Table) -> pa.Table:
+        shape = asked.num_rows, held.num_rows
+        like, there = np.zeros(shape), np.zeros(shape, bool)
+        for rows, cols, part in _products(asked, held):
+            like[np.ix_(rows, cols)], there[np.ix_(rows, cols)] = part, True
+        similarity = _similarity(like)
+        middle = asked["middle"].to_numpy() / 1e6
+        lift = _whole((similarity - middle[:, None]) * 1e7) / 1e7
+        masked = lambda x, mask: pa.array(x.ravel(), mask=mask.ravel())
+        i, j = (pa.array(np.repeat(np.arange(shape[0]), shape[1])), pa.array(np.tile(np.arange(shape[1]), shape[0])))
+        leads = pc.fill_null(pc.equal(held["id"].take(j), asked["best"].take(i)), False)
+        return pa.table({"query_id": asked["query_id"].take(i), "id": held["id"].take(j), "similarity": masked(similarity, ~there), "lift": masked(lift, ~there | np.isnan(middle)[:, None]), "leads": leads})
+
+    return _met(*_blocks(asked, docs, block // 4, slice_rows // 4), lifted, f"query_id {query_kind}, id {kind}, similarity double, lift double, leads boolean")
 
 
 def top_per_query(scored: DataFrame, score: str, k: int) -> DataFrame:

@@ -73,13 +73,14 @@ def lexical_admission(t: Tables) -> DataFrame:
 def bands(t: Tables) -> DataFrame:
     """Every twentieth vector as a prompt against all rows, with one hop; the band is of the score before the hop."""
     rows = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    near = prompts.lift(retrieval.cosine(rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"), rows))
+    near = retrieval.cosine_lift(rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"), rows)
     mod = lambda n: F.col("id") % n == F.col("query_id")
     features = near.withColumns(
         {"direct": mod(97), "exact": mod(31), "applicable": F.col("id") % 5 == 0, "signal": mod(41), "matched": F.col("id") % 4, "coverage": F.col("id") % 10 / 10, "lexical_rank": F.col("id") % 20 + 1}
     )
+    # what is weak (a score below 2) gains nothing by the hop
     edges = t.embeddings.where("vec_id % 3 = 0").select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"))
-    return prompts.one_hop(prompts.scored(features), edges).where("band <> 'weak'").select("query_id", "id", "lift", "score", "band", "anchored")
+    return prompts.one_hop(prompts.scored(features).where("score >= 2"), edges).select("query_id", "id", "lift", "score", "band", "anchored")
 
 
 @query(
@@ -239,13 +240,14 @@ def epoch_packs(t: Tables) -> DataFrame:
     memories = t.documents.select(F.col("doc_id").alias("id"), "text", "source", "n_chars")
     vectors = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     asked = vectors.join(t.benchmark.select(F.col("item_id").alias("id")), "id").select(F.col("id").alias("query_id"), "vector")
-    near = prompts.lift(retrieval.cosine(asked, vectors.join(memories.select("id"), "id")))
+    near = retrieval.cosine_lift(asked, vectors.join(memories.select("id"), "id"))
     lexical = retrieval.bm25(_items(t), _memories(t)).where("rank <= 128").select("query_id", "id", F.col("rank").alias("lexical_rank"))
     evidence = _evidence(t)
     met = evidence.join(lexical, ["query_id", "id"], "left").where("lexical_rank IS NOT NULL OR matched >= 2")
     exact, applicable = (f(F.col("matched"), F.col("coverage"), F.col("rare")) for f in (prompts.strong_exact, prompts.applies))
     features = met.join(near, ["query_id", "id"], "left").withColumns({"exact": exact, "applicable": applicable, "direct": F.lit(False), "signal": F.lit(False), "leads": F.coalesce("leads", F.lit(False))})
-    scored = prompts.one_hop(prompts.scored(features), memories.where("id % 3 = 0").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))).where("band <> 'weak'")
+    # what is weak (a score below 2) gains nothing by the hop
+    scored = prompts.one_hop(prompts.scored(features).where("score >= 2"), memories.where("id % 3 = 0").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
     size = lambda n: token_estimate(F.substring(F.coalesce("text", F.lit("")), 1, n))
     tier = F.when(F.col("n_chars") % 5 == 0, "critical").when(F.col("n_chars") % 5 == 1, "strong").otherwise("normal")
     forms = memories.select("id", tier.alias("tier"), (F.col("n_chars") % 3 == 0).alias("human"), (F.col("source") == "src0").alias("own"), (F.col("n_chars") % 4 > 0).alias("compact_valid"), size(260).alias("compact_tokens"), (F.col("n_chars") % 2 == 0).alias("identity_valid"), size(90).alias("identity_tokens"), F.lit(True).alias("standard_valid"), size(640).alias("standard_tokens"))

@@ -56,7 +56,7 @@ def cosine_top(t: Tables) -> DataFrame:
     """Every twentieth vector is a query."""
     rows = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     asked = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
-    return retrieval.top_per_query(retrieval.cosine(asked, rows), "similarity", 10)
+    return retrieval.cosine_top(asked, rows, 10)
 
 
 @query(
@@ -74,7 +74,7 @@ def hybrid(t: Tables) -> DataFrame:
     lexical = retrieval.bm25(_items(t), _memories(t)).where("rank <= 128")
     rows = t.embeddings.join(t.documents, F.col("vec_id") == F.col("doc_id"), "left_semi").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     asked = t.benchmark.join(t.embeddings, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vector"))
-    semantic = retrieval.top_per_query(retrieval.cosine(asked, rows).where("similarity > 0"), "similarity", 64)
+    semantic = retrieval.cosine_top(asked, rows, 64).where("similarity > 0")
     return retrieval.top_per_query(retrieval.fuse(lexical, semantic), "rrf", 16)
 
 
@@ -87,7 +87,7 @@ def hybrid(t: Tables) -> DataFrame:
 def top_and_margin(t: Tables) -> DataFrame:
     rows = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     asked = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
-    best = retrieval.top_per_query(retrieval.cosine(asked, rows).where("id != query_id"), "similarity", 2)
+    best = retrieval.cosine_top(asked, rows, 2, apart=True)
     at = lambda n: F.max(F.when(F.col("rank") == n, F.col("similarity")))
     return best.groupBy("query_id").agg(at(1).alias("top"), F.round(at(1) - at(2), 6).alias("margin"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.policy import EpochPolicy, PackPolicy, PromptPolicy, ScorePolicy
+from .stages import written
 
 
 def term_weights(doc_terms: DataFrame, docs: Column | int, policy: ScorePolicy = ScorePolicy()) -> DataFrame:
@@ -80,9 +81,12 @@ def scored(features: DataFrame, policy: ScorePolicy = ScorePolicy()) -> DataFram
 
 
 def one_hop(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """rows(query_id, id, score, ...) in which neighbours of ids that score 4 or more gain a point if they have 2."""
+    """rows(query_id, id, score, ...) in which neighbours of ids that score 4 or more gain a point if they have 2.
+
+    Those neighbours are written first: where they are few, they are sent to the rows and not the rows to them."""
     both = edges.select(F.col("a").alias("id"), F.col("b").alias("near")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("near")))
     lifted = rows.where("score >= 4").select("query_id", "id").join(both, "id").select("query_id", F.col("near").alias("id")).distinct().withColumn("lifted", F.lit(True))
+    lifted = written(lifted, "one-hop")
     gain = (F.coalesce("lifted", F.lit(False)) & (F.col("score") >= 2)).cast("int")
     return rows.join(lifted, ["query_id", "id"], "left").withColumn("score", F.col("score") + gain).drop("lifted")
 

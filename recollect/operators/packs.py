@@ -76,10 +76,11 @@ def pack_sessions(requests: DataFrame, docs: DataFrame, policy: SessionPolicy =
 
 # Words that say nothing of a prompt's subject, and what marks plans, constraints and names.
 GENERIC = ("一下", "这个", "那个", "当前", "现在", "之前", "目前", "帮我", "可以", "是否", "什么", "为什么", "怎么", "你的", "我的", "好的", "the", "this", "that", "please")
-PLAN = r"(?i)建议|方案|改为|recommend|propos|plan"
-ASKS_PLAN = r"(?i)推荐|建议|方案|按照|照做|recommend|propos|plan"
-CONSTRAINT = r"(?i)不得|不能|不要|禁止|不应|除非|仅|不适用|尚未|没有|不代表|未获|尚不能|must not|do not|only|unless"
-ENTITY = r"`[^`\n]+`|\b[A-Z][A-Za-z0-9]*[A-Z][A-Za-z0-9]*\b"
+PLAN = r"(?iu)建议|方案|改为|recommend|propos|plan"
+ASKS_PLAN = r"(?iu)推荐|建议|方案|按照|照做|recommend|propos|plan"
+CONSTRAINT = r"(?iu)不得|不能|不要|禁止|不应|除非|仅|不适用|尚未|没有|不代表|未获|尚不能|must not|do not|only|unless"
+ENTITY = r"`[^`\n]+`|(?<![A-Za-z0-9_])[A-Z][A-Za-z0-9]*[A-Z][A-Za-z0-9]*(?![A-Za-z0-9_])"
+SPACE = r"\t\n\f\r "  # white space without the vertical tab and without line ends beyond ASCII
 
 
 def prompt_terms(prompt: Column) -> Column:
@@ -96,9 +97,9 @@ def conversation_paragraphs(asked: DataFrame, messages: DataFrame, policy: Excer
     last = messages.where(F.col("back") <= policy.messages).select("prompt_id", "back", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     newest = last.groupBy("prompt_id").agg(*[F.min(F.when(F.col("role") == r, F.col("back"))).alias(r) for r in ("assistant", "user")])
     rows = last.join(newest, "prompt_id").join(asked.select("prompt_id", prompt_terms(F.col("prompt")).alias("terms"), F.coalesce(F.col("prompt"), F.lit("")).rlike(ASKS_PLAN).alias("asks_plan")), "prompt_id")
-    parts = F.filter(F.transform(F.split("text", r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+    parts = F.filter(F.transform(F.split("text", rf"\n[{SPACE}]*\n"), lambda p: F.regexp_replace(p, rf"^[{SPACE}]+|[{SPACE}]+\z", "")), lambda p: p != "")
     rows = rows.withColumn("parts", parts)
-    solid = F.transform("parts", lambda p: F.length(F.regexp_replace(p, r"[*\s]", "")) > 8)
+    solid = F.transform("parts", lambda p: F.length(F.regexp_replace(p, rf"[*{SPACE}]", "")) > 8)
     first = F.greatest(F.lit(0), F.array_position(solid, F.lit(True)) - 1)
     rows = rows.select("prompt_id", "back", "role", "assistant", "user", "terms", "asks_plan", first.alias("first"), F.posexplode("parts").alias("ordinal", "text"))
     lower, plan = F.lower("text"), F.col("text").rlike(PLAN)

@@ -23,8 +23,10 @@ def term_weights(doc_terms: DataFrame, docs: Column | int, policy: ScorePolicy =
 def term_evidence(query_terms: DataFrame, doc_terms: DataFrame, weights: DataFrame, absent_weight: float) -> DataFrame:
     """(query_id, id, matched, matched_weight, total_weight, coverage, rare) of every pair that shares a term.
 
-    A term that no document has weighs absent_weight and counts in the total only."""
+    A term that no document has weighs absent_weight and counts in the total only. The queries' terms are written first: where they
+    are few, they are sent to the documents' and no task gathers a frequent term's documents."""
     asked = query_terms.join(weights, "term", "left").select("query_id", "term", F.coalesce("weight", F.lit(absent_weight)).alias("weight"), F.coalesce("rare", F.lit(False)).alias("rare"))
+    asked = written(asked, "asked-terms")
     total = asked.groupBy("query_id").agg(F.sum("weight").alias("total_weight"))
     met = asked.join(doc_terms, "term").groupBy("query_id", "id").agg(F.count("*").alias("matched"), F.sum("weight").alias("matched_weight"), F.bool_or("rare").alias("rare"))
     return met.join(total, "query_id").withColumn("coverage", F.round(F.col("matched_weight") / F.col("total_weight"), 6))

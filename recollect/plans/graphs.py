@@ -96,7 +96,8 @@ _LEFT_OUT = """SELECT l_orderkey // 10 AS session, row_number() OVER (PARTITION
 def restored(t: Tables) -> DataFrame:
     """Orders by tens are sessions; a line item's parts and suppliers are its evidence."""
     session = F.floor(F.col("l_orderkey") / 10).cast("long")
-    rows = graphs.ranked(t.lineitem.withColumn("session", session), ["session"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = graphs.ranked(t.lineitem.select(session.alias("session"), *order), ["session"], order)
     candidates = rows.select(
         "session", (F.col("place") + 1).alias("ordinal"), F.col("l_partkey").alias("id"), F.concat(F.lit(" st"), F.col("l_partkey") % 90).alias("statement"),
         F.array(F.col("l_suppkey") % 150, F.col("l_partkey") % 150).alias("evidence"), (F.col("l_linenumber") % 3).alias("signals"),
@@ -131,7 +132,8 @@ _APPLIED = """n AS (SELECT *, l_orderkey // 10 AS batch, row_number() OVER (PART
 def apply_outcomes(t: Tables) -> DataFrame:
     """Line items by tens of orders are batches of statements; what the comparison said is read off their keys."""
     batch = F.floor(F.col("l_orderkey") / 10).cast("long")
-    rows = graphs.ranked(t.lineitem.withColumn("batch", batch), ["batch"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).withColumn("ordinal", F.col("place") + 1)
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = graphs.ranked(t.lineitem.select(batch.alias("batch"), *order, "l_quantity"), ["batch"], order).withColumn("ordinal", F.col("place") + 1)
     rows = rows.withColumn("id", F.col("batch") * 1000 + F.col("ordinal"))
     told, pick = F.col("l_suppkey") % 5 > 0, F.col("l_suppkey") % 3
     items = rows.select("batch", "ordinal", "id", F.when(F.col("l_linenumber") != 6, "inject").otherwise("review").alias("tier"), F.concat(F.lit("k"), F.col("l_partkey") % 900).alias("key"), (F.col("l_quantity") < 45).alias("fits"))

@@ -10,6 +10,10 @@ from recollect.llm.queries import WORD_BPE, table, tokenizer_path
 from recollect.llm.workspace import materialize, scratch
 
 
+#: Words whose ids a worker of the last stage remembers. The executors hold what the stages before left, and there is time.
+TOKEN_CACHE_ROWS = 50_000
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on those of docs that have labels, gives 0.5 or more.
 
@@ -64,7 +68,7 @@ def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts are the end id alone, null ids come first, repeated rows stand each for themselves; an empty
     table gives no rows.
     """
-    return tokenfile.token_file(docs, tokenizer_path(WORD_BPE))
+    return tokenfile.token_file(docs, tokenizer_path(WORD_BPE), cache_rows=TOKEN_CACHE_ROWS)
 
 
 STAGES = [

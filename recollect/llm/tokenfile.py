@@ -19,7 +19,7 @@ from .workspace import new_path, small_batches
 
 #: A segment is closed once it holds so many ids, so it has at most these and one document's.
 SEGMENT_IDS = 1 << 18
-#: Entries of a worker's cache, most characters of one, and words encoded at a time.
+#: Entries of a worker's cache unless told otherwise, and most characters of one.
 CACHE_ROWS, CACHED_CHARS = 700_000, 64
 
 
@@ -49,11 +49,11 @@ class _Ids(dict):
     line break, so a text's ids are those of its words in turn. A tokenizer that does not say so of itself is given
     whole texts."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, by_words: bool, most: int):
         from tokenizers import pre_tokenizers
 
         super().__init__()
-        self.tokenizer, self.by_words = tokenizer, _by_words(tokenizer)
+        self.tokenizer, self.by_words, self.most = tokenizer, by_words, most
         if not self.by_words:
             return
         self.normal, self.model = tokenizer.normalizer.normalize_str, tokenizer.model.tokenize
@@ -71,7 +71,7 @@ class _Ids(dict):
         return _bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_ROWS:
+        if len(self) >= self.most:
             self.clear()
         ids = self._ids(word)
         if len(word) <= CACHED_CHARS:
@@ -84,20 +84,23 @@ class _Ids(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-def _load(path: str) -> _Ids:
+def _load(path: str, most: int, by_words: bool | None = None) -> _Ids:
+    """by_words is read off the description unless it is given: parsing that again in every worker is memory for nothing."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return _Ids(tokenizer)
+    return _Ids(tokenizer, _by_words(tokenizer) if by_words is None else by_words, most)
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, ids): ids as an encoded array of their own, so that the exchange moves about two bytes an id."""
+def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str, cache_rows: int = CACHE_ROWS) -> DataFrame:
+    """(doc_id, n, ids): ids as an encoded array of their own, so that the exchange moves about two bytes an id. A worker
+    remembers the ids of cache_rows words at most: fewer take less memory and more time, and give the same ids."""
+    by_words = _load(tokenizer_path, cache_rows).by_words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = held(f"ids {tokenizer_path}", lambda: _load(tokenizer_path)), np.array([end_id], "<u4").tobytes()
+        words, end = held(f"ids {cache_rows} {tokenizer_path}", lambda: _load(tokenizer_path, cache_rows, by_words)), np.array([end_id], "<u4").tobytes()
         for batch in (part for whole in batches for part in pieces(whole)):
             made = [np.frombuffer((words.encode(t.as_py()) if t.is_valid else b"") + end, "<u4") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in made], pa.int64()), pa.array([_pack(x) for x in made], pa.binary())], ["doc_id", "n", "ids"])
@@ -115,7 +118,7 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u2" if data[0] == 2 else "<u4", -1, 1).astype(np.uint32)
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, out: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, out: str, id_col: str = "doc_id", text_col: str = "text", cache_rows: int = CACHE_ROWS) -> None:
     """Write `out`: segments(task, segment, first, doc_ids, lengths, code) and tasks(task, offset).
 
     Ids run in ascending doc_id order, null ids first, rows with one doc_id in an order fixed by their ids. Each
@@ -127,7 +130,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, out: str, id
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     edges = docs.select(F.percentile_approx(F.col(id_col).cast("long"), [i / tasks for i in range(1, tasks)] or [0.5], 10_000)).first()[0] or []
     edges = sorted(set(edges))
-    coded = encode_documents(docs, tokenizer_path, end_id, id_col, text_col)
+    coded = encode_documents(docs, tokenizer_path, end_id, id_col, text_col, cache_rows)
     place = F.coalesce(F.size(F.filter(F.array(*map(F.lit, edges)).cast("array<long>"), lambda e: e < F.col("doc_id"))), F.lit(0))
     dealt = coded.withColumn("task", F.when(F.col("doc_id").isNull(), 0).otherwise(place)).repartitionById(len(edges) + 1, F.col("task"))
     ordered = dealt.sortWithinPartitions("task", F.col("doc_id").asc_nulls_first(), "n", "ids")
@@ -154,7 +157,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, out: str, id
             yield close()
 
     schema = "task int, segment int, first long, doc_ids array<long>, lengths array<long>, code binary"
-    with small_batches(spark):
+    with small_batches(spark, maxBytesPerBatch="1048576"):
         ordered.mapInArrow(segments, schema).write.parquet(f"{out}/segments")
     sums = spark.read.schema(schema).parquet(f"{out}/segments").select("task", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("task").agg(F.sum("n").alias("n"))
     ahead = Window.partitionBy(F.lit(0)).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
@@ -194,8 +197,8 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_file(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_file(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", cache_rows: int = CACHE_ROWS) -> DataFrame:
     """Write the ids of docs into a new place of the shared folder and read them back, a row per document."""
     out = new_path(docs.sparkSession, "tokens")
-    write_tokens(docs, tokenizer_path, end_id, out, id_col, text_col)
+    write_tokens(docs, tokenizer_path, end_id, out, id_col, text_col, cache_rows)
     return read_tokens(docs.sparkSession, out)

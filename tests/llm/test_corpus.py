@@ -379,3 +379,9 @@ def test_neighbours_of_repeated_rows(spark):
         assert len(found) == len({v for v, _ in found}) == 10
         assert [v for v, _ in found][:3] == sorted(best, key=best.get)[:3]
         assert all(abs(s - best[v]) < 1e-9 for v, s in found)
+
+
+def test_token_cache_size_changes_no_ids(spark):
+    docs = spark.createDataFrame([(i, f"Words {i % 7}, of a small cache: w{i}a w{i}b, words.") for i in range(60)] + [(90, None), (91, "")], "doc_id long, text string")
+    rows = lambda **more: sorted(map(tuple, tokenfile.token_file(docs, tokenizer_path(WORD_BPE), **more).collect()))
+    assert rows(cache_rows=3) == rows()

@@ -175,3 +175,15 @@ def test_a_claim_that_was_given_up_is_passed_over(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(snapshots, "LEASE", -1.0)
     snapshots.publish(spark.range(2), root, "r2", 0)
     assert snapshots.token(spark, root) == 2 and snapshots.pinned(spark, root).count() == 2
+
+
+def test_cuts_of_a_long_key_write_few_rows(spark, monkeypatch):
+    rng, tables = random.Random(8), []
+    sizes = {"long": [rng.choice([0, 1, 5, 30, 200]) for _ in range(20_000)], "block": [1] * 4096, "one more": [60] * 4097}
+    rows = [(k, i, s) for k, v in sizes.items() for i, s in enumerate(v)]
+    plain = ordered.written
+    monkeypatch.setattr(ordered, "written", lambda found, name: tables.append(plain(found, name)) or tables[-1])
+    got = ordered.cut_runs(spark.createDataFrame(rows, "k string, o int, s int").repartition(3), ["k"], ["o"], "s", 16, 100).collect()
+    assert sorted((r["k"], r["place"], r["head"]) for r in got) == sorted((k, p, h) for k in sizes for p, h in plain_cut(sizes[k], 16, 100))
+    # the rows and their order; pointers are for entries of blocks only
+    assert sum(t.count() for t in tables) < 2.2 * len(rows)

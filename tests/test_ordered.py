@@ -187,3 +187,14 @@ def test_cuts_of_a_long_key_write_few_rows(spark, monkeypatch):
     assert sorted((r["k"], r["place"], r["head"]) for r in got) == sorted((k, p, h) for k in sizes for p, h in plain_cut(sizes[k], 16, 100))
     # the rows and their order; pointers are for entries of blocks only
     assert sum(t.count() for t in tables) < 2.2 * len(rows)
+
+
+def test_what_tasks_hand_on_is_a_row_each_whatever_the_keys(spark, monkeypatch):
+    tables, plain = {}, ordered.written
+    monkeypatch.setattr(ordered, "written", lambda found, name: tables.setdefault(name, plain(found, name)))
+    rows = spark.range(2000).selectExpr("if(id < 900, 0, id div 2) AS k", "id AS o", "if(id % 50 = 0, id, null) AS v")
+    got = ordered.ranked(rows, ["k"], ["o"], ["v"], "many").collect()
+    assert all(r["place"] == (r["o"] if r["k"] == 0 else r["o"] % 2) for r in got) and len(got) == 2000
+    got = ordered.carried(rows, ["k"], ["o"], "v", "last", "back").collect()
+    assert all(r["last"] == (r["o"] // 50 * 50 if r["k"] == 0 else r["o"] - r["o"] % 2 if r["o"] % 50 < 2 else None) for r in got)
+    assert tables["many-runs"].count() <= 4 and tables["back-runs"].count() <= 4

@@ -27,33 +27,9 @@ def explicit_term_counts(rows: DataFrame, id_col: str, text_col: str) -> DataFra
     return term_counts(rows, id_col, text_col).unionByName(plain).groupBy("id", "term").agg(F.max("tf").alias("tf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, policy: SearchPolicy = SearchPolicy(), longer_first: bool = False) -> DataFrame:
-    """(query_id, id, score, rank) for queries(query_id, text) and docs(id, text): each query's rarest present terms,
-    Okapi weights, ranks by score to six digits and then id. With longer_first terms of equal frequency go by length
-    before they go by themselves.
-
-    Documents are cut into terms once and written. Terms are narrowed to those any query holds before they are counted, so
-    the exchange carries postings of query terms only."""
-    cut = written(docs.select("id", search_terms(F.col("text")).alias("terms")), "search-terms")
-    sightings = cut.select("id", F.explode("terms").alias("term"))
-    lengths = cut.select("id", F.size("terms").cast("long").alias("length"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(search_terms(F.col("text")))).alias("term"))
-    postings = sightings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "id").agg(F.count("*").alias("tf"))
-    found = postings.groupBy("term").agg(F.count("*").alias("df"))
-    ties = [F.desc(F.length("term")), "term"] if longer_first else ["term"]
-    rarest = Window.partitionBy("query_id").orderBy("df", *ties)
-    terms = asked.join(found, "term").withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= policy.term_limit)
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = policy.k1 * (1 - policy.b + policy.b * F.col("length") / F.greatest(F.lit(1.0), F.col("mean")))
-    weight = idf * F.col("tf") * (policy.k1 + 1) / (F.col("tf") + norm)
-    scored = terms.join(postings, "term").join(lengths, "id").join(F.broadcast(corpus)).groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order))
-
-
 #: Pairs whose products a task holds at a time.
 CELLS = 1 << 17
+_TERM_CELLS = 1 << 22  # of documents by terms, that are held as a matrix at a time
 _FAR = 1e18  # stands for what is not finite among millionths
 
 
@@ -63,6 +39,76 @@ def _whole(x: np.ndarray) -> np.ndarray:
     return whole + np.where(np.abs(x - whole) >= 0.5, np.sign(x), 0)
 
 
+def _best(like: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of each row's k largest, with what ties with the last of them up to k in the order of columns; -inf is
+    none."""
+    bar = np.partition(like, like.shape[1] - k, axis=1)[:, [like.shape[1] - k]] if like.shape[1] > k else np.full((len(like), 1), -np.inf)
+    level = like == bar
+    return np.nonzero(((like > bar) | (level & (np.cumsum(level, axis=1) <= k))) & (like > -np.inf))
+
+
+def bm25(queries: DataFrame, docs: DataFrame, policy: SearchPolicy = SearchPolicy(), longer_first: bool = False, most: int | None = None, block: int = 256, slice_rows: int = 4096) -> DataFrame:
+    """(query_id, id, score, rank) for queries(query_id, text) and docs(id, text): each query's rarest present terms,
+    Okapi weights, ranks by score to six digits and then id; with most only ranks up to it. With longer_first terms of
+    equal frequency go by length before they go by themselves. Ids of docs tell them apart.
+
+    Documents are cut into terms once; what no query holds becomes one count a document as it is cut, so that the exchange
+    carries postings of query terms only. Postings and terms then meet by blocks of queries and slices of docs, where all
+    scores are one product of matrices; with most only what may be among a query's best leaves a task."""
+    asked = written(queries.select("query_id", F.explode(F.array_distinct(search_terms(F.col("text")))).alias("term")), "search-asked")
+    words = written(asked.select("term").distinct().withColumn("code", F.monotonically_increasing_id()), "search-words")
+    sightings = docs.select("id", F.explode_outer(search_terms(F.col("text"))).alias("term")).join(words, "term", "left")
+    postings = written(sightings.groupBy("id", "code").agg(F.count("term").alias("tf")), "search-postings")
+    found = postings.where("code IS NOT NULL").groupBy("code").agg(F.count("*").alias("df"))
+    ties = [F.desc(F.length("term")), "term"] if longer_first else ["term"]
+    rarest = Window.partitionBy("query_id").orderBy("df", *ties)
+    n = docs.count()
+    corpus = postings.agg((F.sum("tf") / n).alias("mean"))
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    terms = asked.join(words, "term").join(found, "code").withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= policy.term_limit)
+    terms = terms.join(F.broadcast(corpus)).select("query_id", "code", idf.alias("idf"), "mean")
+    query_kind, kind = _kinds(queries, docs)
+
+    def match(asked: pa.Table, held: pa.Table) -> pa.Table:
+        if not asked.num_rows or not held.num_rows:
+            return pa.table({"query_id": asked["query_id"].slice(0, 0), "id": held["id"].slice(0, 0), "score": pa.array([], pa.float64())})
+        held = held.sort_by("id")
+        query, doc = (t[c].combine_chunks().dictionary_encode() for t, c in ((asked, "query_id"), (held, "id")))
+        row, column = (x.indices.to_numpy() for x in (doc, query))
+        tf = held["tf"].to_numpy().astype(np.float64)
+        norm = policy.k1 * (1 - policy.b + policy.b * np.bincount(row, tf) / max(1.0, asked["mean"][0].as_py()))
+        codes, term = np.unique(asked["code"].to_numpy(), return_inverse=True)
+        idf, holds = np.zeros(len(codes)), np.zeros((len(codes), len(query.dictionary)))
+        idf[term], holds[term, column] = asked["idf"].to_numpy(), 1
+        code = pc.fill_null(held["code"], -1).to_numpy()
+        at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+        known = np.flatnonzero(codes[at] == code)
+        row, at, tf = row[known], at[known], tf[known]
+        weight = idf[at] * tf * (policy.k1 + 1) / (tf + norm[row])
+        like, step = np.empty((len(query.dictionary), len(doc.dictionary))), max(1, _TERM_CELLS // len(codes))
+        for low in range(0, like.shape[1], step):
+            some = slice(*np.searchsorted(row, (low, low + step)))
+            part = np.zeros((min(step, like.shape[1] - low), len(codes)))
+            part[row[some] - low, at[some]] = weight[some]
+            like[:, low : low + step] = (part @ holds).T
+        score = np.where(like > 0, _whole(like * 1e6), -np.inf)
+        i, j = _best(score, like.shape[1] if most is None else most)
+        return pa.table({"query_id": query.dictionary.take(pa.array(i)), "id": doc.dictionary.take(pa.array(j)), "score": score[i, j] / 1e6})
+
+    blocks, slices = max(1, -(-queries.count() // block)), max(1, -(-n // slice_rows))
+    part = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    # a small exchange means much work here, so that its parts are not put together
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = lambda rows: rows.repartition(tasks, "block", "slice")
+    left = dealt(terms.withColumn("block", part("query_id", blocks)).withColumn("slice", every(slices)))
+    right = dealt(postings.where("id IS NOT NULL").withColumn("slice", part("id", slices)).withColumn("block", every(blocks)))
+    scored = _met(left, right, match, f"query_id {query_kind}, id {kind}, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    ranks = scored.withColumn("rank", F.row_number().over(order))
+    return ranks if most is None else ranks.where(F.col("rank") <= most)
+
+
 def _vectors(table: pa.Table, name: str) -> tuple[np.ndarray, pa.Array]:
     """The lengths of a table's vectors, -1 for null ones and those with null components, and the vectors."""
     lists = table[name].combine_chunks()
@@ -150,9 +196,7 @@ def cosine_top(queries: DataFrame, docs: DataFrame, k: int, apart: bool = False,
         def best(rows: np.ndarray, cols: np.ndarray, like: np.ndarray) -> None:
             if apart:
                 like[own[rows][:, None] == ids[cols]] = -np.inf
-            bar = np.partition(like, like.shape[1] - k, axis=1)[:, [like.shape[1] - k]] if like.shape[1] > k else np.full((len(rows), 1), -np.inf)
-            level = like == bar
-            i, j = np.nonzero(((like > bar) | (level & (np.cumsum(level, axis=1) <= k))) & (like > -np.inf))
+            i, j = _best(like, k)
             parts.append((rows[i], cols[j], like[i, j]))
 
         for rows, cols, like in _products(asked, held):

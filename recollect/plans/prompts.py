@@ -100,7 +100,7 @@ o AS (SELECT query_id, used, unnest(kept) AS id, unnest(kinds) AS kind FROM h)
 SELECT o.query_id, rank AS position, o.id, kind, CASE WHEN kind = 'standard' THEN full_tokens ELSE tokens END AS tokens, used FROM o JOIN r USING (query_id, id)""",
 )
 def packs(t: Tables) -> DataFrame:
-    found = retrieval.bm25(_items(t), _memories(t)).where("rank <= 16")
+    found = retrieval.bm25(_items(t), _memories(t), most=16)
     size = t.documents.select(F.col("doc_id").alias("id"), (F.floor(token_estimate(F.col("text")) / 4) + 1).cast("long").alias("tokens"))
     band = F.when(F.col("rank") % 3 == 0, "probable").otherwise("high")
     ranked = found.join(size, "id").select("query_id", F.col("rank").alias("position"), "id", band.alias("band"), "tokens", (F.col("tokens") * 2).alias("full_tokens"), (F.col("rank") % 2 == 1).alias("exact"))
@@ -241,7 +241,7 @@ def epoch_packs(t: Tables) -> DataFrame:
     vectors = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     asked = vectors.join(t.benchmark.select(F.col("item_id").alias("id")), "id").select(F.col("id").alias("query_id"), "vector")
     near = retrieval.cosine_lift(asked, vectors.join(memories.select("id"), "id"))
-    lexical = retrieval.bm25(_items(t), _memories(t)).where("rank <= 128").select("query_id", "id", F.col("rank").alias("lexical_rank"))
+    lexical = retrieval.bm25(_items(t), _memories(t), most=128).select("query_id", "id", F.col("rank").alias("lexical_rank"))
     evidence = _evidence(t)
     met = evidence.join(lexical, ["query_id", "id"], "left").where("lexical_rank IS NOT NULL OR matched >= 2")
     exact, applicable = (f(F.col("matched"), F.col("coverage"), F.col("rare")) for f in (prompts.strong_exact, prompts.applies))

@@ -243,7 +243,7 @@ def explicit_terms(t: Tables) -> DataFrame:
     texts._BM25.replace("ORDER BY df, term) AS r", "ORDER BY df, length(term) DESC, term) AS r").replace("r <= 64", "r <= 256") + " SELECT * FROM lex WHERE rank <= 3",
 )
 def automatic_bm25(t: Tables) -> DataFrame:
-    return retrieval.bm25(texts._items(t), texts._memories(t), retrieval.SearchPolicy(term_limit=256), longer_first=True).where("rank <= 3")
+    return retrieval.bm25(texts._items(t), texts._memories(t), retrieval.SearchPolicy(term_limit=256), longer_first=True, most=3)
 
 
 @query("g17_candidates", "SELECT user_id AS query_id, event_id % 500 AS id, array_to_string(list_sort(list(DISTINCT event_type)), '+') AS sources FROM events GROUP BY ALL")

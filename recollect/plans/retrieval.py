@@ -43,7 +43,7 @@ def term_counts(t: Tables) -> DataFrame:
 
 @query("retrieval_search", f"{_BM25} SELECT * FROM lex WHERE rank <= 10")
 def search(t: Tables) -> DataFrame:
-    return retrieval.bm25(_items(t), _memories(t)).where("rank <= 10")
+    return retrieval.bm25(_items(t), _memories(t), most=10)
 
 
 @query(
@@ -71,7 +71,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf D
 )
 def hybrid(t: Tables) -> DataFrame:
     """An item's vector is the one with its number; semantic ranks count positive similarity only."""
-    lexical = retrieval.bm25(_items(t), _memories(t)).where("rank <= 128")
+    lexical = retrieval.bm25(_items(t), _memories(t), most=128)
     rows = t.embeddings.join(t.documents, F.col("vec_id") == F.col("doc_id"), "left_semi").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     asked = t.benchmark.join(t.embeddings, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vector"))
     semantic = retrieval.cosine_top(asked, rows, 64).where("similarity > 0")
@@ -127,7 +127,7 @@ def term_weights(t: Tables) -> DataFrame:
         SELECT query_id, id, rank, tokens, total FROM p WHERE total <= 4096 OR rank = 1""",
 )
 def token_page(t: Tables) -> DataFrame:
-    found = retrieval.bm25(_items(t), _memories(t)).where("rank <= 16").join(t.documents.select(F.col("doc_id").alias("id"), token_estimate(F.col("text")).alias("tokens")), "id")
+    found = retrieval.bm25(_items(t), _memories(t), most=16).join(t.documents.select(F.col("doc_id").alias("id"), token_estimate(F.col("text")).alias("tokens")), "id")
     return relational.prefix_within(found, ["query_id"], ["rank"], "tokens", 4096).select("query_id", "id", "rank", "tokens", "total")
 
 

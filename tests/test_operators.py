@@ -1,10 +1,12 @@
 """Operators on rows small enough to read."""
 
 import datetime as dt
+import math
+import random
 
 from pyspark.sql import functions as F
 
-from recollect.functions.policy import WorkingSetPolicy
+from recollect.functions.policy import SearchPolicy, WorkingSetPolicy
 from recollect.functions.text import excerpt, headings, search_terms, statement_key, strip_tagged
 from recollect.operators import intake, lifecycle, relational, retrieval
 from recollect.sources import snapshots
@@ -129,3 +131,26 @@ def test_rules_take_nulls(spark):
 
     row = spark.createDataFrame([(None,)], "x string").select(rules.sensitivity(F.col("x")).alias("s"), rules.skip_reason(F.col("x")).alias("r"), rules.context_dependent(F.col("x")).alias("c"), rules.public_text(F.col("x")).alias("p"), rules.origin_key(F.col("x")).alias("o")).first()
     assert (row["s"]["state"], row["r"], row["c"], row["p"]["whole"], row["o"]) == ("normal", "empty_prompt", False, False, None)
+
+
+def test_bm25_in_blocks_and_slices_against_a_plain_walk(spark, monkeypatch):
+    rng, tables, plain = random.Random(4), [], retrieval.written
+    words = [f"w{k}" for k in range(30)]
+    texts = {k: None if k % 17 == 0 else " ".join(rng.choice(words) for _ in range(rng.randrange(12))) for k in range(60)}
+    texts |= {k: texts[k % 5] for k in range(60, 80)}
+    asked = {k: " ".join(rng.sample([*words, "unheard"], 6)) for k in range(7)}
+    cut = {k: (t or "").split() for k, t in texts.items()}
+    df, mean = {w: sum(w in c for c in cut.values()) for w in words}, sum(map(len, cut.values())) / len(cut)
+    want = []
+    for q, text in asked.items():
+        terms = sorted({w for w in text.split() if df.get(w)}, key=lambda w: (df[w], w))[:4]
+        weigh = lambda w, c: math.log(1 + (len(cut) - df[w] + 0.5) / (df[w] + 0.5)) * c.count(w) * 2.2 / (c.count(w) + 1.2 * (0.25 + 0.75 * len(c) / mean))
+        scores = [(-round(sum(weigh(w, c) for w in terms), 6), k) for k, c in cut.items() if set(terms) & set(c)]
+        want += [(q, k, -s, n + 1) for n, (s, k) in enumerate(sorted(scores))]
+    monkeypatch.setattr(retrieval, "written", lambda rows, name: tables.append(plain(rows, name)) or tables[-1])
+    queries, docs = spark.createDataFrame(list(asked.items()), "query_id long, text string"), spark.createDataFrame(list(texts.items()), "id long, text string")
+    for most in (None, 5):
+        got = retrieval.bm25(queries, docs, SearchPolicy(term_limit=4), most=most, block=3, slice_rows=16).select("query_id", "id", "score", "rank").collect()
+        assert sorted(map(tuple, got)) == sorted(w for w in want if most is None or w[3] <= most)
+    # no table holds the documents' terms, only counts of those that are asked for
+    assert not any("terms" in t.columns for t in tables)

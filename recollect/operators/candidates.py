@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stages import tasks_for
+
 # Shapes of hashes, kinds of retention from lax to strict, what is not kept.
 HASH, REVISION = r"^[0-9a-f]{64}$", r"^[0-9a-f]{40}([0-9a-f]{24})?$"
 STRICTNESS = ("long_term", "project_phase", "uncertain", "session_only", "no_memory")
@@ -120,18 +122,26 @@ def intake(new: DataFrame, evidence: DataFrame, existing: DataFrame, tombstones:
     tombstones(fingerprint, source). merged: the fingerprint is there already, or a smaller new candidate has it.
     suppressed: it has a tombstone and its evidence brings no source, other than an echo, that the tombstone had not.
     created otherwise. The strictest durability of all that share a fingerprint holds, without those suppressed.
+
+    Rows are dealt to as many tasks as they need, so that what a task sorts does not grow with the tables.
     """
+    many, some = tasks_for(evidence), tasks_for(new)
     fresh = (
         evidence.where("not echo")
-        .join(new.select("candidate", "fingerprint"), "candidate")
+        .select("candidate", "source")
+        .repartition(many, "candidate")
+        .join(new.select("candidate", "fingerprint").repartition(many, "candidate"), "candidate")
+        .repartition(many, "fingerprint", "source")
         .join(tombstones.select("fingerprint", "source"), ["fingerprint", "source"], "left_anti")
         .select("candidate", F.lit(True).alias("fresh"))
+        .repartition(some, "candidate")
         .distinct()
     )
     old = existing.groupBy("fingerprint").agg(F.max(_strictness("durability")).alias("old"))
     buried = tombstones.select("fingerprint", F.lit(True).alias("buried")).distinct()
-    rows = new.join(old, "fingerprint", "left").join(buried, "fingerprint", "left").join(fresh, "candidate", "left")
+    rows = new.repartition(some, "fingerprint").join(old, "fingerprint", "left").join(buried, "fingerprint", "left").repartition(some, "candidate").join(fresh, "candidate", "left")
     rows = rows.withColumn("suppressed", F.col("old").isNull() & F.col("buried").isNotNull() & F.col("fresh").isNull())
+    rows = rows.repartition(some, "fingerprint")
     shared = rows.where("not suppressed").groupBy("fingerprint").agg(F.min("candidate").alias("first"), F.max(F.greatest(_strictness("durability"), "old")).alias("strictest"))
     outcome = F.when(F.col("suppressed"), "suppressed").when(F.col("old").isNotNull() | (F.col("candidate") != F.col("first")), "merged").otherwise("created")
     durability = F.when(F.col("suppressed"), F.col("durability")).otherwise(_kind(F.col("strictest")))

@@ -31,3 +31,13 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     path = new_folder(spark, name)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
+
+
+#: Rows of a task that sorts or gathers them by key.
+TASK_ROWS = 1 << 18
+
+
+def tasks_for(rows: DataFrame, most_rows: int | None = None) -> int:
+    """Tasks for joins of rows by key, as many as keep each at about most_rows, so that one's memory does not grow with
+    the table; the session's number at least."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // (most_rows or TASK_ROWS)))

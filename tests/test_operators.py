@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions.policy import SearchPolicy, WorkingSetPolicy
 from recollect.functions.text import excerpt, headings, search_terms, statement_key, strip_tagged
-from recollect.operators import intake, lifecycle, relational, retrieval
+from recollect.operators import candidates, intake, lifecycle, relational, retrieval, stages
 from recollect.sources import snapshots
 from recollect.streaming import intake as streams
 
@@ -154,3 +154,13 @@ def test_bm25_in_blocks_and_slices_against_a_plain_walk(spark, monkeypatch):
         assert sorted(map(tuple, got)) == sorted(w for w in want if most is None or w[3] <= most)
     # no table holds the documents' terms, only counts of those that are asked for
     assert not any("terms" in t.columns for t in tables)
+
+
+def test_intake_deals_rows_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    monkeypatch.setattr(stages, "TASK_ROWS", 50)
+    new = spark.range(600).selectExpr("id AS candidate", "id % 40 AS fingerprint", "if(id % 2 = 0, 'long_term', 'uncertain') AS durability")
+    evidence = spark.range(1200).selectExpr("id % 600 AS candidate", "id % 7 AS source", "id % 3 = 0 AS echo")
+    tombstones = spark.range(20).selectExpr("id AS fingerprint", "id % 7 AS source")
+    existing = spark.range(0).selectExpr("id AS fingerprint", "'uncertain' AS durability")
+    got = candidates.intake(new, evidence, existing, tombstones)
+    assert got.rdd.getNumPartitions() == 12 and got.count() == got.select("candidate").distinct().count() == 600

@@ -177,24 +177,29 @@ def token_at(spark: SparkSession, out: str, place: int) -> int | None:
 
 
 def read_tokens(spark: SparkSession, out: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) from the files; a segment is read in one range, and its documents are cut out of it."""
+    """(doc_id, start, n_tokens, ids_crc32) from the files; a segment is read in one range, and its documents are cut out of it.
+
+    A worker lets go of what it encoded with and holds one segment at a time, of batches of about a megabyte."""
     schema = "task int, segment int, first long, doc_ids array<long>, lengths array<long>, code binary"
     segments = spark.read.schema(schema).parquet(f"{out}/segments")
     placed = segments.join(spark.read.schema("task int, offset long").parquet(f"{out}/tasks"), "task").select((F.col("offset") + F.col("first")).alias("start"), "doc_ids", "lengths", "code")
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, doc_ids, lengths, code in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                reader = dac.Reader(code)
-                ends = np.cumsum(lengths)
-                ids = memoryview(reader.range(0, reader.n).astype("<u4").tobytes())
-                sums = [zlib.crc32(ids[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, pa.int64()), pa.array(start + ends - np.array(lengths), pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())],
-                    ["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
-
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+        for row in (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows)):
+            start, doc_ids, lengths = row.column(0)[0].as_py(), row.column(1).flatten(), row.column(2).flatten().to_numpy()
+            reader = dac.Reader(row.column(3)[0].as_py())
+            ends = np.cumsum(lengths)
+            ids = memoryview(reader.range(0, reader.n).astype("<u4").tobytes())
+            sums = [zlib.crc32(ids[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(start + ends - lengths), pa.array(lengths), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    rows = placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a batch of segments is sized by what is set when it is read
+    path = new_path(spark, "token-rows")
+    with small_batches(spark, maxBytesPerBatch="1048576"):
+        rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def token_file(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", cache_rows: int = CACHE_ROWS) -> DataFrame:

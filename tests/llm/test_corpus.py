@@ -385,3 +385,9 @@ def test_token_cache_size_changes_no_ids(spark):
     docs = spark.createDataFrame([(i, f"Words {i % 7}, of a small cache: w{i}a w{i}b, words.") for i in range(60)] + [(90, None), (91, "")], "doc_id long, text string")
     rows = lambda **more: sorted(map(tuple, tokenfile.token_file(docs, tokenizer_path(WORD_BPE), **more).collect()))
     assert rows(cache_rows=3) == rows()
+
+
+def test_tokens_are_read_while_batches_are_small(spark):
+    docs = spark.createDataFrame([(k, f"word {k}") for k in range(20)], "doc_id long, text string")
+    got = tokenfile.token_file(docs, tokenizer_path(WORD_BPE))
+    assert "MapInArrow" not in got._jdf.queryExecution().toString() and got.count() == 20

@@ -66,21 +66,23 @@ def batches(events: DataFrame, most_events: int = 64, most_bytes: int = 1 << 20)
     The end that an event falls under is carried back along the session; batches are cut by pointers, so that a
     session of any length is never gathered.
     """
-    rows = events.select("event_id", F.coalesce(F.col("session").cast("string"), F.concat(F.lit("event:"), F.col("event_id").cast("string"))).alias("session"), "turn", "kind", "at", "bytes", "project")
-    ends = rows.withColumn("end_at", F.when(F.col("kind") == SESSION_END, F.col("at")))
+    session = F.coalesce(F.col("session").cast("string"), F.concat(F.lit("event:"), F.col("event_id").cast("string")))
+    turn = F.coalesce(F.concat(F.lit("turn:"), F.col("turn").cast("string")), F.lit("none"))
+    lifecycle = F.coalesce(F.col("kind").isin(*LIFECYCLE), F.lit(False))
+    ends = events.select("event_id", session.alias("session"), turn.alias("group"), "at", "bytes", "project", lifecycle.alias("lifecycle"), F.when(F.col("kind") == SESSION_END, F.col("at")).alias("end_at"))
     # backwards in time, an end before what happened at the same instant
-    back = carried(ends, ["session"], [F.desc("at"), F.desc(F.col("end_at").isNotNull()), F.col("event_id")], "end_at", "until", "session-ends")
-    group = F.when(F.col("until").isNotNull(), F.concat(F.lit("end:"), F.col("until").cast("string"))).otherwise(F.coalesce(F.concat(F.lit("turn:"), F.col("turn").cast("string")), F.lit("none")))
-    cut = written(cut_runs(back.withColumn("group", group), ["session", "group"], ["at", "event_id"], "bytes", most_events, most_bytes), "batch-events")
-    whole = cut.groupBy("session", "group", "head").agg(
-        F.min(F.struct("at", "event_id")).alias("first"),
-        F.bool_and(F.coalesce(F.col("kind").isin(*LIFECYCLE), F.lit(False))).alias("lifecycle_only"),
-        F.min("project").alias("least"),
-        F.max("project").alias("most"),
-    )
+    back = carried(ends, ["session"], [F.desc("at"), F.desc(F.col("end_at").isNotNull()), F.col("event_id")], "end_at", "until", "session-ends", unique=True)
+    # what each step from here on deals out, sorts and hands to the workers is these seven
+    rows = back.withColumn("group", F.coalesce(F.concat(F.lit("end:"), F.col("until").cast("string")), "group")).drop("until", "end_at")
+    cut = written(cut_runs(rows, ["session", "group"], ["at", "event_id"], "bytes", most_events, most_bytes, unique=True), "batch-events")
     # batches follow each other by their first events
-    numbered = ranked(whole.select("session", "group", "head", "first", "lifecycle_only", F.when(F.col("least") == F.col("most"), F.col("least")).alias("one")), ["session"], ["first"], name="batches")
-    return cut.join(numbered.select("session", "group", "head", F.col("place").alias("batch"), "lifecycle_only", "one"), ["session", "group", "head"]).select("event_id", "session", "batch", "ordinal", "lifecycle_only", F.col("one").alias("project"))
+    batch = ["session", "group", "head"]
+    numbered = ranked(cut.where("ordinal = 0").select(*batch, "at", "event_id"), ["session"], ["at", "event_id"], name="batches", unique=True).select(*batch, F.col("place").alias("batch"))
+    # a batch has most_events rows at most
+    own = Window.partitionBy(*batch)
+    whole = cut.select("event_id", *batch, "ordinal", F.min("lifecycle").over(own).alias("lifecycle_only"), F.min("project").over(own).alias("least"), F.max("project").over(own).alias("most"))
+    one = F.when(F.col("least") == F.col("most"), F.col("least"))
+    return whole.join(numbered, batch).select("event_id", "session", "batch", "ordinal", "lifecycle_only", one.alias("project"))
 
 
 # Outcomes that count as a failure, and the one that proves the whole path.

@@ -36,14 +36,16 @@ def _changes(table: pa.Table | pa.RecordBatch, keys: list[str]) -> np.ndarray:
 Batches = Iterator[pa.RecordBatch]
 
 
-def _dealt(rows: DataFrame, keys: list[str], order: list[Column], name: str, walk: Callable[[Batches], Batches], more: str) -> DataFrame:
+def _dealt(rows: DataFrame, keys: list[str], order: list[Column], name: str, walk: Callable[[Batches], Batches], more: str, unique: bool) -> DataFrame:
     """rows in ranges of (keys, order), as each task walks over its own, with the columns `more` that the walk adds, their
     number `at_` and their `task_`. Rows equal in the order are told apart by where they were written first, so that many
-    of them part too."""
+    of them part too; where the order is unique, nothing is written first."""
     tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    first = written(rows.withColumn("spread_", F.monotonically_increasing_id()), f"{name}-rows")
-    by = [*map(F.col, keys), *order, F.col("spread_")]
-    placed = first.repartitionByRange(tasks, *by).sortWithinPartitions(*by).drop("spread_")
+    by = [*map(F.col, keys), *order]
+    if not unique:
+        rows = written(rows.withColumn("spread_", F.monotonically_increasing_id()), f"{name}-rows")
+        by.append(F.col("spread_"))
+    placed = rows.repartitionByRange(tasks, *by).sortWithinPartitions(*by).drop("spread_")
     walked = placed.mapInArrow(walk, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema.fields], more]))
     return written(walked.withColumn("at_", F.monotonically_increasing_id()), f"{name}-order").withColumn("task_", F.shiftright("at_", _ROW_BITS))
 
@@ -52,7 +54,10 @@ def _with_carried(placed: DataFrame, keys: list[str], known: dict[str, Column],
     """placed, with `known` as the tasks before left it, where a row's key began in one of them; else null. known is of a
     row and those before it in its task."""
     key = F.struct(*keys, F.lit(0).alias("none__"))
-    ends = placed.groupBy("task_").agg(F.min_by(key, "at_").alias("begins"), F.max_by(F.struct(key.alias("key"), "goes_on_", *[v.alias(c) for c, v in known.items()]), "at_").alias("last"))
+    # two numbers of each task first: to find the rows themselves by their numbers would sort all rows
+    edges = placed.groupBy("task_").agg(F.min("at_").alias("low_"), F.max("at_").alias("high_"))
+    outer = placed.join(F.broadcast(edges), "task_").where((F.col("at_") == F.col("low_")) | (F.col("at_") == F.col("high_")))
+    ends = outer.groupBy("task_").agg(F.min_by(key, "at_").alias("begins"), F.max_by(F.struct(key.alias("key"), "goes_on_", *[v.alias(c) for c, v in known.items()]), "at_").alias("last"))
     by_task = Window.partitionBy(F.lit(0)).orderBy("task_")
     before = F.lag("last").over(by_task)
     met = ends.select("task_", F.coalesce(F.col("begins").eqNullSafe(before["key"]), F.lit(False)).alias("met"), before.alias("before"))
@@ -66,10 +71,10 @@ def _with_carried(placed: DataFrame, keys: list[str], known: dict[str, Column],
     return out.drop("task_", "at_", "goes_on_")
 
 
-def ranked(rows: DataFrame, keys: list[str], order: list[Column | str], sums: list[str] | None = None, name: str = "ranked") -> DataFrame:
+def ranked(rows: DataFrame, keys: list[str], order: list[Column | str], sums: list[str] | None = None, name: str = "ranked", unique: bool = False) -> DataFrame:
     """rows with `place`, from 0 within the keys (null keys are a key), and for every column in sums, of whole numbers or
     doubles, the sum of the rows before, `before_<column>` (nulls count 0). The order decides; rows that are equal in it get
-    places in some order."""
+    places in some order, and go to one task if it is said to be unique."""
     order, sums = [F.col(c) if isinstance(c, str) else c for c in order], sums or []
     kinds = {c: "double" if rows.schema[c].dataType.simpleString() in ("float", "double") else "bigint" for c in sums}
 
@@ -98,15 +103,16 @@ def ranked(rows: DataFrame, keys: list[str], order: list[Column | str], sums: li
             last = table.select(keys).slice(n - 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, *added, pa.array(head)], [*batch.schema.names, "place", *[f"before_{c}" for c in sums], "goes_on_"])
 
-    placed = _dealt(rows, keys, order, name, walk, ", ".join(["place bigint", *[f"before_{c} {kinds[c]}" for c in sums], "goes_on_ boolean"]))
+    placed = _dealt(rows, keys, order, name, walk, ", ".join(["place bigint", *[f"before_{c} {kinds[c]}" for c in sums], "goes_on_ boolean"]), unique)
     known = {"place__": F.col("place") + 1, **{f"sum_{c}__": F.col(f"before_{c}") + F.coalesce(F.col(c), F.lit(0)) for c in sums}}
     out = _with_carried(placed, keys, known, True, name)
     add = {"place": "place__", **{f"before_{c}": f"sum_{c}__" for c in sums}}
     return out.withColumns({c: F.col(c) + F.coalesce(F.col(a), F.lit(0)) for c, a in add.items()}).drop(*known).select(*rows.columns, *[f"before_{c}" for c in sums], "place")
 
 
-def carried(rows: DataFrame, keys: list[str], order: list[Column | str], value: str, into: str, name: str = "carried") -> DataFrame:
-    """rows with `into`: the last value that is not null at or before each row of the order, within the keys."""
+def carried(rows: DataFrame, keys: list[str], order: list[Column | str], value: str, into: str, name: str = "carried", unique: bool = False) -> DataFrame:
+    """rows with `into`: the last value that is not null at or before each row of the order, within the keys. Rows equal in
+    the order go to one task if it is said to be unique."""
     order = [F.col(c) if isinstance(c, str) else c for c in order]
 
     def walk(batches: Batches) -> Batches:
@@ -131,7 +137,7 @@ def carried(rows: DataFrame, keys: list[str], order: list[Column | str], value:
             last = pa.table({c: pa.array(v, table.schema.field(c).type) for c, v in tail.items()})
             yield pa.RecordBatch.from_arrays([*batch.columns, found.slice(len(found) - n), pa.array(head[-n:])], [*batch.schema.names, into, "goes_on_"])
 
-    placed = _dealt(rows, keys, order, name, walk, f"{into} {rows.schema[value].dataType.simpleString()}, goes_on_ boolean")
+    placed = _dealt(rows, keys, order, name, walk, f"{into} {rows.schema[value].dataType.simpleString()}, goes_on_ boolean", unique)
     out = _with_carried(placed, keys, {"last__": F.col(into)}, False, name)
     return out.withColumn(into, F.coalesce(into, "last__")).select(*rows.columns, into)
 
@@ -182,16 +188,16 @@ def _steps(table: pa.Table, keys: list[str], size: str, most_rows: int, most_siz
     return beyond[group], ends[group], np.minimum(following, ends[group])
 
 
-def cut_runs(rows: DataFrame, keys: list[str], order: list[Column | str], size: str, most_rows: int, most_size: int) -> DataFrame:
+def cut_runs(rows: DataFrame, keys: list[str], order: list[Column | str], size: str, most_rows: int, most_size: int, unique: bool = False) -> DataFrame:
     """rows cut along the order into runs of at most most_rows and, but for a first row that is larger, most_size in all:
     with `place`, the run's first place `head` and the place in the run `ordinal`. Keys must not be null; a null size is 0,
-    none is negative.
+    none is negative. Rows equal in the order go to one task if it is said to be unique.
 
     Places are dealt out in blocks, each with the most_rows places after it, so that a block's runs are known once the place
     where it is entered is. A key of one block is entered at 0. Of longer keys each block says where every place that may be
     its entry leads to in the next one, and these pointers, few against the rows, are followed from place 0."""
     block = max(_BLOCK, 16 * most_rows)
-    placed = ranked(rows.withColumn(size, F.coalesce(size, F.lit(0)).cast("long")), keys, order, name="cut-places")
+    placed = ranked(rows.withColumn(size, F.coalesce(size, F.lit(0)).cast("long")), keys, order, name="cut-places", unique=unique)
     own = F.floor(F.col("place") / block).cast("long")
     both = F.when((own > 0) & (F.col("place") % block < most_rows), F.array(own, own - 1)).otherwise(F.array(own))
     by = [*keys, "block_"]

@@ -198,3 +198,16 @@ def test_what_tasks_hand_on_is_a_row_each_whatever_the_keys(spark, monkeypatch):
     got = ordered.carried(rows, ["k"], ["o"], "v", "last", "back").collect()
     assert all(r["last"] == (r["o"] // 50 * 50 if r["k"] == 0 else r["o"] - r["o"] % 2 if r["o"] % 50 < 2 else None) for r in got)
     assert tables["many-runs"].count() <= 4 and tables["back-runs"].count() <= 4
+
+
+def test_batches_write_whole_rows_once_a_step(spark, monkeypatch):
+    tables, plain = {}, ordered.written
+    for module in (ordered, intake):
+        monkeypatch.setattr(module, "written", lambda found, name: tables.setdefault(name, plain(found, name)))
+    events = spark.range(3000).selectExpr("id AS event_id", "if(id % 3 = 0, 0, id) AS session", "id div 70 AS turn", "if(id % 500 = 0, 'SessionEnd', 'SessionStart') AS kind", "id div 2 AS at", "id % 90 AS bytes", "7 AS project")
+    assert intake.batches(events, 6, 150).count() == 3000
+    # the events along their sessions, along their groups, and cut; what numbers the batches is a row each
+    long = {k: t.columns for k, t in tables.items() if t.count() >= 3000}
+    assert set(long) == {"session-ends-order", "cut-places-order", "batch-events"}
+    assert not {"kind", "turn", "until", "end_at"} & {*long["cut-places-order"], *long["batch-events"]}
+    assert tables["batches-order"].count() == tables["batch-events"].where("ordinal = 0").count() < 3000

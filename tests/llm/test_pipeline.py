@@ -27,6 +27,16 @@ def corpus(spark, tmp_path_factory):
     return folder
 
 
+@pytest.mark.parametrize("name", [k for k, _ in corpus_pipeline.STAGES])
+def test_stages_begin_on_a_collected_heap(spark, corpus, name):
+    """What the stages before left would else lie beside the workers of this one; in local mode the executor is this JVM."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory
+    full = lambda: sum(b.getCollectionCount() for b in beans.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    dict(corpus_pipeline.STAGES)[name](spark, spark.read.parquet(f"{corpus}/documents.parquet"), corpus)
+    assert full() > before
+
+
 def test_stages_and_run(spark, corpus):
     docs = spark.read.parquet(f"{corpus}/documents.parquet")
     columns = docs.columns

@@ -124,7 +124,8 @@ def _products(asked: pa.Table, held: pa.Table) -> Iterator[tuple[np.ndarray, np.
     """(places of queries, places of docs, millionths of their cosine) in parts of some CELLS pairs; what is not a number is
     2 * _FAR, so that it is the largest, and no pair has vectors of two lengths. Docs keep the order of held.
 
-    The sums go from the first component to the last, in double precision."""
+    The sums are those from the first component to the last, in double precision: a product of matrices gives them but for
+    the last digits, and where these could tell on the millionths, they are summed again."""
     (qw, ql), (dw, dl) = _vectors(asked, "q"), _vectors(held, "v")
     norm = asked["norm"].to_numpy()
     for w in np.unique(qw[qw > 0]):
@@ -133,20 +134,40 @@ def _products(asked: pa.Table, held: pa.Table) -> Iterator[tuple[np.ndarray, np.
             continue
         take = lambda lists, at: lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), w)
         q, d = take(ql, rows), np.ascontiguousarray(take(dl, cols).T)
+        with np.errstate(invalid="ignore", over="ignore"):
+            doubt = (4 * w + 8) * np.finfo(float).eps * 1e6 * np.sqrt(np.square(d).sum(axis=0))  # what two orders of a sum differ by at most
+        far = np.flatnonzero(~(doubt < 0.01))
+        near = d.copy() if len(far) else d
+        near[:, far], doubt[far] = 0, 0
         step = max(1, CELLS // len(cols))
         for low in range(0, len(rows), step):
-            part = q[low : low + step]
-            like, one = np.zeros((len(part), len(cols))), np.empty((len(part), len(cols)))
-            with np.errstate(invalid="ignore", over="ignore"):
-                for k in range(w):
-                    np.multiply(part[:, k : k + 1], d[k], out=one)
-                    like += one
-                like /= norm[rows[low : low + step], None]
-                like = np.clip(_whole(like * 1e6), -_FAR, _FAR)
-            like[np.isnan(like)] = 2 * _FAR
+            part, length = q[low : low + step], norm[rows[low : low + step], None]
+            like = part @ near
+            like /= length
+            like *= 1e6
+            size = np.abs(like)
+            whole = np.trunc(size)
+            size -= whole
+            size -= 0.5
+            i, j = np.nonzero(np.abs(size) <= doubt)
+            whole += size >= 0
+            like = np.copysign(whole, like) + 0.0
+            like[i, j] = _millionths(part[i].T, d[:, j], length[i, 0])
+            like[:, far] = _millionths(part.T[:, :, None], d[:, None, far], length)
             yield rows[low : low + step], cols, like
 
 
+def _millionths(a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Products of a and b summed along the first axis in its order, by length."""
+    out = np.zeros(np.broadcast_shapes(a.shape[1:], b.shape[1:]))
+    with np.errstate(invalid="ignore", over="ignore"):
+        for x, y in zip(a, b, strict=True):
+            out += x * y
+        out = np.clip(_whole(out / length * 1e6), -_FAR, _FAR)
+    out[np.isnan(out)] = 2 * _FAR
+    return out
+
+
 def _similarity(millionths: np.ndarray) -> np.ndarray:
     out = millionths / 1e6
     out[millionths >= _FAR], out[millionths <= -_FAR], out[millionths > _FAR] = np.inf, -np.inf, np.nan
@@ -157,10 +178,13 @@ def _blocks(queries: DataFrame, docs: DataFrame, block: int, slice_rows: int) ->
     """The stated queries and all docs, to meet by (block, slice): a query stands in one block of about `block` and a doc in
     one slice of about slice_rows, both by hash, and every block meets every slice once, so that neither side is
     broadcast and no task holds all of either. Null, zero and non-finite queries are left out."""
+    return _dealt(queries, docs, *(max(1, -(-rows.count() // size)) for rows, size in ((queries, block), (docs, slice_rows))))
+
+
+def _dealt(queries: DataFrame, docs: DataFrame, blocks: int, slices: int) -> tuple[DataFrame, DataFrame]:
     product = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     asked = queries.select("query_id", F.col("vector").alias("q"), F.sqrt(product("vector", "vector")).alias("norm"), *[c for c in queries.columns if c not in ("query_id", "vector")])
     asked = asked.where((F.col("norm") > 0) & (F.col("norm") < float("inf")))
-    blocks, slices = (max(1, -(-rows.count() // size)) for rows, size in ((queries, block), (docs, slice_rows)))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = asked.withColumn("block", part("query_id", blocks)).withColumn("slice", every(slices))
@@ -172,6 +196,37 @@ def _met(left: DataFrame, right: DataFrame, match: Callable[[pa.Table, pa.Table]
     return left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInArrow(match, schema)
 
 
+#: Pairs of a cell at least, and cells for each of the session's cores, so long as they are no larger.
+CELL_PAIRS, CELLS_EACH = 1 << 18, 8
+#: Rows of counts that a task adds up at a time.
+HISTOGRAMS = 1 << 14
+
+
+def _cut(asked: int, held: int, block: int, slice_rows: int, cores: int) -> tuple[int, int]:
+    """Blocks and slices of so many queries and docs, of at most about block and slice_rows: as many as keep all cores busy
+    and no more, in the ratio that copies the fewest rows, so that what crosses an exchange grows with the tables and not
+    with the pairs for as long as the two bounds allow."""
+    cells = max(1, min(CELLS_EACH * cores, -(-asked * held // CELL_PAIRS)))
+    blocks = max(1, -(-asked // block), round((cells * asked / max(1, held)) ** 0.5))
+    return blocks, max(1, -(-held // slice_rows), -(-cells // blocks))
+
+
+def _in_cells(queries: DataFrame, docs: DataFrame, blocks: int, slices: int, match: Callable[[pa.Table, pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What match yields for the queries and docs of every cell, a block and a slice as those of `_blocks`. Results leave a
+    task as they are made."""
+    left, right = _dealt(queries, docs, blocks, slices)
+    cell = (F.col("block") * slices + F.col("slice")).alias("cell")
+    drop = lambda rows: rows.select("*", cell).drop("block", "slice")
+    rows = drop(left).unionByName(drop(right), allowMissingColumns=True).repartition(blocks * slices, "cell")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        asks = pc.is_valid(table["norm"])
+        yield from match(table.filter(asks), table.filter(pc.invert(asks)).sort_by("id"))
+
+    return rows.groupBy("cell").applyInArrow(run, schema)
+
+
 def _kinds(queries: DataFrame, docs: DataFrame) -> tuple[str, str]:
     return queries.schema["query_id"].dataType.simpleString(), docs.schema["id"].dataType.simpleString()
 
@@ -219,74 +274,99 @@ def cosine_top(queries: DataFrame, docs: DataFrame, k: int, apart: bool = False,
     return top_per_query(_met(left, right, match, f"query_id {query_kind}, id {kind}, similarity double"), "similarity", k)
 
 
-def cosine_lift(queries: DataFrame, docs: DataFrame, policy: ScorePolicy = ScorePolicy(), block: int = 1024, slice_rows: int = 16384, bins: int = 256) -> DataFrame:
+def cosine_lift(queries: DataFrame, docs: DataFrame, policy: ScorePolicy = ScorePolicy(), block: int = 16384, slice_rows: int = 16384, bins: int = 256) -> DataFrame:
     """(query_id, id, similarity, lift, leads) of every query(query_id, vector) with every doc(id, vector): the similarity of
     `cosine_top`, its distance from the query's upper median (in a scope of few docs from the typical one) and whether the doc
     is the query's nearest, ties to the smaller id. Query ids are distinct.
 
     The median is exact: tasks count each query's similarities by ranges of millionths, and the range that holds the middle
-    is cut again until it is one value, so that only counts cross an exchange. Pairs are computed anew each time and are
-    never written."""
+    is cut again until it is one value, so that only counts cross an exchange, those of a query and a cell (`_in_cells`) as
+    one row. Pairs are computed anew each time and are never written."""
     query_kind, kind = _kinds(queries, docs)
-    total = docs.count()
+    n_queries, n_docs = queries.count(), docs.count()
+    blocks, slices = _cut(n_queries, n_docs, block, slice_rows, queries.sparkSession.sparkContext.defaultParallelism)
     square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     longest = docs.select(F.sqrt(square).alias("n")).where("n < double('infinity')").agg(F.max("n")).first()[0] or 0.0
     low, wide = -int(longest * 1e6) - 2, 2 * int(longest * 1e6) + 5
-    state, best = queries.select("query_id", "vector", F.lit(low).cast("long").alias("low"), F.lit(None).cast("long").alias("rank")), None
+    state = queries.select("query_id", "vector", F.lit(low).cast("long").alias("low"))
 
-    def counted(width: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-        def match(asked: pa.Table, held: pa.Table) -> pa.Table:
-            held = held.sort_by("id")
+    def counted(width: int) -> Callable[[pa.Table, pa.Table], Iterator[pa.RecordBatch]]:
+        def match(asked: pa.Table, held: pa.Table) -> Iterator[pa.RecordBatch]:
             n, start = asked.num_rows, asked["low"].to_numpy().astype(np.float64)
             hits, known, top, first = np.zeros((n, bins + 1), np.int64), np.zeros(n, np.int64), np.full(n, -np.inf), np.zeros(n, np.int64)
             for rows, cols, like in _products(asked, held):
-                at = np.minimum(np.floor((like - start[rows, None]) / width), bins)  # what lies above all ranges counts too
-                row, col = np.nonzero(at >= 0)
-                hits[rows] += np.bincount(row * (bins + 1) + at[row, col].astype(np.int64), minlength=len(rows) * (bins + 1)).reshape(len(rows), bins + 1)
                 known[rows] += like.shape[1]
                 one = like.argmax(axis=1)
                 top[rows], first[rows] = like[np.arange(len(rows)), one], cols[one]
-            row, bin_ = np.nonzero(hits)
+                like -= start[rows, None]
+                like /= width
+                at = np.clip(np.floor(like, out=like), -1, bins, out=like).astype(np.int64)  # what lies above all ranges counts too
+                at += np.arange(1, len(rows) * (bins + 2), bins + 2)[:, None]
+                hits[rows] += np.bincount(at.ravel(), minlength=len(rows) * (bins + 2)).reshape(len(rows), bins + 2)[:, 1:]
             met = np.flatnonzero(known)
-            where = pa.array(np.concatenate([row, met]))
-            return pa.table({
-                "query_id": asked["query_id"].take(where), "bin": np.concatenate([bin_, np.full(len(met), -1)]), "n": np.concatenate([hits[row, bin_], known[met]]),
-                "top": pa.concat_arrays([pa.nulls(len(row), pa.float64()), pa.array(top[met])]), "first": pa.concat_arrays([pa.nulls(len(row), held["id"].type), held["id"].take(pa.array(first[met])).combine_chunks()]),
-            })
+            if len(met):
+                where, small = pa.array(met), hits[met].astype(np.min_scalar_type(hits.max()))
+                packed = pa.array([x.tobytes() for x in small], pa.binary())
+                yield _batch(query_id=asked["query_id"].take(where), low=asked["low"].take(where), hits=packed, known=known[met], top=top[met], first=held["id"].take(pa.array(first[met])))
 
         return match
 
+    def summed(width: int) -> Callable[[pa.Table], pa.Table]:
+        def run(found: pa.Table) -> pa.Table:
+            found = found.sort_by([("query_id", "ascending"), ("top", "descending"), ("first", "ascending")])
+            place = pc.rank(found["query_id"], sort_keys="ascending", tiebreaker="dense").to_numpy()
+            begin = np.flatnonzero(np.diff(place, prepend=0))
+            hits = np.stack([np.frombuffer(x.as_py(), f"u{len(x.as_py()) // (bins + 1)}").astype(np.int64) for x in found["hits"]])
+            hits = np.add.reduceat(hits, begin, axis=0)[:, ::-1].cumsum(axis=1)[:, ::-1]  # in a range and above
+            known = np.add.reduceat(found["known"].to_numpy(), begin)
+            at = (hits >= -(-known // 2)[:, None]).sum(axis=1) - 1
+            where = pa.array(begin)
+            low = pa.array(found["low"].to_numpy()[begin] + at * width, mask=at < 0)
+            return pa.table({"query_id": found["query_id"].take(where), "low": low, "best": found["first"].take(where)})
+
+        return run
+
+    best = None
     while True:
         width = max(1, -(-wide // bins))
-        left, right = _blocks(state, docs, block, slice_rows)
-        found = written(_met(left, right, counted(width), f"query_id {query_kind}, bin long, n long, top double, first {kind}"), "lift-counts")
-        if best is None:
-            best = written(found.where("bin = -1").groupBy("query_id").agg(F.sum("n").alias("known"), F.max(F.struct("top", -F.col("first")))["col2"].alias("less")).select("query_id", "known", (-F.col("less")).cast(kind).alias("best")), "lift-best")
-            state = state.drop("rank").join(best.select("query_id", F.ceil(F.col("known") / 2).alias("rank")), "query_id")
-        down = Window.partitionBy("query_id").orderBy(F.desc("bin"))
-        sums = found.where("bin >= 0").groupBy("query_id", "bin").agg(F.sum("n").alias("n")).withColumn("until", F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, 0)))
-        here = state.join(sums, "query_id").where((F.col("until") >= F.col("rank")) & (F.col("until") - F.col("n") < F.col("rank")))
-        state = written(here.select("query_id", "vector", (F.col("low") + F.col("bin") * width).alias("low"), "rank"), "lift-ranges")
+        found = _in_cells(state, docs, blocks, slices, counted(width), f"query_id {query_kind}, low long, hits binary, known long, top double, first {kind}")
+        parts = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n_queries * slices // HISTOGRAMS))))
+        found = written(found.groupBy(parts.alias("part")).applyInArrow(summed(width), f"query_id {query_kind}, low long, best {kind}"), "lift-ranges")
+        best = best or found.select("query_id", "best")
+        state = queries.join(found.where("low IS NOT NULL").select("query_id", "low"), "query_id").select("query_id", "vector", "low")
         if width == 1:
             break
         wide = width
-    middle = F.col("low").cast("double") if total >= policy.median_scope else F.lit(policy.typical_median * 1e6)
-    asked = queries.select("query_id", "vector").join(best, "query_id", "left").join(state.select("query_id", "low"), "query_id", "left").select("query_id", "vector", "best", middle.alias("middle"))
-
-    def lifted(asked: pa.Table, held: pa.Table) -> pa.Table:
-        shape = asked.num_rows, held.num_rows
-        like, there = np.zeros(shape), np.zeros(shape, bool)
-        for rows, cols, part in _products(asked, held):
-            like[np.ix_(rows, cols)], there[np.ix_(rows, cols)] = part, True
-        similarity = _similarity(like)
-        middle = asked["middle"].to_numpy() / 1e6
-        lift = _whole((similarity - middle[:, None]) * 1e7) / 1e7
-        masked = lambda x, mask: pa.array(x.ravel(), mask=mask.ravel())
-        i, j = (pa.array(np.repeat(np.arange(shape[0]), shape[1])), pa.array(np.tile(np.arange(shape[1]), shape[0])))
-        leads = pc.fill_null(pc.equal(held["id"].take(j), asked["best"].take(i)), False)
-        return pa.table({"query_id": asked["query_id"].take(i), "id": held["id"].take(j), "similarity": masked(similarity, ~there), "lift": masked(lift, ~there | np.isnan(middle)[:, None]), "leads": leads})
-
-    return _met(*_blocks(asked, docs, block // 4, slice_rows // 4), lifted, f"query_id {query_kind}, id {kind}, similarity double, lift double, leads boolean")
+    middle = F.col("low").cast("double") if n_docs >= policy.median_scope else F.lit(policy.typical_median * 1e6)
+    asked = queries.select("query_id", "vector").join(best, "query_id", "left").join(found.select("query_id", "low"), "query_id", "left").select("query_id", "vector", "best", middle.alias("middle"))
+
+    def lifted(asked: pa.Table, held: pa.Table) -> Iterator[pa.RecordBatch]:
+        middle, ids, leaders = asked["middle"].to_numpy() / 1e6, held["id"], asked["best"]
+
+        def pairs(rows: np.ndarray, cols: np.ndarray, similarity: pa.Array, lift: pa.Array) -> pa.RecordBatch:
+            i, j = pa.array(np.repeat(rows, len(cols))), pa.array(np.tile(cols, len(rows)))
+            id_ = ids.take(j)
+            return _batch(query_id=asked["query_id"].take(i), id=id_, similarity=similarity, lift=lift, leads=pc.fill_null(pc.equal(id_, leaders.take(i)), False))
+
+        for rows, cols, like in _products(asked, held):
+            similarity = _similarity(like)
+            lift = _whole((similarity - middle[rows, None]) * 1e7) / 1e7
+            unknown = np.isnan(middle[rows])
+            yield pairs(rows, cols, pa.array(similarity.ravel()), pa.array(lift.ravel(), mask=np.repeat(unknown, len(cols)) if unknown.any() else None))
+        (qw, _), (dw, _) = _vectors(asked, "q"), _vectors(held, "v")
+        for w in np.unique(qw):
+            cols, some = np.flatnonzero(dw != w), np.flatnonzero(qw == w)
+            step = max(1, CELLS // max(1, len(cols)))
+            for rows in (some[low : low + step] for low in range(0, len(some), step)):
+                none = pa.nulls(len(rows) * len(cols), pa.float64())
+                yield pairs(rows, cols, none, none)
+
+    return _in_cells(asked, docs, blocks, slices, lifted, f"query_id {query_kind}, id {kind}, similarity double, lift double, leads boolean")
+
+
+def _batch(**columns: pa.Array | pa.ChunkedArray | np.ndarray) -> pa.RecordBatch:
+    flat = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else pa.array(c) if isinstance(c, np.ndarray) else c for c in columns.values()]
+    return pa.RecordBatch.from_arrays(flat, list(columns))
 
 
 def top_per_query(scored: DataFrame, score: str, k: int) -> DataFrame:

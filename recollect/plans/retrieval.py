@@ -85,11 +85,17 @@ def hybrid(t: Tables) -> DataFrame:
        SELECT query_id, max(similarity) FILTER (n = 1) AS top, round(max(similarity) FILTER (n = 1) - max(similarity) FILTER (n = 2), 6) AS margin FROM r GROUP BY query_id""",
 )
 def top_and_margin(t: Tables) -> DataFrame:
+    """Every twentieth vector is a query, every other row a candidate. A query that is zero or not finite has NaN in both
+    columns as far as there are candidates with a vector, one without a vector has nulls."""
     rows = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     asked = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
     best = retrieval.cosine_top(asked, rows, 2, apart=True)
     at = lambda n: F.max(F.when(F.col("rank") == n, F.col("similarity")))
-    return best.groupBy("query_id").agg(at(1).alias("top"), F.round(at(1) - at(2), 6).alias("margin"))
+    found = best.groupBy("query_id").agg(F.lit(True).alias("met"), at(1).alias("top"), F.round(at(1) - at(2), 6).alias("margin"))
+    every = asked.groupBy("query_id").agg(F.count("vector").alias("own")).join(found, "query_id", "left")
+    totals = rows.where("id IS NOT NULL").agg(F.count("*").alias("rows"), F.count("vector").alias("vectors"))
+    given = lambda c, n: F.when(F.col("met"), F.col(c)).when((F.col("own") > 0) & (F.col("vectors") - F.col("own") >= n), float("nan"))
+    return every.crossJoin(F.broadcast(totals)).where("met OR rows > 1").select("query_id", given("top", 1).alias("top"), given("margin", 2).alias("margin"))
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,6 +83,21 @@ def scored(features: DataFrame, policy: ScorePolicy = ScorePolicy()) -> DataFram
     return rows.withColumn("band", band).withColumn("anchored", c("direct") | c("exact") | alone | (strong & (c("applicable") | worded)))
 
 
+def may_reach(least: int, features: dict[str, np.ndarray], lift: np.ndarray, leads: np.ndarray, policy: ScorePolicy = ScorePolicy()) -> np.ndarray:
+    """Whether `scored` gives pairs least points, or may: a lift that is NaN counts as high, one that leads as standing
+    alone. For pairs that are still arrays in a task, with features of the same names and no nulls, so that those which are
+    weak whatever comes need not become rows."""
+    c = features
+    supported = c["matched"] >= 2
+    worded = supported & (c["coverage"] >= policy.lexical_coverage)
+    backed = c["exact"] | c["applicable"] | worded
+    raised = ~(lift < policy.weak_lift) + (~(lift < policy.strong_lift)).astype(np.int8)
+    lexical = np.where(supported & (c["lexical_rank"] <= 3) & (c["coverage"] >= 0.6), 2, (worded & (c["lexical_rank"] <= 10)).astype(np.int8))
+    fixed = (lexical + c["applicable"]).astype(np.int8)
+    points = raised * backed + fixed + c["signal"]
+    return (points >= least) | c["direct"] | c["exact"] | leads
+
+
 def one_hop(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """rows(query_id, id, score, ...) in which neighbours of ids that score 4 or more gain a point if they have 2.
 

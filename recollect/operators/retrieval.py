@@ -196,6 +196,7 @@ def _met(left: DataFrame, right: DataFrame, match: Callable[[pa.Table, pa.Table]
     return left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInArrow(match, schema)
 
 
+Worth = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 #: Pairs of a cell at least, and cells for each of the session's cores, so long as they are no larger.
 CELL_PAIRS, CELLS_EACH = 1 << 18, 8
 #: Rows of counts that a task adds up at a time.
@@ -274,14 +275,16 @@ def cosine_top(queries: DataFrame, docs: DataFrame, k: int, apart: bool = False,
     return top_per_query(_met(left, right, match, f"query_id {query_kind}, id {kind}, similarity double"), "similarity", k)
 
 
-def cosine_lift(queries: DataFrame, docs: DataFrame, policy: ScorePolicy = ScorePolicy(), block: int = 16384, slice_rows: int = 16384, bins: int = 256) -> DataFrame:
+def cosine_lift(queries: DataFrame, docs: DataFrame, policy: ScorePolicy = ScorePolicy(), block: int = 16384, slice_rows: int = 16384, bins: int = 256, worth: Worth | None = None) -> DataFrame:
     """(query_id, id, similarity, lift, leads) of every query(query_id, vector) with every doc(id, vector): the similarity of
     `cosine_top`, its distance from the query's upper median (in a scope of few docs from the typical one) and whether the doc
     is the query's nearest, ties to the smaller id. Query ids are distinct.
 
     The median is exact: tasks count each query's similarities by ranges of millionths, and the range that holds the middle
     is cut again until it is one value, so that only counts cross an exchange, those of a query and a cell (`_in_cells`) as
-    one row. Pairs are computed anew each time and are never written."""
+    one row. Pairs are computed anew each time and are never written. With worth only the pairs for which it holds are
+    returned: it is given arrays of ids of queries (down) and docs (across), which are numbers, null ones 0, lifts, NaN where
+    there is none, and leads."""
     query_kind, kind = _kinds(queries, docs)
     n_queries, n_docs = queries.count(), docs.count()
     blocks, slices = _cut(n_queries, n_docs, block, slice_rows, queries.sparkSession.sparkContext.defaultParallelism)
@@ -341,25 +344,29 @@ def cosine_lift(queries: DataFrame, docs: DataFrame, policy: ScorePolicy = Score
     asked = queries.select("query_id", "vector").join(best, "query_id", "left").join(found.select("query_id", "low"), "query_id", "left").select("query_id", "vector", "best", middle.alias("middle"))
 
     def lifted(asked: pa.Table, held: pa.Table) -> Iterator[pa.RecordBatch]:
-        middle, ids, leaders = asked["middle"].to_numpy() / 1e6, held["id"], asked["best"]
-
-        def pairs(rows: np.ndarray, cols: np.ndarray, similarity: pa.Array, lift: pa.Array) -> pa.RecordBatch:
-            i, j = pa.array(np.repeat(rows, len(cols))), pa.array(np.tile(cols, len(rows)))
-            id_ = ids.take(j)
-            return _batch(query_id=asked["query_id"].take(i), id=id_, similarity=similarity, lift=lift, leads=pc.fill_null(pc.equal(id_, leaders.take(i)), False))
+        middle, ids, known = asked["middle"].to_numpy() / 1e6, held["id"].combine_chunks(), {}
+        place = pc.index_in(ids, value_set=ids).to_numpy(zero_copy_only=False)
+        leader = pc.if_else(pc.is_valid(asked["best"]), pc.index_in(asked["best"], value_set=ids), None).fill_null(-1).to_numpy()
+        if worth:
+            known = {"down": asked["query_id"].to_numpy()[:, None], "across": ids.fill_null(0).to_numpy()}
+
+        def pairs(rows: np.ndarray, cols: np.ndarray, similarity: np.ndarray, lift: np.ndarray, none: bool) -> pa.RecordBatch:
+            leads = place[cols] == leader[rows, None]
+            at = np.flatnonzero(worth(known["down"][rows], known["across"][cols], lift, leads)) if worth else np.arange(lift.size)
+            i, j, similarity, lift = rows[at // len(cols)], cols[at % len(cols)], similarity.ravel()[at], lift.ravel()[at]
+            unknown = np.full(len(at), none)
+            return _batch(query_id=asked["query_id"].take(pa.array(i)), id=ids.take(pa.array(j)), similarity=pa.array(similarity, mask=unknown), lift=pa.array(lift, mask=unknown | np.isnan(middle[i])), leads=leads.ravel()[at])
 
         for rows, cols, like in _products(asked, held):
             similarity = _similarity(like)
-            lift = _whole((similarity - middle[rows, None]) * 1e7) / 1e7
-            unknown = np.isnan(middle[rows])
-            yield pairs(rows, cols, pa.array(similarity.ravel()), pa.array(lift.ravel(), mask=np.repeat(unknown, len(cols)) if unknown.any() else None))
+            yield pairs(rows, cols, similarity, _whole((similarity - middle[rows, None]) * 1e7) / 1e7, False)
         (qw, _), (dw, _) = _vectors(asked, "q"), _vectors(held, "v")
         for w in np.unique(qw):
             cols, some = np.flatnonzero(dw != w), np.flatnonzero(qw == w)
             step = max(1, CELLS // max(1, len(cols)))
-            for rows in (some[low : low + step] for low in range(0, len(some), step)):
-                none = pa.nulls(len(rows) * len(cols), pa.float64())
-                yield pairs(rows, cols, none, none)
+            for rows in (some[low : low + step] for low in range(0, len(some) if len(cols) else 0, step)):
+                nothing = np.full((len(rows), len(cols)), np.nan)
+                yield pairs(rows, cols, nothing, nothing, True)
 
     return _in_cells(asked, docs, blocks, slices, lifted, f"query_id {query_kind}, id {kind}, similarity double, lift double, leads boolean")
 

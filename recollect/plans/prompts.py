@@ -3,6 +3,9 @@ tables lack (decisions, verdicts, flags) is derived from the keys by arithmetic,
 
 from __future__ import annotations
 
+from operator import mod
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +59,12 @@ def lexical_admission(t: Tables) -> DataFrame:
     return met.where(prompts.lexical_admission(F.col("terms"), F.col("matched"))).select("query_id", "id", "matched", F.round(F.col("matched") / F.col("terms"), 6).alias("coverage"))
 
 
+def _features(query_id, id_, rest=mod):
+    """Of columns or of arrays, whose rest is np.fmod: that of a negative number is negative, as in SQL."""
+    is_ = lambda n: rest(id_, n) == query_id
+    return {"direct": is_(97), "exact": is_(31), "applicable": rest(id_, 5) == 0, "signal": is_(41), "matched": rest(id_, 4), "coverage": rest(id_, 10) / 10, "lexical_rank": rest(id_, 20) + 1}
+
+
 @query(
     "g19_scored_bands",
     """WITH sim AS (SELECT q.vec_id AS query_id, d.vec_id AS id, round(list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS similarity FROM embeddings q, embeddings d WHERE q.vec_id % 20 = 0),
@@ -73,12 +82,10 @@ def lexical_admission(t: Tables) -> DataFrame:
 def bands(t: Tables) -> DataFrame:
     """Every twentieth vector as a prompt against all rows, with one hop; the band is of the score before the hop."""
     rows = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    near = retrieval.cosine_lift(rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"), rows)
-    mod = lambda n: F.col("id") % n == F.col("query_id")
-    features = near.withColumns(
-        {"direct": mod(97), "exact": mod(31), "applicable": F.col("id") % 5 == 0, "signal": mod(41), "matched": F.col("id") % 4, "coverage": F.col("id") % 10 / 10, "lexical_rank": F.col("id") % 20 + 1}
-    )
     # what is weak (a score below 2) gains nothing by the hop
+    worth = lambda query_id, id_, lift, leads: prompts.may_reach(2, _features(query_id, id_, np.fmod), lift, leads)
+    near = retrieval.cosine_lift(rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"), rows, worth=worth)
+    features = near.withColumns(_features(F.col("query_id"), F.col("id")))
     edges = t.embeddings.where("vec_id % 3 = 0").select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"))
     return prompts.one_hop(prompts.scored(features).where("score >= 2"), edges).select("query_id", "id", "lift", "score", "band", "anchored")
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from recollect.operators import retrieval
+from recollect.operators import prompts, retrieval
 
 
 def test_copies_grow_with_the_tables_and_not_with_the_pairs():
@@ -55,3 +55,26 @@ def test_sums_are_those_in_order():
         want = np.trunc(want) + np.where(np.abs(want - np.trunc(want)) >= 0.5, np.sign(want), 0)
     want = np.where(np.isnan(want), 2e18, np.clip(want, -1e18, 1e18))
     assert (got == want).all() and not np.signbit(got[got == 0]).any()
+
+
+def test_what_is_not_worth_a_row_is_weak(spark):
+    """Every pair of a grid of features that `scored` gives two points or more may reach them, most others go; of lifts
+    with a worth only its pairs are returned, the same as without."""
+    grid = [(d, e, a, s, m, c, r, x, leads) for d in (0, 1) for e in (0, 1) for a in (0, 1) for s in (0, 1) for m in (1, 2) for c in (0.2, 0.3, 0.6) for r in (3, 10, 11) for x in (0.0, 0.01, 0.02, 0.03, float("nan"), None) for leads in (0, 1)]
+    names = ["direct", "exact", "applicable", "signal", "matched", "coverage", "lexical_rank"]
+    kinds = [bool, bool, bool, bool, int, float, int]
+    rows = [tuple(k(v) for k, v in zip(kinds, g[:7], strict=True)) + (g[7], bool(g[8])) for g in grid]
+    columns = "direct boolean, exact boolean, applicable boolean, signal boolean, matched long, coverage double, lexical_rank long, lift double, leads boolean"
+    score = {tuple(map(repr, r[:9])): r["score"] for r in prompts.scored(spark.createDataFrame(rows, columns)).select(*names, "lift", "leads", "score").collect()}
+    arrays = {n: np.array([r[i] for r in rows]) for i, n in enumerate(names)}
+    lift, leads = np.array([np.nan if r[7] is None else r[7] for r in rows]), np.array([r[8] for r in rows])
+    may = prompts.may_reach(2, arrays, lift, leads)
+    want = np.array([score[tuple(map(repr, r))] >= 2 for r in rows])
+    assert may[want].all() and (may == want)[~np.isnan(lift) & ~leads].all()
+
+    docs = spark.range(300).selectExpr("id - 5 AS id", "CASE WHEN id % 50 = 7 THEN NULL ELSE array(cast(id % 37 as float), cast(1 as float)) END AS vector")
+    asked = docs.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    get = lambda f: {(r["query_id"], r["id"]): repr(r[2:]) for r in f.collect()}
+    every = get(retrieval.cosine_lift(asked, docs))
+    some = get(retrieval.cosine_lift(asked, docs, worth=lambda q, d, lift, leads: leads | (np.fmod(d, 7) == 0) | np.isnan(lift) & (q == 40)))
+    assert some == {(q, d): v for (q, d), v in every.items() if "True" in v or d % 7 == 0 or q == 40 and "None" in v}
